@@ -1,6 +1,429 @@
-"""Named queries and the SQL that states the same rows."""
+"""Named queries over the test tables, and SQL that states the same rows.
+
+Labelled rows: documents joined with labels, toxic 1 is HATE. Scores stand in for a model's:
+a hash of doc_id blended with the label, so every curve can be checked.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidewell.functions import hashing, text
+from tidewell.operators import corpus, explain, lexicon, metrics, neardup
+from tidewell.streaming import messages
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, text, source, y, label: the smaller side is left to the optimizer's size estimate."""
+    labels = read(spark, d, "labels").select("doc_id", F.col("toxic").cast("int").alias("y"))
+    return read(spark, d, "documents").select("doc_id", "text", "source", "lang").join(labels, "doc_id").withColumn("label", F.when(F.col("y") == 1, "HATE").otherwise("CLEAN"))
+
+
+def keyed_labels(spark: SparkSession, d: str) -> DataFrame:
+    return labelled(spark, d).drop("text")
+
+
+LAB = "lab AS (SELECT d.doc_id, d.text, d.source, d.lang, CAST(l.toxic AS INTEGER) AS y, CASE WHEN l.toxic = 1 THEN 'HATE' ELSE 'CLEAN' END AS label FROM documents d JOIN labels l USING (doc_id))"
+TOK = r"list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{Nl}\p{No}]+'), lambda x: lower(x))"
+UNIT = "(CAST('0x' || substr(sha256({}), 1, 13) AS BIGINT) / 4503599627370496.0)"
+CANON = r"trim(regexp_replace(regexp_replace(trim(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss'), E' \t\n\r\x0b\x0c'), '[\p{Cf}\p{Cc}]', '', 'g'), '\s+', ' ', 'g'))"
+BLACK = f"f AS (SELECT word, count(*) FILTER (y = 1) AS hate_docs, count(*) AS docs FROM (SELECT y, unnest(list_distinct({TOK})) AS word FROM lab) GROUP BY word), bl AS (SELECT word, hate_docs, docs, round(hate_docs / docs, 6) AS ratio FROM f WHERE docs >= 5 AND hate_docs / docs >= 0.75 ORDER BY hate_docs / docs DESC, hate_docs DESC, word DESC LIMIT 400)"
+
+
+def _metric_sql(src: str, by: str = "") -> str:
+    g = f"{by}, " if by else ""
+    return f"""SELECT {g}tp, fp, fn, tn, round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round((coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2, 6) AS macro_f1
+FROM (SELECT {g}count(*) FILTER (y = 1 AND pred = 1) AS tp, count(*) FILTER (y = 0 AND pred = 1) AS fp, count(*) FILTER (y = 1 AND pred = 0) AS fn, count(*) FILTER (y = 0 AND pred = 0) AS tn FROM {src}{f' GROUP BY {by}' if by else ''})"""
+
+
+# ---------------------------------------------------------------- keyword lists
+
+
+def _keywords(spark, d, min_count=5):
+    return lexicon.induce_keywords(lexicon.document_frequency(labelled(spark, d)), min_count)
+
+
+@query(f"WITH {LAB}, {BLACK} SELECT * FROM bl")
+def blacklist_induce(spark, d):
+    return _keywords(spark, d).select("word", "hate_docs", "docs", "ratio")
+
+
+def flagship(spark: SparkSession, d: str, min_count: int = 2) -> DataFrame:
+    rows = labelled(spark, d)
+    return metrics.scores(lexicon.flag_keywords(rows, _keywords(spark, d, min_count), "doc_id").agg(*metrics.confusion()))
+
+
+PRED = f"pr AS (SELECT lab.*, CASE WHEN list_has_any({TOK}, (SELECT coalesce(list(word), []) FROM bl)) THEN 1 ELSE 0 END AS pred FROM lab)"
+
+
+@query(f"WITH {LAB}, {BLACK}, {PRED} {_metric_sql('pr')}")
+def blacklist_metrics(spark, d):
+    return flagship(spark, d, 5)
+
+
+@query(f"WITH {LAB}, {BLACK}, {PRED}, al AS (SELECT y, pred, source FROM pr UNION ALL SELECT y, pred, 'overall' FROM pr) {_metric_sql('al', 'source')}")
+def blacklist_metrics_by_source(spark, d):
+    pred = lexicon.flag_keywords(labelled(spark, d), _keywords(spark, d), "doc_id")
+    both = pred.select(F.explode(F.array("source", F.lit("overall"))).alias("source"), "y", "pred")
+    return metrics.scores(both.groupBy("source").agg(*metrics.confusion()))
+
+
+# ---------------------------------------------------------------- text functions
+
+
+def _text_query(name: str, column, sql: str) -> None:
+    def f(spark, d):
+        return read(spark, d, "documents").select("doc_id", column(F.col("text")).alias("out"))
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+_CHARS = "(SELECT doc_id, string_split(text, '') AS c FROM documents)"
+_L = "regexp_full_match(c[i], '[a-zA-ZÀ-ỹ]')"
+_text_query("text_nfc", text.nfc, "SELECT doc_id, nfc_normalize(text) AS out FROM documents")
+_text_query("text_fold", text.fold, "SELECT doc_id, strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D')) AS out FROM documents")
+_text_query("text_separators", text.separators, r"SELECT doc_id, regexp_replace(regexp_replace(text, '([a-zA-ZÀ-ỹ])[.\-_·~]([a-zA-ZÀ-ỹ])', '\1\2', 'g'), '([a-zA-ZÀ-ỹ])[.\-_·~]([a-zA-ZÀ-ỹ])', '\1\2', 'g') AS out FROM documents")
+_text_query("text_elongation", text.elongation, f"SELECT doc_id, array_to_string(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN i > 1 AND {_L} AND c[i] = c[i - 1] AND ((i > 2 AND c[i - 2] = c[i]) OR (i < len(c) AND c[i + 1] = c[i])) THEN '' ELSE c[i] END), '') AS out FROM {_CHARS}")
+_text_query("text_lookalike", text.lookalike, r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\s+|\S+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') OR length(regexp_replace(t, '[^4310598@]', '', 'g')) = 0 OR length(regexp_replace(t, '[^\p{L}]', '', 'g')) <= length(regexp_replace(t, '[^4310598@]', '', 'g')) THEN t ELSE translate(t, '4310598@', 'aeiosgba') END), '') AS out FROM documents")
+_text_query("text_tokens", lambda c: F.array_join(text.tokens(c), " "), f"SELECT doc_id, array_to_string({TOK}, ' ') AS out FROM documents")
+_text_query("text_teencode", lambda c: text.restore(c, text.lexicon_map({"the": "THE", "and": "plus"})), r"""SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda w: CASE lower(regexp_replace(regexp_replace(w, '^[^\p{L}\p{N}_]*', ''), '[^\p{L}\p{N}_]*$', ''))
+WHEN 'the' THEN regexp_extract(w, '^[^\p{L}\p{N}_]*') || 'THE' || regexp_extract(w, '[^\p{L}\p{N}_]*$') WHEN 'and' THEN regexp_extract(w, '^[^\p{L}\p{N}_]*') || CASE WHEN regexp_matches(w, '^[^\p{L}\p{N}_]*A') THEN 'Plus' ELSE 'plus' END || regexp_extract(w, '[^\p{L}\p{N}_]*$') ELSE w END), ' ') AS out FROM documents""")
+
+
+@query(f"SELECT count(*) AS n, count(DISTINCT c) AS n_keys, count(*) FILTER (c = '') AS n_empty, count(*) - count(DISTINCT c) AS n_repeated FROM (SELECT {CANON} AS c FROM documents)")
+def canonical_key_stats(spark, d):
+    k = read(spark, d, "documents").select(text.canonical("text").alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    return k.agg(F.sum("n").alias("n"), F.count("*").alias("n_keys"), F.sum(F.when(F.col("c") == "", F.col("n")).otherwise(0)).alias("n_empty"), F.sum(F.col("n") - 1).alias("n_repeated"))
+
+
+@query()
+def text_normalize_changed(spark, d):
+    docs = read(spark, d, "documents").select("text", text.normalize(F.col("text"), {"ko": "không", "dc": "được"}).alias("n"))
+    return docs.agg(F.count("*").alias("n"), F.count_if(F.col("n") != F.col("text")).alias("changed"))
+
+
+# ---------------------------------------------------------------- quarantine, sampling, splits
+
+
+@query(f"WITH {LAB}, k AS (SELECT doc_id, y, {CANON} AS canon, CASE WHEN doc_id % 7 = 0 THEN 1 - y ELSE y END AS y2 FROM lab), c AS (SELECT canon, min(y2) <> max(y2) AS conflict FROM k GROUP BY canon) SELECT doc_id, CASE WHEN canon = '' THEN 'empty_text' WHEN conflict THEN 'label_conflict' END AS reason FROM k JOIN c USING (canon)")
+def quarantine_conflicts(spark, d):
+    rows = corpus.with_key(labelled(spark, d)).withColumn("y2", F.when(F.col("doc_id") % 7 == 0, 1 - F.col("y")).otherwise(F.col("y")))
+    return corpus.quarantine(rows, "y2").select("doc_id", "reason")
+
+
+@query(f"SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM (SELECT CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'unexpected_label' WHEN {CANON} = '' THEN 'empty_text' WHEN {UNIT.format('CAST(doc_id AS VARCHAR)')} < 0.3 THEN 'low_confidence' END AS reason FROM documents) GROUP BY ALL")
+def reject_reasons(spark, d):
+    rows = corpus.with_key(read(spark, d, "documents").select("doc_id", "text", "lang"))
+    reason = corpus.reject_reason(F.col("lang"), ["en", "fr", "de"], F.col("canon"), hashing.unit(F.col("doc_id").cast("string")), 0.3)
+    return rows.groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, doc_id, CAST(rn AS BIGINT) AS rn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS rn FROM documents) WHERE rn <= 25")
+def priority_sample(spark, d):
+    return corpus.priority_sample(read(spark, d, "documents").select("source", "doc_id"), "source", hashing.key(F.col("doc_id").cast("string")), 25).select("source", "doc_id", F.col("rn").cast("long").alias("rn"))
+
+
+@query(f"WITH r AS (SELECT * FROM (SELECT source, doc_id, {CANON} AS canon, sha256(CAST(doc_id AS VARCHAR)) AS p, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS rn FROM documents) WHERE rn <= 25) SELECT md5(canon) AS canon, arg_min(doc_id, source || p) AS doc_id FROM r GROUP BY canon")
+def priority_sample_dedup(spark, d):
+    rows = corpus.with_key(read(spark, d, "documents").select("source", "doc_id", "text")).select("source", "doc_id", F.md5("canon").alias("canon"))
+    picked = corpus.priority_sample(rows, "source", hashing.key(F.col("doc_id").cast("string")), 25)
+    return corpus.first_per_key(picked.select("canon", "doc_id", F.concat("source", "priority").alias("o")), "canon", [F.col("o")]).select("canon", "doc_id")
+
+
+@query("WITH r AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS rn, count(*) OVER (PARTITION BY source, lang) AS n FROM documents) SELECT source, lang, count(*) AS n, count(*) FILTER (rn <= floor(n * 0.3 + 0.5)) AS targeted FROM r GROUP BY source, lang")
+def quota_per_stratum(spark, d):
+    t = corpus.exact_quota(read(spark, d, "documents").select("source", "lang", "doc_id"), ["source", "lang"], hashing.key(F.col("doc_id").cast("string")), 0.3)
+    return t.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if("targeted").alias("targeted"))
+
+
+@query(f"SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY {CANON} HAVING count(*) > 1")
+def exact_groups(spark, d):
+    rows = corpus.with_key(read(spark, d, "documents").select("doc_id", "text"))
+    return rows.groupBy("canon").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("first_id", "n")
+
+
+@query(r"SELECT k, count(*) AS n FROM (SELECT regexp_replace(html, '[^<>]', '', 'g') AS k FROM pages) GROUP BY k")
+def symbolic_groups(spark, d):
+    marks = read(spark, d, "pages").select(F.regexp_replace("html", "[^<>]", "").alias("k"))
+    return marks.groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query()
+def near_dup_components(spark, d):
+    _checkpoint(spark)
+    docs = corpus.with_key(read(spark, d, "documents").select("doc_id", "text"))
+    first = docs.groupBy("canon").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r")).select("r.*")
+    return neardup.components(neardup.near_edges(first, "doc_id"))
+
+
+def _checkpoint(spark: SparkSession) -> None:
+    """The shared folder of the session; one of our own only where none is set."""
+    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
+
+
+@query("""WITH RECURSIVE g AS (SELECT doc_id, source || ':' || lang AS a, 'n' || CAST(n_chars AS VARCHAR) AS b FROM documents), e AS (SELECT doc_id AS u, min(doc_id) OVER (PARTITION BY a) AS v FROM g UNION ALL SELECT min(doc_id) OVER (PARTITION BY a), doc_id FROM g UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY b) FROM g UNION ALL SELECT min(doc_id) OVER (PARTITION BY b), doc_id FROM g),
+r AS (SELECT doc_id AS node, doc_id AS c FROM g UNION SELECT e.u, r.c FROM r JOIN e ON r.node = e.v WHERE r.c <= e.u) SELECT node, min(c) AS component FROM r GROUP BY node""")
+def merged_groups(spark, d):
+    _checkpoint(spark)
+    rows = read(spark, d, "documents").select("doc_id", F.concat("source", F.lit(":"), "lang").alias("a"), F.concat(F.lit("n"), F.col("n_chars").cast("string")).alias("b"))
+    return neardup.merge_groupings(rows, "doc_id", ["a", "b"])
+
+
+SPLIT = f"k AS (SELECT d.doc_id, {CANON.replace('text', 'd.text')} AS canon, CASE WHEN l.toxic = 1 THEN 'HATE' ELSE 'CLEAN' END AS label, l.doc_id IS NOT NULL AS human FROM documents d LEFT JOIN labels l USING (doc_id)), g AS (SELECT md5(canon) AS g, array_to_string(list_sort(list(DISTINCT label)), '+') AS stratum, bool_and(human) AS human FROM k GROUP BY canon), s AS (SELECT g, stratum, CASE WHEN NOT human THEN 'train' WHEN u < 0.2 THEN 'test' WHEN u < 0.4 THEN 'validation' ELSE 'train' END AS split FROM (SELECT *, {UNIT.format(chr(39) + '42' + chr(39) + ' || chr(0) || stratum || chr(0) || g')} AS u FROM g))"
+
+
+def _split(spark, d):
+    labels = read(spark, d, "labels").select("doc_id", "toxic")
+    rows = corpus.with_key(read(spark, d, "documents").select("doc_id", "text")).join(labels, "doc_id", "left")
+    rows = rows.select("doc_id", F.md5("canon").alias("g"), F.when(F.col("toxic") == 1, "HATE").otherwise("CLEAN").alias("label"), F.col("toxic").isNotNull().alias("human"))
+    return rows, corpus.leakage_safe_split(rows, "g", "label", "human", 42, 0.2, 0.2)
+
+
+@query(f"WITH {SPLIT} SELECT g, stratum, split FROM s")
+def leakage_safe_split(spark, d):
+    return _split(spark, d)[1]
+
+
+@query(f"WITH {SPLIT} SELECT split, count(*) AS n, count(DISTINCT g) AS n_groups FROM (SELECT md5(canon) AS g FROM k) JOIN s USING (g) GROUP BY split")
+def split_leak_check(spark, d):
+    rows, split = _split(spark, d)
+    return rows.groupBy("g").agg(F.count("*").alias("n")).join(split, "g").groupBy("split").agg(F.sum("n").alias("n"), F.count("*").alias("n_groups"))
+
+
+@query(f"SELECT count(*) AS n FROM (SELECT {CANON} AS c FROM documents) WHERE c IN (SELECT {CANON} FROM benchmark)")
+def overlap_benchmark(spark, d):
+    other = read(spark, d, "benchmark").select(text.canonical("text").alias("c"))
+    return read(spark, d, "documents").select(text.canonical("text").alias("c")).join(other, "c", "left_semi").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, lang, arg_min(doc_id, doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY source, lang")
+def pool_first_per_group(spark, d):
+    rows = read(spark, d, "documents").select(F.concat_ws("|", "source", "lang").alias("g"), "source", "lang", "doc_id", "n_chars")
+    return corpus.first_per_key(rows, "g", [F.col("doc_id")]).select("source", "lang", "doc_id", "n_chars")
+
+
+@query(f"WITH {LAB}, r AS (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY sha256('7' || chr(0) || CAST(doc_id AS VARCHAR))) AS rn FROM lab) SELECT label, CASE WHEN rn <= 20 THEN 'clean_original' WHEN rn <= 30 THEN 'blindspot_raw' END AS part, count(*) AS n, sum(doc_id) AS ids FROM r WHERE rn <= 30 GROUP BY ALL")
+def mix_603010(spark, d):
+    t = corpus.take_ranges(keyed_labels(spark, d), "label", hashing.key(F.lit("7"), F.col("doc_id").cast("string")), {"clean_original": 20, "blindspot_raw": 10})
+    return t.where("part is not null").groupBy("label", "part").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query(f"WITH {LAB} SELECT coalesce(source, 'ALL') AS source, coalesce(label, 'ALL') AS label, count(*) AS n FROM lab GROUP BY CUBE (source, label)")
+def mix_marginals(spark, d):
+    return keyed_labels(spark, d).cube("source", "label").agg(F.count("*").alias("n")).select(F.coalesce("source", F.lit("ALL")).alias("source"), F.coalesce("label", F.lit("ALL")).alias("label"), "n")
+
+
+@query(f"WITH {LAB} SELECT source, lang, label, count(*) AS n FROM lab GROUP BY GROUPING SETS ((source, label), (lang, label))")
+def nested_counts(spark, d):
+    return keyed_labels(spark, d).groupingSets([["source", "label"], ["lang", "label"]], "source", "lang", "label").agg(F.count("*").alias("n")).select("source", "lang", "label", "n")
+
+
+# ---------------------------------------------------------------- metrics over scores
+
+SCORE = f"sc AS (SELECT s AS system, doc_id, y, round(0.6 * {UNIT.format('s || chr(0) || CAST(doc_id AS VARCHAR)')} + CASE s WHEN 'base' THEN 0.2 ELSE 0.35 END * y, 3) AS p FROM labels0, (VALUES ('base'), ('full')) t(s))"
+SC = "labels0 AS (SELECT doc_id, CAST(toxic AS INTEGER) AS y FROM labels), " + SCORE
+
+
+def scored(spark, d):
+    rows = read(spark, d, "labels").select("doc_id", F.col("toxic").cast("int").alias("y")).withColumn("system", F.explode(F.array(F.lit("base"), F.lit("full"))))
+    gain = F.when(F.col("system") == "base", 0.2).otherwise(0.35)
+    return rows.withColumn("p", F.round(F.lit(0.6) * hashing.unit("system", F.col("doc_id").cast("string")) + gain * F.col("y"), 3))
+
+
+@query(f"WITH {SC}, x AS (SELECT system, y, CAST(p > 0.5 AS INTEGER) AS pred FROM sc) {_metric_sql('x', 'system')}")
+def confusion_metrics(spark, d):
+    return metrics.scores(scored(spark, d).withColumn("pred", (F.col("p") > 0.5).cast("int")).groupBy("system").agg(*metrics.confusion()))
+
+
+@query(f"WITH {SC}, x AS (SELECT system, y, CASE WHEN doc_id % 11 = 0 THEN 1 - y ELSE CAST(p > 0.5 AS INTEGER) END AS pred FROM sc) {_metric_sql('x', 'system')}")
+def invalid_as_wrong(spark, d):
+    raw = scored(spark, d).withColumn("raw", F.when(F.col("doc_id") % 11 == 0, -1).otherwise((F.col("p") > 0.5).cast("int")))
+    return metrics.scores(raw.withColumn("pred", metrics.invalid_as_wrong(F.col("raw"), F.col("y"))).groupBy("system").agg(*metrics.confusion()))
+
+
+CURVE = "st AS (SELECT system, p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM sc GROUP BY system, p), cu AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM st WINDOW w AS (PARTITION BY system ORDER BY p DESC ROWS UNBOUNDED PRECEDING))"
+
+
+@query(f"WITH {SC}, {CURVE} SELECT system, round(coalesce(sum(pos * tp / (tp + fp)) / nullif(sum(pos), 0), 0), 6) AS average_precision FROM cu GROUP BY system")
+def average_precision(spark, d):
+    return metrics.average_precision(scored(spark, d), ["system"])
+
+
+@query(f"WITH {SC}, {CURVE} SELECT system, round(sum(neg * (2 * tp - pos) / 2.0) / nullif(sum(pos) * sum(neg), 0), 6) AS roc_auc FROM cu GROUP BY system")
+def roc_auc(spark, d):
+    return metrics.roc_auc(scored(spark, d), ["system"])
+
+
+SWEEP = f"grid AS (SELECT round(0.01 + i * (0.98 / 199), 9) AS t FROM range(200) r(i)), sx AS (SELECT system, t, y, CAST(p > t AS INTEGER) AS pred FROM sc, grid), sw AS ({_metric_sql('sx', 'system, t')})"
+
+
+@query(f"WITH {SC}, {SWEEP} SELECT system, t, f1 FROM sw QUALIFY row_number() OVER (PARTITION BY system ORDER BY f1 DESC, t) = 1")
+def threshold_sweep(spark, d):
+    return metrics.best_threshold(metrics.threshold_sweep(scored(spark, d), ["system"]), ["system"])
+
+
+@query(f"WITH {SC}, {SWEEP}, b AS (SELECT system, t AS tuned FROM sw QUALIFY row_number() OVER (PARTITION BY system ORDER BY f1 DESC, t) = 1), x AS (SELECT system || ':' || k AS system, y, CAST(p > CASE k WHEN 'tuned' THEN tuned ELSE 0.5 END AS INTEGER) AS pred FROM sc JOIN b USING (system), (VALUES ('tuned'), ('default')) q(k)) {_metric_sql('x', 'system')}")
+def tuned_vs_default(spark, d):
+    s = scored(spark, d)
+    best = metrics.best_threshold(metrics.threshold_sweep(s, ["system"]), ["system"]).select("system", F.col("t").alias("tuned"))
+    x = s.join(F.broadcast(best), "system").withColumn("kind", F.explode(F.array(F.lit("tuned"), F.lit("default"))))  # best: a row for each system
+    x = x.select(F.concat("system", F.lit(":"), "kind").alias("system"), "y", (F.col("p") > F.when(F.col("kind") == "tuned", F.col("tuned")).otherwise(0.5)).cast("int").alias("pred"))
+    return metrics.scores(x.groupBy("system").agg(*metrics.confusion()))
+
+
+@query(f"WITH {SC}, j AS (SELECT a.y, CAST(a.p > 0.5 AS INTEGER) = a.y AS ra, CAST(b.p > 0.5 AS INTEGER) = b.y AS rb FROM sc a JOIN sc b USING (doc_id) WHERE a.system = 'base' AND b.system = 'full'), n AS (SELECT count(*) FILTER (ra AND NOT rb) AS b, count(*) FILTER (rb AND NOT ra) AS c FROM j) SELECT b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2.0))))) END, 6) AS p FROM n")
+def mcnemar_test(spark, d):
+    s = scored(spark, d).withColumn("right", (F.col("p") > 0.5).cast("int") == F.col("y"))
+    side = lambda n: s.where(F.col("system") == n).select("doc_id", F.col("right").alias(n))
+    n = side("base").join(side("full"), "doc_id").agg(F.count_if(F.col("base") & ~F.col("full")).alias("b"), F.count_if(F.col("full") & ~F.col("base")).alias("c"))
+    return n.select("b", "c", F.round(metrics.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))
+
+
+@query()
+def bootstrap_interval(spark, d):
+    counts = scored(spark, d).withColumn("pred", (F.col("p") > 0.5).cast("int")).groupBy("system").agg(*metrics.confusion())
+    return metrics.bootstrap_f1(counts, ["system"])
+
+
+@query(f"WITH {SC}, x AS (SELECT system, doc_id % 3 AS cond, y, CAST(p > 0.5 AS INTEGER) AS pred FROM sc), m AS ({_metric_sql('x', 'system, cond')}) SELECT system, max(f1) FILTER (cond = 0) AS c0, max(f1) FILTER (cond = 1) AS c1, max(f1) FILTER (cond = 2) AS c2, round(max(f1) FILTER (cond = 0) - max(f1) FILTER (cond = 1), 6) AS drop01 FROM m GROUP BY system")
+def degradation_pivot(spark, d):
+    x = scored(spark, d).withColumn("cond", F.col("doc_id") % 3).withColumn("pred", (F.col("p") > 0.5).cast("int"))
+    m = metrics.scores(x.groupBy("system", "cond").agg(*metrics.confusion()))
+    p = m.groupBy("system").pivot("cond", [0, 1, 2]).agg(F.max("f1"))
+    return p.select("system", F.col("0").alias("c0"), F.col("1").alias("c1"), F.col("2").alias("c2"), F.round(F.col("0") - F.col("1"), 6).alias("drop01"))
+
+
+# ---------------------------------------------------------------- explanation
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '\S+')"
+
+
+def _turns(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", text.white_tokens("text").alias("words"))
+
+
+_KEYS = ["the", "and", "of"]
+
+
+@query(f"WITH m AS (SELECT conv_id, turn, list_transform({WORDS}, lambda w: CASE WHEN lower(w) IN ('the', 'and', 'of') THEN 1.0 ELSE 0.0 END) AS h FROM conversations) SELECT conv_id, turn, CAST(list_sum(h) AS DOUBLE) AS total, array_to_string(list_transform(range(1, len(h) + 1), lambda i: CAST(CAST(CASE WHEN i > 1 THEN h[i - 1] + h[i] + (h[i] + coalesce(h[i + 1], 0.0)) ELSE h[i] + coalesce(h[i + 1], 0.0) END AS INTEGER) AS VARCHAR)), ',') AS importance FROM m WHERE len(h) > 0")
+def occlusion_importance(spark, d):
+    imp = explain.occlusion(F.col("words"), explain.keyword_margin(_KEYS, 0.0), 2)
+    hits = explain.keyword_margin(_KEYS, 0.0)
+    return _turns(spark, d).where(F.size("words") > 0).select("conv_id", "turn", hits(F.col("words")).alias("total"), F.array_join(F.transform(imp, lambda v: v.cast("int").cast("string")), ",").alias("importance"))
+
+
+@query(f"WITH m AS (SELECT conv_id, turn, {WORDS} AS w FROM conversations) SELECT conv_id, turn, array_to_string(list_sort(list_slice(list_transform(list_sort(list_transform(range(0, len(w)), lambda i: {{'v': -length(w[i + 1]), 'i': i}})), lambda x: x.i), 1, 3)), ',') AS top FROM m")
+def topk_words(spark, d):
+    lens = F.transform("words", lambda w: F.length(w).cast("double"))
+    return _turns(spark, d).select("conv_id", "turn", F.array_join(F.transform(explain.top_words(lens, 3), lambda i: i.cast("string")), ",").alias("top"))
+
+
+LOC = f"g AS (SELECT conv_id, turn, list_filter(range(0, len(w)), lambda i: length(w[i + 1]) >= 6) AS gold, list_filter(range(0, len(w)), lambda i: length(w[i + 1]) >= 5 AND i % 3 <> 0) AS pred FROM (SELECT conv_id, turn, {WORDS} AS w FROM conversations)), c AS (SELECT len(list_intersect(gold, pred)) AS tp, len(pred) - len(list_intersect(gold, pred)) AS fp, len(gold) - len(list_intersect(gold, pred)) AS fn FROM g)"
+
+
+@query(f"WITH {LOC} SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1, round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS macro_f1 FROM c")
+def localization_micro_macro(spark, d):
+    ids = lambda ok: F.filter(F.transform("words", lambda w, i: F.when(ok(F.length(w), i), i)), lambda x: x.isNotNull())
+    c = _turns(spark, d).select(*metrics.localisation(ids(lambda n, i: n >= 6), ids(lambda n, i: (n >= 5) & (i % 3 != 0))))
+    f = F.coalesce(F.try_divide(2.0 * F.col("tp"), (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double")), F.lit(0.0))
+    return c.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.round(F.avg(f), 6).alias("macro_f1")).select("tp", "fp", "fn", F.round(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("micro_f1"), "macro_f1")
+
+
+# ---------------------------------------------------------------- dictionaries, quality, reports
+
+
+@query(r"WITH p AS (SELECT lower(text) AS a, regexp_replace(lower(text), 'tion', 'sh', 'g') AS b FROM documents), r AS (SELECT unnest(regexp_split_to_array(trim(a), '\s+')) AS original, unnest(regexp_split_to_array(trim(b), '\s+')) AS normalized FROM p), f AS (SELECT original, normalized, count(*) AS freq FROM r WHERE original <> normalized AND original <> '' AND normalized <> '' GROUP BY ALL) SELECT * FROM f WHERE freq >= 2 QUALIFY row_number() OVER (PARTITION BY original ORDER BY freq DESC, normalized) = 1 AND freq >= 0.7 * sum(freq) OVER (PARTITION BY original)")
+def dictionary_induce(spark, d):
+    pairs = read(spark, d, "documents").select(F.lower("text").alias("a"), F.regexp_replace(F.lower("text"), "tion", "sh").alias("b"))
+    return lexicon.induce_dictionary(lexicon.pair_frequency(pairs, "a", "b"))
+
+
+@query("WITH e AS (SELECT DISTINCT trim(substr(p_name, 1, 4)) AS variant, trim(substr(p_name, 1, 6)) AS standard FROM part), c AS (SELECT lower(variant) AS k FROM e GROUP BY 1 HAVING count(DISTINCT lower(standard)) > 1), f AS (SELECT lower(variant) AS k, min(variant) AS first FROM e GROUP BY 1), v AS (SELECT DISTINCT lower(variant) AS v FROM e WHERE lower(variant) <> lower(standard)) SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM (SELECT CASE WHEN variant = '' OR standard = '' THEN 'empty' WHEN lower(variant) = lower(standard) THEN 'identity' WHEN lower(variant) IN (SELECT k FROM c) THEN 'dictionary_conflict' WHEN variant <> f.first THEN 'normalized_duplicate' WHEN lower(standard) IN (SELECT v FROM v) THEN 'chain' END AS reason FROM e JOIN f ON f.k = lower(variant)) GROUP BY 1")
+def lexicon_compile(spark, d):
+    entries = read(spark, d, "part").select(F.substring("p_name", 1, 4).alias("variant"), F.substring("p_name", 1, 6).alias("standard"))
+    good, bad = lexicon.compile_lexicon(entries)
+    ok = good.select(F.explode("variants"), F.lit("accepted").alias("reason")).select("reason")
+    return ok.unionAll(bad.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("WITH r AS (SELECT source, CAST(n_chars AS DOUBLE) / 1000 AS v, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, round(max(v) FILTER (i = round_even((n - 1) * 0.05, 0)), 6) AS p05, round(max(v) FILTER (i = round_even((n - 1) * 0.5, 0)), 6) AS p50, round(max(v) FILTER (i = round_even((n - 1) * 0.95, 0)), 6) AS p95 FROM r GROUP BY source")
+def rank_percentiles(spark, d):
+    w = W.partitionBy("source")
+    r = read(spark, d, "documents").select("source", "doc_id", "n_chars").withColumns({"i": F.row_number().over(w.orderBy("n_chars", "doc_id")) - 1, "n": F.count("*").over(w)})
+    at = lambda q: F.round(F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * q, 0), F.col("n_chars") / 1000)), 6)
+    return r.groupBy("source").agg(at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+
+
+@query("SELECT sha256(string_agg(h, '' ORDER BY doc_id)) AS fingerprint, count(*) AS n FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || chr(0) || text || chr(0) || lang || chr(0) || source) AS h FROM documents)")
+def dataset_fingerprint(spark, d):
+    """Rows are hashed where they lie; the ordered hashes (64 characters a row) are joined for the report."""
+    rows = read(spark, d, "documents").select("doc_id", hashing.key(F.col("doc_id").cast("string"), "text", "lang", "source").alias("h"))
+    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"), F.count("*").alias("n"))
+
+
+@query(f"SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN n_chars <> length(text) THEN 'length' END, CASE WHEN lang NOT IN ('en', 'fr') THEN 'language' END, CASE WHEN n_chars < 50 THEN 'short' END], lambda x: x IS NOT NULL)) AS rule FROM documents) GROUP BY rule")
+def qa_violations(spark, d):
+    rules = {"empty": F.trim("text") == "", "length": F.col("n_chars") != F.length("text"), "language": ~F.col("lang").isin("en", "fr"), "short": F.col("n_chars") < 50}
+    hit = F.filter(F.array(*[F.when(c, r) for r, c in rules.items()]), lambda x: x.isNotNull())
+    return read(spark, d, "documents").select(F.explode(hit).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query()
+def message_scan(spark, d):
+    return messages.scan(read(spark, d, "conversations"), ["the", "and"], {"ko": "không"}).select("conv_id", "turn", "label", F.round("confidence", 6).alias("confidence"), "flagged", "level")
+
+
+# ---------------------------------------------------------------- relational surface
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL")
+def pricing_summary(spark, d):
+    return read(spark, d, "lineitem").where("l_shipdate <= date'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.avg("l_discount"), 6).alias("disc"))
+
+
+@query("SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def nation_orders(spark, d):
+    j = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_nationkey")
+def customers_without_orders(spark, d):
+    return read(spark, d, "customer").join(read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id, CAST(sum(CASE WHEN g THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE AS g FROM events)")
+def event_sessions(spark, d):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.coalesce((F.col("ts") - F.lag("ts").over(w)) > F.expr("interval 30 minutes"), F.lit(False))
+    return read(spark, d, "events").withColumn("g", gap.cast("int")).select("event_id", "user_id", F.sum("g").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("session"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    e = read(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return e.select(F.col("window.start").alias("start"), "event_type", "n", "total")
