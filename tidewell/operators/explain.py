@@ -6,20 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value worked out once for a row, which an expression named inside a lambda isn't."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def occlusion(words: Column, margin, window: int = 1) -> Column:
     """Importance of each word: the sum of the drops of margin(words) over the windows that cover it, cut at the end."""
-    full = margin(words)
-    rest = lambda s: F.concat(F.slice(words, F.lit(1), s), F.slice(words, s + window + 1, F.greatest(F.size(words) - s - window, F.lit(0))))
-    drops = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda s: full - margin(rest(s)))
-    cover = lambda i: F.slice(drops, F.greatest(i - window + 2, F.lit(1)), F.least(F.lit(window), i + 1))
-    out = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.aggregate(cover(i), F.lit(0.0), lambda acc, x: acc + x))
-    return F.when(F.size(words) > 0, out).otherwise(F.array().cast("array<double>"))
+
+    def of(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - 1)
+        rest = lambda s: F.concat(F.slice(w, F.lit(1), s), F.slice(w, s + window + 1, F.greatest(F.size(w) - s - window, F.lit(0))))
+        cover = lambda drops, i: F.slice(drops, F.greatest(i - window + 2, F.lit(1)), F.least(F.lit(window), i + 1))
+        drops = let(margin(w), lambda full: F.transform(at, lambda s: full - margin(rest(s))))
+        return let(drops, lambda d: F.transform(at, lambda i: F.aggregate(cover(d, i), F.lit(0.0), lambda acc, x: acc + x)))
+
+    return F.when(F.size(words) > 0, let(words, of)).otherwise(F.array().cast("array<double>"))
 
 
 def peak(values: Column) -> Column:
     """Shares of the greatest value; all zero if that isn't positive."""
-    top = F.array_max(values)
-    return F.transform(values, lambda v: F.when(top > 0, v / top).otherwise(F.lit(0.0)))
+    return let(values, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.when(top > 0, x / top).otherwise(F.lit(0.0)))))
 
 
 def top_words(values: Column, k: int) -> Column:

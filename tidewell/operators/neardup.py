@@ -86,7 +86,7 @@ def merge_groupings(df: DataFrame, key: str, groupings: list[str]) -> DataFrame:
     """(node, component) of rows that share a group in any of the groupings, transitively: rows meet through each group's least row."""
     edges = None
     for g in groupings:
-        least = df.groupBy(g).agg(F.min(key).alias("b"))
-        e = df.join(least, g).select(F.col(key).alias("a"), "b")
+        least = df.groupBy(F.col(g).alias("__g")).agg(F.min(key).alias("__least"))
+        e = df.select(F.col(key).alias("a"), F.col(g).alias("__g")).join(least, "__g").select("a", F.col("__least").alias("b"))
         edges = e if edges is None else edges.union(e)
     return components(edges)

@@ -226,7 +226,7 @@ def pool_first_per_group(spark, d):
     return corpus.first_per_key(rows, "g", [F.col("doc_id")]).select("source", "lang", "doc_id", "n_chars")
 
 
-@query(f"WITH {LAB}, r AS (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY sha256('7' || chr(0) || CAST(doc_id AS VARCHAR))) AS rn FROM lab) SELECT label, CASE WHEN rn <= 20 THEN 'clean_original' WHEN rn <= 30 THEN 'blindspot_raw' END AS part, count(*) AS n, sum(doc_id) AS ids FROM r WHERE rn <= 30 GROUP BY ALL")
+@query(f"WITH {LAB}, r AS (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY sha256('7' || chr(0) || CAST(doc_id AS VARCHAR))) AS rn FROM lab) SELECT label, CASE WHEN rn <= 20 THEN 'clean_original' WHEN rn <= 30 THEN 'blindspot_raw' END AS part, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM r WHERE rn <= 30 GROUP BY ALL")
 def mix_603010(spark, d):
     t = corpus.take_ranges(keyed_labels(spark, d), "label", hashing.key(F.lit("7"), F.col("doc_id").cast("string")), {"clean_original": 20, "blindspot_raw": 10})
     return t.where("part is not null").groupBy("label", "part").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
