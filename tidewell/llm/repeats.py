@@ -99,7 +99,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     key = np.zeros(n, U64)
     for j in range(7):  # seven symbols of nine bits
         key = key << U64(9) | x[j : j + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     k = key[sa]
     new = np.append(True, k[1:] != k[:-1])
     rank = np.empty(n, np.int64)
@@ -114,7 +114,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         pos = sa[at]
         nxt = np.where(pos + step < n, rank[np.minimum(pos + step, n - 1)] + 1, 0)
         key = rank[pos] * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         pos, key = pos[order], key[order]
         sa[at] = pos
         new[at] = np.append(True, key[1:] != key[:-1])
@@ -123,8 +123,11 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def matching(t: np.ndarray) -> np.ndarray:
-    """For each position the length of its longest match with another position, from samples at run ends of the transform only."""
+def matching(t: np.ndarray, least: int = 1) -> np.ndarray:
+    """For each position the length of its longest match with another position, from samples at run ends of the transform only.
+
+    Lengths below least may come out as less: a sample below it counts as 0.
+    """
     n = len(t)
     sa = suffix_array(t)
     bwt = t[sa - 1].astype(np.int16)
@@ -137,7 +140,7 @@ def matching(t: np.ndarray) -> np.ndarray:
         ok = edge > 0 if heads else edge < n - 1
         at = sa[edge]
         length = np.zeros(len(edge), np.int64)
-        length[ok] = _lcp(t, at[ok], sa[edge[ok] + (-1 if heads else 1)])
+        length[ok] = _lcp(t, at[ok], sa[edge[ok] + (-1 if heads else 1)], least)
         order = np.argsort(at)
         at, length = at[order], length[order]
         first = np.repeat(np.arange(len(at)), np.diff(np.append(at, n)))
@@ -146,11 +149,15 @@ def matching(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lcp(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common prefix lengths of suffixes a and b: halving steps over prefix hashes."""
+def _lcp(t: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Common prefix lengths of suffixes a and b, 0 if below least: one look at that length, then halving steps over prefix hashes."""
     n = len(t)
     h = common.prefix_hash(t)
     _, q = common.powers(n)
+    out = np.zeros(len(a), np.int64)
+    fit = np.flatnonzero(np.maximum(a, b) + least <= n)
+    far = fit[(h[a[fit] + least] - h[a[fit]]) * q[a[fit]] == (h[b[fit] + least] - h[b[fit]]) * q[b[fit]]]
+    a, b = a[far], b[far]
     room = np.minimum(n - a, n - b)
     low = np.zeros(len(a), np.int64)
     step = 1 << n.bit_length()
@@ -161,7 +168,8 @@ def _lcp(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         same = can & ((h[a + m] - h[a]) * q[a] == (h[b + m] - h[b]) * q[b])
         low = np.where(same, m, low)
         step >>= 1
-    return low
+    out[far] = low
+    return out
 
 
 def block_repeats(segments: list[np.ndarray], min_bytes: int) -> list[np.ndarray]:
@@ -171,7 +179,7 @@ def block_repeats(segments: list[np.ndarray], min_bytes: int) -> list[np.ndarray
     t = np.full(int(lens.sum() + len(lens)), 255, np.uint8)  # a byte that UTF-8 has not
     for s, x in zip(start.tolist(), segments):
         t[s : s + len(x)] = x
-    ms = matching(t)
+    ms = matching(t, min_bytes)
     return [ms[s : s + n - min_bytes + 1] >= min_bytes for s, n in zip(start.tolist(), lens.tolist())]
 
 
