@@ -266,7 +266,8 @@ def repeated_spans(indexed: DataFrame, docs: DataFrame, min_bytes: int, text: st
     one = long_enough.select("tid", "doc_id", "h", "pos", "w0", "w1").join(first, ["tid", "doc_id"]).dropDuplicates(["tid"])
     flat = one.select("tid", "doc_id", F.explode(F.arrays_zip("h", "pos", "w0", "w1")).alias("m")).select("tid", "doc_id", "m.*")
     flat = common.table(flat, "anchors")
-    twice = flat.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that both sides of the join are dealt anew and a hot anchor's side can be split
+    twice = common.table(flat.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     marks = flat.join(twice, "h").groupBy("tid", "doc_id").agg(F.collect_list(F.struct("h", "pos", "w0", "w1")).alias("marks"))  # within one document
     held = docs.select("doc_id", F.col(text).alias("text")).join(marks, "doc_id").where(F.unhex(F.substring(F.sha2("text", 256), 1, 32)) == F.col("tid"))
     held = common.table(held.dropDuplicates(["tid"]).select("tid", "text", "marks"), "held")
