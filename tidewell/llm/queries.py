@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import ann, decontaminate, langid, lmscore, minhash, packing, repeats, secrets, sharding, tokens
-from tidewell.llm.common import read
+from tidewell.llm.common import read, table
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each encoded length, with sums on both sides of it."""
-    return tokens.suffix_sums(tokens.length_histogram(tokens.token_counts(read(spark, sf_dir, "documents").select("text"))))
+    hist = tokens.length_histogram(tokens.token_counts(read(spark, sf_dir, "documents").select("text")))
+    return tokens.suffix_sums(table(hist, "lengths"))  # written, as the sums read it more than once
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
