@@ -378,11 +378,13 @@ def rank_percentiles(spark, d):
     return r.groupBy("source").agg(at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
-@query("SELECT sha256(string_agg(h, '' ORDER BY doc_id)) AS fingerprint, count(*) AS n FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || chr(0) || text || chr(0) || lang || chr(0) || source) AS h FROM documents)")
+@query("SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id // 4096 AS b, sha256(string_agg(h, '' ORDER BY doc_id, h)) AS h, count(*) AS n FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || chr(0) || text || chr(0) || lang || chr(0) || source) AS h FROM documents) GROUP BY 1)")
 def dataset_fingerprint(spark, d):
-    """Rows are hashed where they lie; the ordered hashes (64 characters a row) are joined for the report."""
+    """A tree of hashes: rows where they lie, then ranges of 4,096 ids, then the ranges in order."""
     rows = read(spark, d, "documents").select("doc_id", hashing.key(F.col("doc_id").cast("string"), "text", "lang", "source").alias("h"))
-    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"), F.count("*").alias("n"))
+    joined = lambda order: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "h"))), lambda x: x["h"]), ""), 256)
+    ranges = rows.groupBy(F.expr("doc_id div 4096").alias("b")).agg(joined("doc_id").alias("h"), F.count("*").alias("n"))
+    return ranges.agg(joined("b").alias("fingerprint"), F.sum("n").alias("n"))
 
 
 @query(f"SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN n_chars <> length(text) THEN 'length' END, CASE WHEN lang NOT IN ('en', 'fr') THEN 'language' END, CASE WHEN n_chars < 50 THEN 'short' END], lambda x: x IS NOT NULL)) AS rule FROM documents) GROUP BY rule")
