@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import hashing, text
-from tidewell.operators import corpus, explain, lexicon, metrics, neardup
+from tidewell.operators import corpus, explain, lexicon, metrics, neardup, variants
 from tidewell.streaming import messages
 
 QUERIES: dict = {}
@@ -110,6 +110,9 @@ _text_query("text_tokens", lambda c: F.array_join(text.tokens(c), " "), f"SELECT
 _text_query("text_teencode", lambda c: text.restore(c, text.lexicon_map({"the": "THE", "and": "plus"})), r"""SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda w: CASE lower(regexp_replace(regexp_replace(w, '^[^\p{L}\p{N}_]*', ''), '[^\p{L}\p{N}_]*$', ''))
 WHEN 'the' THEN regexp_extract(w, '^[^\p{L}\p{N}_]*') || 'THE' || regexp_extract(w, '[^\p{L}\p{N}_]*$') WHEN 'and' THEN regexp_extract(w, '^[^\p{L}\p{N}_]*') || CASE WHEN regexp_matches(w, '^[^\p{L}\p{N}_]*A') THEN 'Plus' ELSE 'plus' END || regexp_extract(w, '[^\p{L}\p{N}_]*$') ELSE w END), ' ') AS out FROM documents""")
 
+_text_query("variant_fullwidth", variants.fullwidth, f"SELECT doc_id, translate(text, '{variants.ASCII.replace(chr(39), chr(39) * 2)}', '{variants.FULLWIDTH}') AS out FROM documents")
+_text_query("variant_zero_width", variants.zero_width, rf"SELECT doc_id, regexp_replace(text, '([a-zA-Z])([a-zA-Z]{{2,}})', '\1' || chr(8203) || '\2', 'g') AS out FROM documents")
+
 
 @query(f"SELECT count(*) AS n, count(DISTINCT c) AS n_keys, count(*) FILTER (c = '') AS n_empty, count(*) - count(DISTINCT c) AS n_repeated FROM (SELECT {CANON} AS c FROM documents)")
 def canonical_key_stats(spark, d):
