@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,9 @@ LETTERS = "a-zA-ZÀ-ỹ"
 #: Look-alike digits and signs, and the letters they stand for.
 LOOKALIKE_FROM, LOOKALIKE_TO = "4310598@", "aeiosgba"
 SEPARATORS = r".\-_·~"
+_LOOKALIKE = str.maketrans(LOOKALIKE_FROM, LOOKALIKE_TO)
+#: From the first to the last letter, digit or underscore of a token.
+_CORE = regex.compile(r"[\p{L}\p{N}_](?:.*[\p{L}\p{N}_])?", regex.DOTALL)
 #: Punctuation cut from the ends of dictionary tokens.
 EDGE = r"""[.,!?;:"'()\[\]{}<>*~`_\-]"""
 
@@ -23,17 +28,16 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf(T.StringType())
-def fold(s: pd.Series) -> pd.Series:
+def strip_marks(x: str) -> str:
     """Without diacritics; the crossed d becomes d."""
+    x = unicodedata.normalize("NFD", x.replace("đ", "d").replace("Đ", "D"))
+    return "".join(c for c in x if not unicodedata.combining(c))
 
-    def one(x):
-        if x is None:
-            return None
-        x = unicodedata.normalize("NFD", x.replace("đ", "d").replace("Đ", "D"))
-        return "".join(c for c in x if not unicodedata.combining(c))
 
-    return s.map(one)
+@F.pandas_udf(T.StringType())
+def fold(s: pd.Series) -> pd.Series:
+    """strip_marks of a column."""
+    return s.map(lambda x: None if x is None else strip_marks(x))
 
 
 @F.pandas_udf(T.StringType())
@@ -79,21 +83,18 @@ def elongation(text: Column) -> Column:
     return F.regexp_replace(text, rf"([{LETTERS}])\1{{2,}}", "$1")
 
 
-@F.pandas_udf(T.StringType())
-def plain_after_marked(s: pd.Series) -> pd.Series:
+def drop_plain(x: str) -> str:
     """A letter goes if the input's letter before it has a mark and the same base."""
+    if not x or x.isascii():
+        return x
+    keep = [True] + [not (p != c and p.isalpha() and c.isalpha() and strip_marks(p) == strip_marks(c) != p) for p, c in zip(x, x[1:])]
+    return "".join(c for c, k in zip(x, keep) if k)
 
-    def base(c: str) -> str:
-        d = unicodedata.normalize("NFD", c.replace("đ", "d").replace("Đ", "D"))
-        return "".join(x for x in d if not unicodedata.combining(x))
 
-    def one(x):
-        if not x or x.isascii():
-            return x
-        keep = [True] + [not (p != c and p.isalpha() and c.isalpha() and base(p) == base(c) != p) for p, c in zip(x, x[1:])]
-        return "".join(c for c, k in zip(x, keep) if k)
-
-    return s.map(one)
+@F.pandas_udf(T.StringType())
+def plain_after_marked(s: pd.Series) -> pd.Series:
+    """drop_plain of a column."""
+    return s.map(lambda x: None if x is None else drop_plain(x))
 
 
 def restore(text: Column, lexicon: Column) -> Column:
@@ -123,6 +124,30 @@ def normalize(text: Column, entries: dict[str, str]) -> Column:
     return restore(out, lexicon_map(entries)) if entries else out
 
 
+def normalize_one(x: str, entries: dict[str, str] | None = None) -> str:
+    """normalize of one text in plain Python, for generators that retry inside a batch."""
+
+    def letters(m: re.Match[str]) -> str:
+        t = m[0]
+        like = sum(c in LOOKALIKE_FROM for c in t)
+        if "0" <= t[0] <= "9" or not like or sum(map(str.isalpha, t)) <= like:
+            return t
+        return t.translate(_LOOKALIKE)
+
+    def known(w: str) -> str:
+        core = _CORE.search(w)
+        new = entries.get(core[0].lower()) if core else None
+        if new is None:
+            return w
+        cap = core[0][0]
+        return w[: core.start()] + (new[:1].upper() + new[1:] if cap == cap.upper() != cap.lower() else new) + w[core.end() :]
+
+    x = re.sub(r"[^ \t\n\x0b\f\r]+", letters, unicodedata.normalize("NFC", x))
+    x = re.sub(f"(?<=[{LETTERS}])[{SEPARATORS}](?=[{LETTERS}])", "", x)
+    x = drop_plain(re.sub(rf"([{LETTERS}])\1{{2,}}", r"\1", x))
+    return " ".join(map(known, regex.findall(r"\P{White_Space}+", x))) if entries else x
+
+
 def strip_edges(token: Column) -> Column:
     return F.regexp_replace(token, f"^{EDGE}+|{EDGE}+$", "")
 

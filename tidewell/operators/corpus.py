@@ -67,3 +67,25 @@ def take_ranges(df: DataFrame, stratum: str, order: Column, counts: dict[str, in
         part = F.when((F.col("rn") > at - n) & (F.col("rn") <= at), name).otherwise(part)
         at -= n
     return ranked.withColumn("part", part)
+
+
+def mix_plan(perturbed: dict[str, int], pool: dict[str, int], clean: float = 0.3, blind: float = 0.1, balanced: bool = True) -> dict[str, dict[str, int]]:
+    """Rows to take of each part and label, from what there is: perturbed rows, and a pool of originals for the other two parts.
+
+    Balanced: labels get equal numbers, as many as the scarcest of both allows. Else all perturbed rows, and the pool's label shares.
+    Halves round to even.
+    """
+    labels, keep = list(perturbed), 1 - clean - blind
+    if balanced:
+        each = min(min(perturbed.values()) / keep, min(pool.values()) / (clean + blind))
+        return {part: dict.fromkeys(labels, round(each * share)) for part, share in (("perturbed", keep), ("clean_original", clean), ("blindspot_raw", blind))}
+    total, n = sum(perturbed.values()) / keep, sum(pool.values())
+    return {"perturbed": dict(perturbed), **{part: {k: round(total * share * pool[k] / n) for k in labels} for part, share in (("clean_original", clean), ("blindspot_raw", blind))}}
+
+
+def take_until(df: DataFrame, stratum: str, order: Column, made: Column, counts: dict[str, int]) -> DataFrame:
+    """The first counts[stratum] rows in the order whose generated value `made` isn't null, with `failed`: the nulls passed over before them."""
+    w = W.partitionBy(stratum).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    ranked = df.withColumns({"kept": F.count(made).over(w), "failed": F.count_if(made.isNull()).over(w)})
+    quota = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[F.col(stratum)]
+    return ranked.where(made.isNotNull() & (F.col("kept") <= quota))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import fold
+from tidewell.operators.obfuscate import CYRILLIC, DIGITS
 
 #: Printable ASCII and its full-width forms, 0xFEE0 further on.
 ASCII = "".join(map(chr, range(0x21, 0x7F)))
@@ -22,6 +23,15 @@ def zero_width(text: Column) -> Column:
     return F.regexp_replace(text, r"([a-zA-Z])([a-zA-Z]{2,})", f"$1{ZERO_WIDTH}$2")
 
 
+def lookalike_digits(text: Column) -> Column:
+    """Letters as the digits they look like, capitals too."""
+    return F.translate(text, "".join(DIGITS) + "".join(DIGITS).upper(), "".join(DIGITS.values()) * 2)
+
+
+def cyrillic(text: Column) -> Column:
+    return F.translate(text, "".join(CYRILLIC), "".join(CYRILLIC.values()))
+
+
 def without_marks(text: Column) -> Column:
     return fold(text)
 

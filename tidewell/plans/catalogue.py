@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import hashing, text
-from tidewell.operators import corpus, explain, lexicon, metrics, neardup, variants
+from tidewell.operators import corpus, explain, lexicon, metrics, neardup, obfuscate, quality, variants
 from tidewell.streaming import messages
 
 QUERIES: dict = {}
@@ -356,6 +356,116 @@ def localization_micro_macro(spark, d):
     return c.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.round(F.avg(f), 6).alias("macro_f1")).select("tp", "fp", "fn", F.round(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("micro_f1"), "macro_f1")
 
 
+SPAN = f"s AS (SELECT conv_id, turn, w, list_transform(range(1, len(w) + 1), lambda i: CAST(list_sum(list_transform(w[1:i], lambda x: length(x))) + i - 1 AS BIGINT)) AS e FROM (SELECT conv_id, turn, {WORDS} AS w FROM conversations))"
+
+
+@query(f"WITH {SPAN} SELECT conv_id, turn, array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN (e[i] - 1) // 7 * 7 >= e[i] - length(w[i]) THEN '1' ELSE '0' END), '') AS mask FROM s")
+def span_mask(spark, d):
+    """Every seventh character is marked."""
+    chars = F.length(F.array_join("words", " "))
+    marked = F.when(chars > 0, F.sequence(F.lit(0), chars - 1, F.lit(7))).otherwise(F.array().cast("array<int>"))
+    return _turns(spark, d).select("conv_id", "turn", F.array_join(F.transform(explain.span_mask(F.col("words"), marked), lambda x: x.cast("string")), "").alias("mask"))
+
+
+@query(f"SELECT conv_id, turn, md5(array_to_string(list_transform({WORDS}, lambda w: CASE WHEN length(w) >= 7 THEN '**' || w || '**' WHEN length(w) >= 5 THEN '*' || w || '*' ELSE w END), ' ')) AS rendered FROM conversations")
+def highlight_render(spark, d):
+    values = F.transform("words", lambda w: F.when(F.length(w) >= 7, 0.25).when(F.length(w) >= 5, 0.15).otherwise(0.0))
+    return _turns(spark, d).select("conv_id", "turn", F.md5(text.highlight(F.col("words"), values, 0.15)).alias("rendered"))
+
+
+@query(f"WITH v AS (SELECT length(x) AS n, count(*) FILTER (i % 3 = 0) AS g, count(*) FILTER (i % 3 <> 0) AS o FROM (SELECT unnest(w) AS x, unnest(range(0, len(w))) AS i FROM (SELECT {WORDS} AS w FROM conversations)) GROUP BY 1), t AS (SELECT unnest(range(1, 13)) AS t), k AS (SELECT t, coalesce(sum(g) FILTER (n >= t), 0) AS tp, coalesce(sum(o) FILTER (n >= t), 0) AS fp, coalesce(sum(g) FILTER (n < t), 0) AS fn FROM v, t GROUP BY t) SELECT t, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM k")
+def localization_sweep(spark, d):
+    """Words of at least t letters are predicted; every third word is gold. Words are counted by length before they meet the twelve thresholds."""
+    words = _turns(spark, d).select(F.posexplode("words").alias("i", "w")).groupBy(F.length("w").alias("n")).agg(F.count_if(F.col("i") % 3 == 0).alias("g"), F.count_if(F.col("i") % 3 != 0).alias("o"))
+    at = words.crossJoin(F.broadcast(spark.range(1, 13).withColumnRenamed("id", "t")))
+    part = lambda c, ok, name: F.sum(F.when(ok, F.col(c)).otherwise(F.lit(0))).alias(name)
+    k = at.groupBy("t").agg(part("g", F.col("n") >= F.col("t"), "tp"), part("o", F.col("n") >= F.col("t"), "fp"), part("g", F.col("n") < F.col("t"), "fn"))
+    return k.withColumn("f1", F.round(F.coalesce(F.try_divide(2.0 * F.col("tp"), (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double")), F.lit(0.0)), 6))
+
+
+# ---------------------------------------------------------------- variants of messages
+
+#: A lexicon of these queries' own.
+CHAT = obfuscate.Lexicon({"and": ("nd", "n"), "the": ("da", "tha"), "you": ("u", "ya"), "please": ("pls", "plz"), "thanks": ("thx", "ty"), "with": ("w",), "are": ("r",), "for": ("4",)}, "chat")
+
+
+def _messages(spark, d):
+    """sample_id, text, label, target_split: whole turns; the labels are drawn by hash."""
+    m = read(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sample_id"), F.col("conv_id").cast("string").alias("duplicate_group_id"), F.col("role").alias("source_dataset"), "text")
+    u = hashing.unit(F.lit("split"), F.col("duplicate_group_id"))
+    return m.withColumns({"label": F.when(hashing.unit(F.col("sample_id")) < 0.3, "HATE").otherwise("CLEAN"), "target_split": F.when(u < 0.1, "test").when(u < 0.2, "validation").otherwise("train")})
+
+
+@query()
+def variant_controlled(spark, d):
+    v = obfuscate.perturb(_messages(spark, d).withColumn("seed", obfuscate.seed_of(F.lit("42"), "sample_id")), "text", "label", "seed", CHAT)
+    return v.select("sample_id", "seed", F.col("variant.perturbed_text").alias("perturbed_text"), F.array_join("variant.perturbation_types", ",").alias("types"), F.col("variant.perturbation_count").alias("n_edits"))
+
+
+@query()
+def variant_trace_replay(spark, d):
+    """Traces that don't lead to their variant: none."""
+    v = obfuscate.perturb(_messages(spark, d).withColumn("seed", obfuscate.seed_of(F.lit("42"), "sample_id")), "text", "label", "seed", CHAT).select("text", "variant.*")
+    return v.agg(F.count("*").alias("n"), F.count("perturbed_text").alias("n_variants"), F.count_if(quality.replay(F.col("text"), F.col("perturbation_edits")) == F.col("perturbed_text")).alias("n_replayed"))
+
+
+@query()
+def variant_blind_spots(spark, d):
+    v = obfuscate.blind_spots(_messages(spark, d).withColumn("seed", obfuscate.seed_of(F.lit("7"), "sample_id")), "text", "seed")
+    return v.select("sample_id", F.col("variant.text").alias("variant"), F.array_join("variant.techniques", ",").alias("techniques"))
+
+
+@query(f"SELECT conv_id, turn, md5(translate(text, 'aeiosgbAEIOSGB', '43105984310598')) AS digits, md5(translate(text, 'aeo', 'аео')) AS homoglyph, md5(translate(text, '{''.join(obfuscate.CYRILLIC)}', '{''.join(obfuscate.CYRILLIC.values())}')) AS cyrillic, md5(list_aggregate(list_transform(string_split(text, ''), lambda c: CASE WHEN c >= '!' AND c <= '~' AND length(c) = 1 AND ascii(c) < 127 THEN chr(ascii(c) + 65248) ELSE c END), 'string_agg', '')) AS fullwidth FROM conversations")
+def variant_full_intensity(spark, d):
+    t = F.col("text")
+    each = {"digits": variants.lookalike_digits(t), "homoglyph": F.translate(t, "aeo", "аео"), "cyrillic": variants.cyrillic(t), "fullwidth": variants.fullwidth(t)}
+    return read(spark, d, "conversations").select("conv_id", "turn", *[F.md5(v).alias(k) for k, v in each.items()])
+
+
+@query("WITH c AS (SELECT conv_id, turn, text AS c0, translate(text, 'aeiosgbAEIOSGB', '43105984310598') AS c1, translate(text, 'aeo', 'аео') AS c2 FROM conversations WHERE text IS NOT NULL), u AS (UNPIVOT c ON c0, c1, c2 INTO NAME condition VALUE t) SELECT condition, count(*) AS n, count(DISTINCT conv_id || ':' || turn) AS n_rows, CAST(sum(length(t)) AS BIGINT) AS chars, count(DISTINCT md5(t)) AS n_texts FROM u GROUP BY condition")
+def eval_pairs(spark, d):
+    """Every message under three conditions, row by row the same ids: one scan, no join."""
+    m = read(spark, d, "conversations").where("text is not null")
+    t = F.col("text")
+    long = m.select(F.concat_ws(":", "conv_id", "turn").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(k).alias("condition"), v.alias("t")) for k, v in {"c0": t, "c1": variants.lookalike_digits(t), "c2": F.translate(t, "aeo", "аео")}.items()])).alias("x")).select("row_id", "x.*")
+    return long.groupBy("condition").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("n_rows"), F.sum(F.length("t")).alias("chars"), F.count_distinct(F.md5("t")).alias("n_texts"))
+
+
+def _augmented(spark, d):
+    _checkpoint(spark)
+    m = _messages(spark, d).withColumn("teencode_valid_span_count", obfuscate.valid_spans("text", "label", CHAT)).withColumn("teencode_eligible", F.col("teencode_valid_span_count") > 0)
+    m = m.checkpoint()
+    q = corpus.exact_quota(m.where("teencode_eligible"), ["label", "target_split"], hashing.key(F.lit("quota"), "sample_id"), 0.4).where("targeted").select("sample_id", F.lit(True).alias("teencode_targeted"))
+    m = m.join(q, "sample_id", "left").withColumn("teencode_targeted", F.coalesce("teencode_targeted", F.lit(False)))
+    v = obfuscate.augment(m, "sample_id", "text", "label", "target_split", "teencode_targeted", 42, CHAT).withColumnRenamed("text", "original_text")
+    spans = F.size(F.filter(F.coalesce("perturbation_types", F.array().cast("array<string>")), lambda x: x == obfuscate.LEXICAL))
+    return v.withColumns({"teencode_applied_span_count": spans, "teencode_applied": spans > 0, "label_mapped": F.col("label"), "annotation_type": F.lit("human")})
+
+
+@query()
+def augmented_corpus(spark, d):
+    return _augmented(spark, d).select("sample_id", "label", "target_split", "teencode_targeted", "perturbed_text", F.array_join("perturbation_types", ",").alias("types"), "perturbation_mode", F.array_join("quality_flags", ",").alias("flags"))
+
+
+@query()
+def quality_gate(spark, d):
+    """Violations by rule; rows without a variant show as empty outputs."""
+    return quality.gate(_augmented(spark, d).checkpoint(), CHAT, exempt=tuple(obfuscate.PHRASES), rate=0.4).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query()
+def human_review(spark, d):
+    return quality.review_sample(_augmented(spark, d).checkpoint(), 60, 42).select("pick", "slot", "sample_id", "label", "target_split", "original_text", "perturbed_text")
+
+
+@query()
+def similarity_percentiles(spark, d):
+    """Nearest-rank percentiles of the likeness of texts and variants, per label."""
+    v = obfuscate.perturb(_messages(spark, d).withColumn("seed", obfuscate.seed_of(F.lit("42"), "sample_id")), "text", "label", "seed", CHAT)
+    s = v.select("label", obfuscate.surface_similarity("text", F.col("variant.perturbed_text")).alias("s")).where("s is not null")
+    return s.groupBy("label").agg(*[F.round(F.percentile("s", q), 6).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))])
+
+
 # ---------------------------------------------------------------- dictionaries, quality, reports
 
 
