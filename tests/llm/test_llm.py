@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -366,12 +367,68 @@ def test_lm_base_score_and_code_lengths(docs):
     assert rows[301].score == 0.0
 
 
+def plain_tree(texts):
+    """Counts [zeros, ones] of every (context, bits so far), and the mixture as it's defined, by recursion."""
+    stat = defaultdict(lambda: [0, 0])
+    children = defaultdict(set)
+    for data in texts:
+        padded = bytes(lmscore.DEPTH) + data
+        for i, x in enumerate(data):
+            ctx = padded[i : i + lmscore.DEPTH][::-1]
+            for d in range(lmscore.DEPTH + 1):
+                for bit in range(8):
+                    node = (bit, x >> (8 - bit))
+                    stat[ctx[:d], node][x >> (7 - bit) & 1] += 1
+                    if d:
+                        children[ctx[: d - 1], node].add(ctx[:d])
+
+    @functools.cache
+    def log_p(ctx, node):
+        z, o = stat[ctx, node]
+        kt = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(z + o + 1)
+        if len(ctx) == lmscore.DEPTH:
+            return kt, 1.0
+        both = float(np.logaddexp(kt, sum(log_p(c, node)[0] for c in children[ctx, node]))) - math.log(2)
+        return both, math.exp(kt - math.log(2) - both)
+
+    def one(ctx, node, d=0):
+        if (ctx[:d], node) not in stat:
+            return 0.5
+        z, o = stat[ctx[:d], node]
+        kt, w = (o + 0.5) / (z + o + 1), log_p(ctx[:d], node)[1]
+        if d == lmscore.DEPTH or (ctx[: d + 1], node) not in stat:
+            return kt
+        return w * kt + (1 - w) * one(ctx, node, d + 1)
+
+    def bits(data):
+        padded, out = bytes(lmscore.DEPTH) + data, 0.0
+        for i, x in enumerate(data):
+            ctx = padded[i : i + lmscore.DEPTH][::-1]
+            for bit in range(8):
+                p = one(ctx, (bit, x >> (8 - bit)))
+                out -= math.log2(p if x >> (7 - bit) & 1 else 1 - p)
+        return out
+
+    return bits
+
+
+@pytest.mark.parametrize("often", [0, 50, 1 << 20])
+def test_code_lengths_against_recursion(spark, monkeypatch, often):
+    monkeypatch.setattr(lmscore, "LOT", 100)
+    rows = [(i, t[:300]) for i, t in ROWS[:30]] + [(500, "zz zz é"), (501, None), (502, ""), (503, "a")]
+    got = {r.doc_id: r for r in lmscore.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), frequent_grams=often).collect()}
+    bits = plain_tree([(t or "").encode() for d, t in rows if zlib.crc32(str(d).encode()) % 10])
+    for d, t in rows:
+        assert got[d].score == pytest.approx(-bits((t or "").encode()) * math.log10(2), rel=1e-5, abs=1e-9)
+    assert got[501].bits_per_byte is None
+
+
 def test_context_tree_is_a_distribution():
     data = np.frombuffer(prose(200).encode(), np.uint8)
-    k, n = np.unique(lmscore.grams(data, np.array([0, len(data)])), return_counts=True)
-    tree = lmscore.ContextTree(k.astype(np.int64), n)
-    for ctx in (0, ord("a") << 8 | ord("b"), 200 << 8 | 200):
-        assert np.exp2(-tree.cost[tree.row[ctx]].astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    k, n = np.unique(lmscore.grams(data, np.array([0, len(data)])).astype(np.int64), return_counts=True)
+    tree = lmscore.ContextTree(k, n, 0, lmscore.DEPTH).settle()
+    for ctx in (0, int(k[7]) >> 8, int.from_bytes(b"abzab", "big"), 200):
+        assert np.exp2(-lmscore.code_lengths(ctx * 256 + np.arange(256), tree)).sum() == pytest.approx(1, abs=1e-9)
     assert lmscore._lgamma(np.array([0.5, 1.0, 3.5, 1e6])) == pytest.approx([math.lgamma(x) for x in (0.5, 1.0, 3.5, 1e6)], abs=1e-8)
 
 

@@ -1,11 +1,18 @@
 """Language-model scores by context-tree weighting (CTW).
 
 Bytes are decomposed into bits (a binary tree of 255 nodes, most significant bit first).
-At every bit node a context tree over the last 0, 1 and 2 bytes mixes Krichevsky-Trofimov
+At every bit node a context tree over the last 0 to 5 bytes mixes Krichevsky-Trofimov
 estimates of all depths: P(node) = (KT + product over children) / 2, KT at the leaves. The
-counts come from all training documents and are then frozen, so each (context, byte) has one
-code length; a document's code length is an exact sum. The context depth of two bytes bounds
-the model at 65,536 contexts of 256 numbers (64 MB) whatever the corpus holds.
+counts come from all training documents and are then frozen; a bit's mixture ends at the
+deepest context seen at its node, so each (context, byte) has one code length and a
+document's code length is an exact sum.
+
+The counts of six-byte grams grow with the corpus and stay a distributed table. Their part
+of the tree below the last three bytes is worked out slice by slice: a slice holds whole
+three-byte contexts, so at most LOT grams and one context's (2**24 by its definition). The
+part above has 2**24 grams by its definition and is worked out on the driver. Code lengths of
+the most frequent grams (at most FREQUENT_GRAMS) are looked up where the text is read, those
+of all others, seen or not, come by a join.
 
 The base score is a unigram model with additive smoothing. The counts of all words stay a
 distributed table; the most frequent ones (at most FREQUENT) are looked up where the text is
@@ -27,6 +34,12 @@ from pyspark.sql import functions as F
 from tidewell.llm import common
 
 FREQUENT = 200_000
+FREQUENT_GRAMS = 1 << 20
+#: Bytes of context in all, and those that hold a slice of the tree together.
+DEPTH, TOP = 5, 3
+#: Grams that a slice gathers before it is worked out.
+LOT = 1 << 19
+U64 = np.uint64
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 WORD, GRAM = 0, 1
 
@@ -36,17 +49,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The byte and the two before it, as a number, for each byte; zeros stand before a text."""
-    x = data.astype(np.uint32)
-    p1 = np.zeros(len(x), np.uint32)
-    p2 = np.zeros(len(x), np.uint32)
-    p1[1:] = x[:-1]
-    p2[2:] = x[:-2]
+    """For each byte a number of its context, the byte before it foremost, and the byte itself; zeros stand before a text."""
+    x = data.astype(np.uint64)
+    k = x.copy()
+    starts = offs[:-1]
     lens = np.diff(offs)
-    p1[offs[:-1][lens > 0]] = 0
-    p2[offs[:-1][lens > 0]] = 0
-    p2[offs[:-1][lens > 1] + 1] = 0
-    return p2 << np.uint32(16) | p1 << np.uint32(8) | x
+    for d in range(1, DEPTH + 1):
+        shift = U64(8 * (DEPTH + 1 - d))
+        k[d:] |= x[:-d] << shift
+        for j in range(d):
+            at = starts[lens > j] + j
+            k[at] &= ~(U64(255) << shift)
+    return k
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +70,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, k, n): counts of word hashes (kind 0, the end token among them) and of byte trigrams (kind 1) over all rows."""
+    """(kind, k, n): counts of word hashes (kind 0, the end token among them) and of byte grams (kind 1) over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,93 +113,202 @@ def _log_kt(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return _lgamma(zero + 0.5) + _lgamma(one + 0.5) - 2 * math.lgamma(0.5) - _lgamma(zero + one + 1.0)
 
 
-def _bit_counts(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From counts of 256 symbols (rows: contexts) the zeros and ones at the 255 bit nodes, node 1 the root."""
-    zero = np.zeros((len(sym), 256))
-    one = np.zeros((len(sym), 256))
-    level = sym.astype(float)
-    for bit in range(8):  # the last bit first
-        first = 1 << (7 - bit)
-        pair = level.reshape(len(sym), first, 2)
-        zero[:, first : 2 * first] = pair[:, :, 0]
-        one[:, first : 2 * first] = pair[:, :, 1]
-        level = pair.sum(2)
-    return zero, one
+def _parent(gram: np.ndarray, bits: int) -> np.ndarray:
+    """The node, or gram (bits 8), of the context without its farthest byte."""
+    return gram >> (bits + 8) << bits | gram & ((1 << bits) - 1)
+
+
+class Level:
+    """The nodes of one depth and bit: sorted numbers (context, bits so far), the estimate of a one, log P, log KT."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, bit: int):
+        node = gram >> (8 - bit)
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+        one = np.add.reduceat(n * (gram >> (7 - bit) & 1), first).astype(float) if len(node) else np.zeros(0)
+        both = np.add.reduceat(n, first).astype(float) if len(node) else np.zeros(0)
+        self.node = node[first]
+        self.bit = bit
+        self.kt = (one + 0.5) / (both + 1)
+        self.log_kt = self.log_p = _log_kt(both - one, one)
+        self.weight = np.ones(len(first))
+
+    def mix(self, below: np.ndarray) -> None:
+        """below: the sum of the children's log P."""
+        self.log_p = np.logaddexp(self.log_kt, below) - math.log(2)
+        self.weight = np.exp(self.log_kt - math.log(2) - self.log_p)
+
+    def sum_of(self, child: Level) -> np.ndarray:
+        return np.bincount(np.searchsorted(self.node, _parent(child.node, self.bit)), child.log_p, minlength=len(self.node))
+
+    def find(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.node):
+            return np.zeros(len(node), np.int64), np.zeros(len(node), bool)
+        i = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
+        return i, self.node[i] == node
+
+    def settle(self, above: Level | None) -> None:
+        """What the path down to here has of the mixture (held), what is left (rest), and the mixture if it ends here (stop)."""
+        if above is None:
+            held, rest = np.zeros(len(self.node)), np.ones(len(self.node))
+        else:
+            i, _ = above.find(_parent(self.node, self.bit))
+            held, rest = above.held[i], above.rest[i]
+        self.stop = held + rest * self.kt
+        self.held, self.rest = held + rest * self.weight * self.kt, rest * (1 - self.weight)
 
 
 class ContextTree:
-    """Frozen code lengths: cost[row[context], byte] in bits, the context being the last two bytes."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray):
-        order = np.argsort(key)
-        key, n = key[order].astype(np.int64), n[order]
-        ctx, first = np.unique(key >> 8, return_index=True)
-        ends = np.append(first[1:], len(key))
-        sym1 = np.zeros((256, 256))
-        np.add.at(sym1, ((key >> 8) & 255, key & 255), n)
-        z1, o1 = _bit_counts(sym1)
-        kt1 = _log_kt(z1, o1)
-        z0, o0 = _bit_counts(sym1.sum(0, keepdims=True))
-        kt0 = _log_kt(z0, o0)[0]
-        by_c1: dict[int, list[int]] = {}
-        for i, c in enumerate(ctx.tolist()):
-            by_c1.setdefault(c & 255, []).append(i)
-
-        def leaf(i: int) -> np.ndarray:
-            out = np.zeros(256)
-            out[key[first[i] : ends[i]] & 255] = n[first[i] : ends[i]]
-            return out
-
-        self.row = np.zeros(1 << 16, np.int32)
-        self.cost = np.zeros((256 + len(ctx), 256), np.float32)
-        w1 = np.full((256, 256), 0.5)
-        log1 = np.zeros((256, 256))
-        for c1, own in by_c1.items():
-            below = np.zeros(256)
-            for a in range(0, len(own), 64):
-                z, o = _bit_counts(np.stack([leaf(i) for i in own[a : a + 64]]))
-                below += _log_kt(z, o).sum(0)
-            log1[c1] = np.logaddexp(kt1[c1], below) - math.log(2)
-            w1[c1] = np.exp(kt1[c1] - math.log(2) - log1[c1])
-        w0 = np.exp(kt0 - np.logaddexp(kt0, log1.sum(0)))
-        p0 = (o0[0] + 0.5) / (z0[0] + o0[0] + 1)
-        for c1 in range(256):
-            p1 = (o1[c1] + 0.5) / (z1[c1] + o1[c1] + 1)
-            mixed = lambda p2: w0 * p0 + (1 - w0) * (w1[c1] * p1 + (1 - w1[c1]) * p2)  # noqa: B023, E731
-            self.cost[c1] = _symbol_bits(mixed(np.full(256, 0.5)))
-            self.row[np.arange(256) << 8 | c1] = c1
-            for i in by_c1.get(c1, []):
-                z, o = _bit_counts(leaf(i)[None])
-                self.cost[256 + i] = _symbol_bits(mixed((o[0] + 0.5) / (z[0] + o[0] + 1)))
-                self.row[ctx[i]] = 256 + i
-
-    def bits(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Code length of each document."""
-        g = grams(data, offs)
-        lens = np.diff(offs)
-        out = np.zeros(len(lens))
-        if len(g):
-            cost = self.cost[self.row[g >> np.uint32(8)], g & np.uint32(255)].astype(np.float64)
-            out[lens > 0] = np.add.reduceat(cost, offs[:-1][lens > 0])
-        return out
-
-
-def _symbol_bits(one: np.ndarray) -> np.ndarray:
-    """Code lengths of 256 symbols from the probability of a one at each bit node."""
-    s = np.arange(256)
-    out = np.zeros(256)
-    node = np.ones(256, np.int64)
-    for bit in range(7, -1, -1):
-        b = s >> bit & 1
-        out -= np.log2(np.where(b == 1, one[node], 1 - one[node]))
-        node = node * 2 + b
-    return out
+    """The depths lo to hi over sorted grams of depth hi: levels[bit][depth - lo]."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, lo: int, hi: int, below: tuple[np.ndarray, np.ndarray] | None = None):
+        """below: (number, sum of log P) of the children of nodes of depth hi, numbered context * 256 + (1 << bit) + bits so far."""
+        at = {hi: (gram, n)}
+        for d in range(hi - 1, lo - 1, -1):
+            k, where = np.unique(_parent(at[d + 1][0], 8), return_inverse=True)
+            at[d] = k, np.bincount(where, at[d + 1][1], minlength=len(k)).astype(np.int64)
+        self.lo, self.hi = lo, hi
+        self.levels: list[list[Level]] = []
+        for bit in range(8):
+            own = [Level(*at[d], bit) for d in range(lo, hi + 1)]
+            if below is not None and len(own[-1].node):
+                i = np.searchsorted(below[0], numbered(own[-1].node, bit))
+                own[-1].mix(below[1][i])
+            for up, down in zip(own[-2::-1], own[:0:-1]):
+                up.mix(up.sum_of(down))
+            self.levels.append(own)
+
+    def settle(self, top: ContextTree | None = None) -> ContextTree:
+        for bit, own in enumerate(self.levels):
+            above = top.levels[bit][-1] if top else None
+            for level in own:
+                level.settle(above)
+                above = level
+        return self
+
+
+def numbered(node: np.ndarray, bit: int) -> np.ndarray:
+    return (node >> bit) * 256 + (1 << bit) + (node & ((1 << bit) - 1))
+
+
+def code_lengths(gram: np.ndarray, *trees: ContextTree) -> np.ndarray:
+    """Bits of each gram's last byte after its context, under settled trees from the top down."""
+    bits = np.zeros(len(gram))
+    for bit in range(8):
+        p = np.full(len(gram), 0.5)
+        live = np.arange(len(gram))
+        for tree in trees:
+            for d in range(tree.lo, tree.hi + 1):
+                g = gram[live]
+                cut = (g >> (8 * (DEPTH - d) + 8) << 8 | g & 255) >> (8 - bit)
+                i, seen = tree.levels[bit][d - tree.lo].find(cut)
+                live = live[seen]
+                p[live] = tree.levels[bit][d - tree.lo].stop[i[seen]]
+        one = gram >> (7 - bit) & 1
+        bits -= np.log2(np.where(one == 1, p, 1 - p))
+    return bits
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of sorted rows (k, ...) of about LOT rows that hold whole contexts of TOP bytes."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        kept.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+        size += batch.num_rows
+        if size >= LOT:
+            cols = tuple(np.concatenate(c) for c in zip(*kept))
+            ctx = cols[0] >> (8 * (DEPTH + 1 - TOP))
+            cut = int(np.searchsorted(ctx, ctx[-1]))
+            if cut:
+                yield tuple(c[:cut] for c in cols)
+            kept = [tuple(c[cut:] for c in cols)]
+            size = len(cols[0]) - cut
+    if kept:
+        yield tuple(np.concatenate(c) for c in zip(*kept))
+
+
+def _by_context(df: DataFrame) -> DataFrame:
+    return df.repartition(F.shiftright("k", 8 * (DEPTH + 1 - TOP))).sortWithinPartitions("k")
+
+
+def top_tree(counts: DataFrame) -> ContextTree:
+    """The settled depths below TOP, from the (k, n) of all grams."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, n in _slices(batches):
+            for bit, own in enumerate(ContextTree(k, n, TOP, DEPTH).levels):
+                up, where = np.unique(numbered(_parent(own[0].node, bit), bit), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(up), pa.array(np.bincount(where, own[0].log_p))], names=["node", "s"])
+
+    below = _by_context(counts).mapInArrow(sums, "node long, s double").groupBy("node").agg(F.sum("s").alias("s")).toPandas().sort_values("node")
+    cut = F.shiftright("k", 8 * (DEPTH + 2 - TOP)) * 256 + F.col("k").bitwiseAND(F.lit(255))
+    up = counts.groupBy(cut.alias("k")).agg(F.sum("n").alias("n")).toPandas().sort_values("k")  # 2**24 rows at most, as is below
+    tree = ContextTree(up["k"].to_numpy(np.int64), up["n"].to_numpy(np.int64), 0, TOP - 1, (below["node"].to_numpy(np.int64), below["s"].to_numpy(float)))
+    return tree.settle()
+
+
+def gram_costs(counts: DataFrame, asked: DataFrame, top) -> DataFrame:
+    """(k, bits) of the asked k: rows with n of 0 beside the counted ones, sorted into the same slices. top: a broadcast top tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, n in _slices(batches):
+            own = ContextTree(k[n > 0], n[n > 0], TOP, DEPTH).settle(top.value)
+            wanted = k[n == 0]
+            yield pa.RecordBatch.from_arrays([pa.array(wanted), pa.array(code_lengths(wanted, top.value, own))], names=["k", "bits"])
+
+    return _by_context(counts.select("k", "n").union(asked.select("k", F.lit(0).cast("long")))).mapInArrow(run, "k long, bits double")
+
+
+class Lookup:
+    """Values of keys. Most keys have a slot of their own by a few bits of a product; the others are searched."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.shift = U64(64 - max(4, int(len(key)).bit_length() + 2))
+        slot = self._slot(key)
+        size = 1 << (64 - int(self.shift))
+        self.key = np.full(size, ~U64(0))
+        self.value = np.zeros(size, np.float32)
+        self.key[slot], self.value[slot] = key, value
+        lost = self.key[slot] != key
+        order = np.argsort(key[lost])
+        self.more, self.more_value = key[lost][order], value[lost][order].astype(np.float32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * U64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, found)"""
+        slot = self._slot(key)
+        value, found = self.value[slot].astype(float), self.key[slot] == key
+        if len(self.more):
+            at = np.flatnonzero(~found)
+            i = np.minimum(np.searchsorted(self.more, key[at]), len(self.more) - 1)
+            hit = self.more[i] == key[at]
+            value[at[hit]], found[at[hit]] = self.more_value[i[hit]], True
+        return value, found
+
+
+def _least(counts: DataFrame, most: int) -> int | None:
+    """The least step of the counts' log scale so that at most `most` rows reach it, from a histogram; None if none does."""
+    least = None
+    for r in counts.groupBy(_step().alias("s")).agg(F.count("*").alias("c")).orderBy(F.desc("s")).collect():
+        most -= r["c"]
+        if most < 0:
+            break
+        least = r["s"]
+    return least
+
+
+def _step() -> Column:
+    return F.floor(F.log2("n") * 16).cast("int")
 
 
 # ---------------------------------------------------------------- scores
 
 
-def score_documents(docs: DataFrame, train: Column | None = None, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column | None = None, text: str = "text", frequent: int = FREQUENT, frequent_grams: int = FREQUENT_GRAMS) -> DataFrame:
     """Learn from the rows where train holds (default: not held out), score all.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
@@ -193,55 +316,63 @@ def score_documents(docs: DataFrame, train: Column | None = None, text: str = "t
     spark = docs.sparkSession
     train = ~held_out() if train is None else train
     counts = common.table(corpus_counts(docs.where(train), text), "counts")
-    words = counts.where(F.col("kind") == WORD)
+    words = counts.where(F.col("kind") == WORD).select("k", "n")
+    gram = counts.where(F.col("kind") == GRAM).select("k", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = counts.where(F.col("kind") == GRAM).select("k", "n").toPandas()  # 2**24 rows at most
-    model = ContextTree(tree["k"].to_numpy(np.int64), tree["n"].to_numpy(np.int64))
-    # the least count that at most `frequent` words reach, from a histogram of counts on a log scale
-    step = F.floor(F.log2("n") * 16).cast("int")
-    left, least = frequent, None
-    for r in words.groupBy(step.alias("s")).agg(F.count("*").alias("c")).orderBy(F.desc("s")).collect():
-        left -= r["c"]
-        if left < 0:
-            break
-        least = r["s"]
-    top = words.where(step >= (least if least is not None else 1 << 30)).select("k", "n").toPandas()
-    base = lambda c: np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
-    key = top["k"].to_numpy(np.int64).view(np.uint64) if len(top) else np.zeros(0, np.uint64)
-    order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((model, key[order], base(top["n"].to_numpy(np.int64)[order] if len(top) else np.zeros(0))))
+    norm = float(total) + 0.1 * (kinds + 1)
+    above = lambda df, most: df.where(_step() >= F.lit(x)) if (x := _least(df, most)) is not None else df.limit(0)
+    top_words = above(words, frequent).toPandas()
+    word_table = _pairs(top_words["k"], np.log10((top_words["n"].to_numpy(float) + 0.1) / norm))
+    top = spark.sparkContext.broadcast(top_tree(gram))
+    often = gram_costs(gram, above(gram, frequent_grams), top).toPandas()
+    gram_table = Lookup(often["k"].to_numpy(np.int64).view(np.uint64), often["bits"].to_numpy(float))
+    shared = spark.sparkContext.broadcast((word_table, gram_table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, logs = shared.value
+        (keys, logs), known_grams = shared.value
         for batch in batches:
             for a, b, data, offs in common.chunks(batch.column(2)):
+                m = b - a
                 wh, first = tokens(data, offs)
                 n = np.diff(first)
-                doc = np.repeat(np.arange(b - a + 0), n)
-                allw = np.concatenate([wh, np.full(b - a, END)])
-                doc = np.concatenate([doc, np.arange(b - a)])
-                if len(keys):
-                    i = np.minimum(np.searchsorted(keys, allw), len(keys) - 1)
-                    seen = keys[i] == allw
-                else:
-                    i, seen = np.zeros(len(allw), np.int64), np.zeros(len(allw), bool)
-                known = np.bincount(doc[seen], minlength=b - a)
-                part = np.bincount(doc[seen], logs[i[seen]] if len(keys) else None, minlength=b - a).astype(float)
-                rare_doc, rare = doc[~seen], allw[~seen]
-                at = np.argsort(rare_doc, kind="stable")
-                cut = np.concatenate([[0], np.cumsum(np.bincount(rare_doc, minlength=b - a))]).astype(np.int32)
+                allw = np.concatenate([wh, np.full(m, END)])
+                doc = np.concatenate([np.repeat(np.arange(m), n), np.arange(m)])
+                i = np.minimum(np.searchsorted(keys, allw), max(len(keys) - 1, 0))
+                seen = keys[i] == allw if len(keys) else np.zeros(len(allw), bool)
+                part = np.bincount(doc[seen], logs[i[seen]], minlength=m) if len(keys) else np.zeros(m)
+                g = grams(data, offs)
+                cost, found = known_grams.get(g)
+                owner = np.repeat(np.arange(m), np.diff(offs))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n + 1), pa.array(known), pa.array(part), pa.ListArray.from_arrays(pa.array(cut), pa.array(rare[at].view(np.int64))), pa.array(tree.bits(data, offs)), pa.array(np.diff(offs))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "bits", "n_bytes"],
-                )
+                    [batch.column(0).slice(a, m), batch.column(1).slice(a, m), pa.array(n + 1), pa.array(np.bincount(doc[seen], minlength=m)), pa.array(part.astype(float)), _lists(doc[~seen], allw[~seen], m),
+                     pa.array(np.bincount(owner[found], cost[found], minlength=m).astype(float)), _lists(owner[~found], g[~found], m), pa.array(np.diff(offs))],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "rare_words", "bits", "rare_grams", "n_bytes"],
+                )
 
-    first = docs.select("doc_id", (~train).alias("held_out"), F.col(text)).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, rare array<long>, bits double, n_bytes long")
+    first = docs.select("doc_id", (~train).alias("held_out"), F.col(text)).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, rare_words array<long>, bits double, rare_grams array<long>, n_bytes long")
     part = common.table(first.withColumn("row", F.monotonically_increasing_id()), "scored")  # written, so the row numbers stay
-    rare = part.select("row", F.explode("rare").alias("k")).join(words.select("k", "n"), "k", "left")
-    norm = float(total) + 0.1 * (kinds + 1)
-    rare = rare.groupBy("row").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.1)) / F.lit(norm))).alias("more"), F.count("n").alias("more_known"))
-    return part.drop("rare").join(rare, "row", "left").select(
+    asked = part.select(F.explode("rare_grams").alias("k")).distinct()
+    prices = words.select(F.lit(WORD).alias("kind"), "k", F.log10((F.col("n") + F.lit(0.1)) / F.lit(norm)).alias("v")).union(gram_costs(gram, asked, top).select(F.lit(GRAM), "k", "bits"))
+    each = lambda kind, c: part.select("row", F.lit(kind).alias("kind"), F.explode(c).alias("k"))
+    rare = each(WORD, "rare_words").union(each(GRAM, "rare_grams")).join(prices, ["kind", "k"], "left")
+    is_word, unseen = F.col("kind") == WORD, math.log10(0.1 / norm)
+    rare = rare.groupBy("row").agg(F.sum(F.when(is_word, F.coalesce("v", F.lit(unseen)))).alias("more"), F.count_if(is_word & F.col("v").isNotNull()).alias("more_known"), F.sum(F.when(~is_word, F.col("v"))).alias("more_bits"))
+    bits = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
+    return part.drop("rare_words", "rare_grams").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (-F.col("bits") * math.log10(2)).alias("score"),
-        F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (-bits * math.log10(2)).alias("score"),
+        F.when(F.col("n_bytes") > 0, bits / F.col("n_bytes")).alias("bits_per_byte"),
     )
+
+
+def _pairs(k, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key = k.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return key[order], v[order]
+
+
+def _lists(owner: np.ndarray, key: np.ndarray, m: int) -> pa.ListArray:
+    """The keys of each of m rows."""
+    order = np.argsort(owner, kind="stable")
+    cut = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=m))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut), pa.array(key[order].view(np.int64)))
