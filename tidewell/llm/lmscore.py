@@ -262,10 +262,21 @@ def gram_costs(counts: DataFrame, asked: DataFrame, top) -> DataFrame:
 
 
 class Lookup:
-    """Values of keys. Most keys have a slot of their own by a few bits of a product; the others are searched."""
+    """Values of keys. Most keys have a slot of their own by a few bits of a product; the others are searched.
+
+    Only keys and values travel; the slots are laid out where the first key is looked up.
+    """
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        self.shift = U64(64 - max(4, int(len(key)).bit_length() + 2))
+        self.given = key, value.astype(np.float32)
+        self.shift = U64(64 - max(4, int(len(key)).bit_length() + 1))
+        self.key = None
+
+    def __reduce__(self):
+        return Lookup, self.given
+
+    def _lay(self) -> None:
+        key, value = self.given
         slot = self._slot(key)
         size = 1 << (64 - int(self.shift))
         self.key = np.full(size, ~U64(0))
@@ -273,13 +284,15 @@ class Lookup:
         self.key[slot], self.value[slot] = key, value
         lost = self.key[slot] != key
         order = np.argsort(key[lost])
-        self.more, self.more_value = key[lost][order], value[lost][order].astype(np.float32)
+        self.more, self.more_value = key[lost][order], value[lost][order]
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return (key * U64(0x9E3779B97F4A7C15)) >> self.shift
 
     def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(value, found)"""
+        if self.key is None:
+            self._lay()
         slot = self._slot(key)
         value, found = self.value[slot].astype(float), self.key[slot] == key
         if len(self.more):
@@ -324,8 +337,8 @@ def score_documents(docs: DataFrame, train: Column | None = None, text: str = "t
     top_words = above(words, frequent).toPandas()
     word_table = _pairs(top_words["k"], np.log10((top_words["n"].to_numpy(float) + 0.1) / norm))
     top = spark.sparkContext.broadcast(top_tree(gram))
-    often = gram_costs(gram, above(gram, frequent_grams), top).toPandas()
-    gram_table = Lookup(often["k"].to_numpy(np.int64).view(np.uint64), often["bits"].to_numpy(float))
+    often = gram_costs(gram, above(gram, frequent_grams), top).select("k", F.col("bits").cast("float")).toPandas()
+    gram_table = Lookup(often["k"].to_numpy(np.int64).view(np.uint64), often["bits"].to_numpy(np.float32))
     shared = spark.sparkContext.broadcast((word_table, gram_table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
