@@ -242,10 +242,10 @@ def top_tree(counts: DataFrame) -> ContextTree:
                 up, where = np.unique(numbered(_parent(own[0].node, bit), bit), return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(up), pa.array(np.bincount(where, own[0].log_p))], names=["node", "s"])
 
-    below = _by_context(counts).mapInArrow(sums, "node long, s double").groupBy("node").agg(F.sum("s").alias("s")).toPandas().sort_values("node")
+    below = _by_context(counts).mapInArrow(sums, "node long, s double").groupBy("node").agg(F.sum("s").alias("s")).toArrow().sort_by("node")
     cut = F.shiftright("k", 8 * (DEPTH + 2 - TOP)) * 256 + F.col("k").bitwiseAND(F.lit(255))
-    up = counts.groupBy(cut.alias("k")).agg(F.sum("n").alias("n")).toPandas().sort_values("k")  # 2**24 rows at most, as is below
-    tree = ContextTree(up["k"].to_numpy(np.int64), up["n"].to_numpy(np.int64), 0, TOP - 1, (below["node"].to_numpy(np.int64), below["s"].to_numpy(float)))
+    up = counts.groupBy(cut.alias("k")).agg(F.sum("n").alias("n")).toArrow().sort_by("k")  # 2**24 rows at most, as is below
+    tree = ContextTree(up["k"].to_numpy(), up["n"].to_numpy(), 0, TOP - 1, (below["node"].to_numpy(), below["s"].to_numpy()))
     return tree.settle()
 
 
@@ -334,11 +334,11 @@ def score_documents(docs: DataFrame, train: Column | None = None, text: str = "t
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     norm = float(total) + 0.1 * (kinds + 1)
     above = lambda df, most: df.where(_step() >= F.lit(x)) if (x := _least(df, most)) is not None else df.limit(0)
-    top_words = above(words, frequent).toPandas()
-    word_table = _pairs(top_words["k"], np.log10((top_words["n"].to_numpy(float) + 0.1) / norm))
+    top_words = above(words, frequent).toArrow()
+    word_table = _pairs(top_words["k"], np.log10((top_words["n"].to_numpy() + 0.1) / norm))
     top = spark.sparkContext.broadcast(top_tree(gram))
-    often = gram_costs(gram, above(gram, frequent_grams), top).select("k", F.col("bits").cast("float")).toPandas()
-    gram_table = Lookup(often["k"].to_numpy(np.int64).view(np.uint64), often["bits"].to_numpy(np.float32))
+    often = gram_costs(gram, above(gram, frequent_grams), top).select("k", F.col("bits").cast("float")).toArrow()
+    gram_table = Lookup(often["k"].to_numpy().view(np.uint64), often["bits"].to_numpy())
     shared = spark.sparkContext.broadcast((word_table, gram_table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +379,7 @@ def score_documents(docs: DataFrame, train: Column | None = None, text: str = "t
 
 
 def _pairs(k, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = k.to_numpy(np.int64).view(np.uint64)
+    key = k.to_numpy().view(np.uint64)
     order = np.argsort(key)
     return key[order], v[order]
 
