@@ -38,7 +38,7 @@ FREQUENT_GRAMS = 1 << 20
 #: Bytes of context in all, and those that hold a slice of the tree together.
 DEPTH, TOP = 5, 3
 #: Grams that a slice gathers before it is worked out.
-LOT = 1 << 19
+LOT = 1 << 17
 U64 = np.uint64
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 WORD, GRAM = 0, 1
