@@ -37,7 +37,7 @@ FREQUENT = 200_000
 FREQUENT_GRAMS = 1 << 20
 #: Bytes of context in all, and those that hold a slice of the tree together.
 DEPTH, TOP = 5, 3
-#: Grams that a slice gathers before it is worked out.
+#: Grams that a slice gathers before it is worked out, and distinct keys that a count gathers before it is sent on.
 LOT = 1 << 17
 U64 = np.uint64
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
@@ -72,23 +72,29 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, k, n): counts of word hashes (kind 0, the end token among them) and of byte grams (kind 1) over all rows."""
 
+    def merged(kind: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        k = np.concatenate([p[0] for p in parts])
+        n = np.concatenate([p[1] for p in parts])
+        order = np.argsort(k)
+        k = k[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        n = np.add.reduceat(n[order], first)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), pa.array(k[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "k", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got: list[list[np.ndarray]] = [[], []]
-            size = [[], []]
+            got: tuple[list, list] = ([], [])
             for a, b, data, offs in common.chunks(batch.column(0)):
-                wh, _ = tokens(data, offs)
-                k, c = np.unique(wh, return_counts=True)
-                got[WORD] += [k, np.array([END])]
-                size[WORD] += [c, np.array([b - a])]
-                k, c = np.unique(grams(data, offs), return_counts=True)
-                got[GRAM].append(k.astype(np.uint64))
-                size[GRAM].append(c)
+                got[WORD].append(np.unique(tokens(data, offs)[0], return_counts=True))
+                got[WORD].append((np.array([END]), np.array([b - a])))
+                got[GRAM].append(np.unique(grams(data, offs), return_counts=True))
+                for kind in (WORD, GRAM):
+                    if sum(len(k) for k, _ in got[kind]) >= LOT:
+                        yield merged(kind, got[kind])
+                        got[kind].clear()
             for kind in (WORD, GRAM):
-                if got[kind]:
-                    k, at = np.unique(np.concatenate(got[kind]), return_inverse=True)
-                    n = np.bincount(at, np.concatenate(size[kind])).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n)], names=["kind", "k", "n"])
+                if sum(len(k) for k, _ in got[kind]):
+                    yield merged(kind, got[kind])
 
     return docs.select(F.col(text)).mapInArrow(run, "kind int, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n"))
 
