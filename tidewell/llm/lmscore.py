@@ -39,6 +39,8 @@ FREQUENT_GRAMS = 1 << 20
 DEPTH, TOP = 5, 3
 #: Grams that a slice gathers before it is worked out, and distinct keys that a count gathers before it is sent on.
 LOT = 1 << 17
+#: Bytes of text that one round of array work takes here.
+PIECE = 1 << 19
 U64 = np.uint64
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 WORD, GRAM = 0, 1
@@ -84,7 +86,7 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got: tuple[list, list] = ([], [])
-            for a, b, data, offs in common.chunks(batch.column(0)):
+            for a, b, data, offs in common.chunks(batch.column(0), PIECE):
                 got[WORD].append(np.unique(tokens(data, offs)[0], return_counts=True))
                 got[WORD].append((np.array([END]), np.array([b - a])))
                 got[GRAM].append(np.unique(grams(data, offs), return_counts=True))
@@ -350,7 +352,7 @@ def score_documents(docs: DataFrame, train: Column | None = None, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (keys, logs), known_grams = shared.value
         for batch in batches:
-            for a, b, data, offs in common.chunks(batch.column(2)):
+            for a, b, data, offs in common.chunks(batch.column(2), PIECE):
                 m = b - a
                 wh, first = tokens(data, offs)
                 n = np.diff(first)
