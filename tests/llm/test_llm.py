@@ -459,6 +459,30 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("case", ["3 rows", "6 rows", "10 rows", "far cluster", "far cluster in shards"])
+def test_nearest_neighbours_fill_every_query(spark, case):
+    r = np.random.default_rng(5)
+    if "rows" in case:
+        x = r.standard_normal((int(case.split()[0]), 16))
+    else:  # queries opposite to one tight cluster
+        e = np.eye(16)[0]
+        x = np.concatenate([[-e + 0.2 * r.standard_normal(16) for _ in range(4)], e + 0.01 * r.standard_normal((300, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = range(len(x)) if len(x) < 20 else range(4)
+    by = defaultdict(list)
+    for g in ann.search(df, F.col("vec_id").isin(*asked), 5, shard_rows=100 if "shards" in case else ann.SHARD_ROWS).orderBy("query_id", "rank").collect():
+        by[g.query_id].append((g.rank, g.vec_id))
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    k = min(5, len(x) - 1)
+    for q in asked:
+        assert [n for n, _ in by[q]] == list(range(1, k + 1))
+    if "rows" not in case or len(x) < 7:  # all others, or only what an exact search finds
+        for q in asked:
+            s = y @ y[q]
+            s[q] = -9
+            assert [v for _, v in by[q]] == np.argsort(-s, kind="stable")[:k].tolist()
+
+
 def test_pipeline_against_plain_python(spark, tmp_path):
     import corpus_pipeline
 

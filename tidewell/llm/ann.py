@@ -9,7 +9,8 @@ The tables' candidates are merged and ranked by exact cosine in double precision
 
 Null, zero and non-finite vectors, vectors with null components or of another dimension than
 most take no part. Equal vectors: ties go to the smaller vec_id. Rows that repeat a vec_id
-and its vector count once. Fewer candidates than k give fewer rows.
+and its vector count once. A query that the probes leave with fewer than k of the other rows,
+though there are more, is compared with every row instead; only a table of k rows or fewer gives fewer.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def _family(dim: int, tables: int, m: int, w: float):
 
 
 class Index:
-    """The tables of one shard."""
+    """The tables of one shard. Without tables every row is a candidate."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, tables: int, m: int, w: float):
         self.ids, self.x = ids, vectors
@@ -86,7 +87,7 @@ class Index:
             probe = np.stack([own + (step[:, list(s)].sum(1) if s else 0) for s in sets], 1)
             found.append((np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right"), order))
         for i in range(len(q)):
-            hit = np.zeros(len(self.ids), bool)
+            hit = np.full(len(self.ids), not found)
             for lo, hi, order in found:
                 for s, e in zip(lo[i][lo[i] < hi[i]], hi[i][lo[i] < hi[i]]):
                     hit[order[s:e]] = True
@@ -108,7 +109,8 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 def search(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
     """The k nearest of each row where is_query holds: query_id, rank, vec_id, score.
 
-    Every row is indexed. Queries visit every shard in blocks: rows sent are rows + queries * shards.
+    Every row is indexed. Queries visit every shard in blocks: rows sent are rows + queries * shards,
+    and as many again for the queries that come out short, if there are any.
     """
     rows = common.table(usable(vectors, vec_id, vector), "vectors")
     counts = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()
@@ -116,9 +118,9 @@ def search(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vec
     rows = rows.where(F.size("v") == dim)
     shards = max(1, -(-n // shard_rows))
     base = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("query"), "vec_id", "v")
-    asked = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("query"), "vec_id", "v")
+    asked = rows.where(is_query)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:
         held, shard, index = [], None, None
         for batch in batches:
             s, query, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -139,6 +141,15 @@ def search(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vec
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    near = base.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "query").mapInArrow(run, "query_id long, vec_id long, score double")
+    def visit(asked: DataFrame, tables: int) -> DataFrame:
+        sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("query"), "vec_id", "v")
+        return base.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "query").mapInArrow(lambda batches: run(batches, tables), "query_id long, vec_id long, score double")
+
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda near: near.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = common.table(best(visit(asked, tables)), "found")
+    filled = found.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).select(F.col("query_id").alias("vec_id"))
+    short = common.table(asked.join(filled, "vec_id", "left_anti").select("vec_id", "v"), "short")
+    if n < 2 or short.isEmpty():
+        return found
+    return found.join(filled.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(best(visit(short, 0)))
