@@ -82,6 +82,77 @@ def test_components_follow_chains(spark):
     assert got == {**{i: 0 for i in range(21)}, 50: 50, 51: 50}
 
 
+def plain_groups(rows):
+    """{place of a row: (group, links)} by the banding's definition, over all pairs: exact copies and near texts meet."""
+    import hashlib
+    import re
+    import unicodedata
+
+    def canon(t):
+        t = unicodedata.normalize("NFKC", t or "").casefold().strip()
+        return re.sub(r"\s+", " ", "".join(c for c in t if unicodedata.category(c) not in ("Cf", "Cc"))).strip()
+
+    def form(c):
+        c = "".join(x for x in unicodedata.normalize("NFD", c.replace("đ", "d")) if not unicodedata.combining(x))
+        return " ".join("".join(x if x.isalnum() else " " for x in c).split())
+
+    def sig(grams):
+        h = [int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) >= len(h))
+
+    texts = sorted({canon(t) for _, t in rows})
+    forms = {c: form(c) for c in texts}
+    grams = {c: {f"  {f}  "[i : i + 3] for i in range(len(f) + 2)} for c, f in forms.items() if len(f) >= 12}
+    sigs = {c: sig(g) for c, g in grams.items()}
+    up, links = {c: c for c in texts}, dict.fromkeys(texts, 0)
+
+    def top(c):
+        return c if up[c] == c else top(up[c])
+
+    for a in grams:
+        for b in grams:
+            x, (m, n) = sigs[a] ^ sigs[b], sorted((len(forms[a]), len(forms[b])))
+            if a < b and any(not x >> s & 65535 for s in (0, 16, 32, 48)) and x.bit_count() <= 8 and m / n >= 0.85 and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.9:
+                links[a], links[b] = links[a] + 1, links[b] + 1
+                up[top(a)] = top(b)
+    least = {}
+    for k, t in rows:
+        g = top(canon(t))
+        least[g] = min((x for x in (least.get(g), k) if x is not None), default=None)
+    return sorted(((k, least[top(canon(t))], links[canon(t)]) for k, t in rows), key=str)
+
+
+def prose(seed, words=60):
+    import random
+
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghiklmnoprstuvy") for _ in range(r.randint(2, 9))) for _ in range(words))
+
+
+def copies():
+    """(doc_id, text): chains of edits, exact copies of linked and of unlinked texts, lone ones, ids that repeat and none."""
+    rows = []
+    for i in range(12):
+        t = prose(i)
+        rows += [(20 * i, t), (20 * i + 1, t.upper() + " ")]
+        for j in range(2, 9):
+            w = t.split()
+            w[(7 * i + 5 * j) % len(w)] = prose(100 * i + j, 1)
+            t = " ".join(w)
+            rows += [(20 * i + j, t), (20 * i + j + 10, t)]
+    return rows + [(900, prose(90)), (901, "short"), (902, "Short"), (903, ""), (904, None), (905, prose(91)), (905, prose(92)), (None, prose(0)), (None, prose(93))]
+
+
+def test_duplicate_groups_against_all_pairs(spark, tmp_path):
+    from tidewell.plans import catalogue
+
+    rows = copies()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in catalogue.near_dup_components(spark, str(tmp_path)).select("doc_id", "component", "links").collect()), key=str)
+    assert got == plain_groups(rows)
+    assert len(got) == len(rows) and sum(n > 1 for _, _, n in got) > 20
+
+
 def test_occlusion_against_plain_python(spark):
     words = ["the", "cat", "and", "the", "dog"]
     hit = lambda ws: sum(w in ("the", "and") for w in ws)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidewell.functions.text import canonical, fold
 
 BANDS = 4
+CELLS = 64
 
 
 def dedup_form(text: Column | str) -> Column:
@@ -20,47 +21,81 @@ def dedup_form(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(fold(canonical(text)), r"[^\p{L}\p{N}]+", " "))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def trigrams(form: pd.Series) -> pd.Series:
-    """Distinct character trigrams of the form between two spaces on each side. Python slices in constant time, the JVM's substring doesn't."""
+def trigrams(form: str) -> set[str]:
+    """Distinct character trigrams of the form between two spaces on each side."""
+    x = f"  {form}  "
+    return {x[i : i + 3] for i in range(len(x) - 2)}
+
+
+@F.pandas_udf(T.StructType([T.StructField("sig", T.LongType()), T.StructField("m", T.IntegerType()), T.StructField("sketch", T.BinaryType())]))
+def simhash(form: pd.Series) -> pd.DataFrame:
+    """sig: 64 bits by the sign of summed bits of the trigrams' BLAKE2b hashes; a tie sets the bit. m: trigrams; sketch: their number, up to 255, in each of CELLS cells."""
 
     def one(x):
         if x is None:
-            return None
-        x = f"  {x}  "
-        return sorted({x[i : i + 3] for i in range(len(x) - 2)})
+            return 0, 0, bytes(CELLS)
+        h = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in trigrams(x)), np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(h, axis=1).sum(0, dtype=np.int64) * 2 >= len(h)
+        cells = np.minimum(np.bincount(h[:, 0] % CELLS, minlength=CELLS), 255).astype(np.uint8)
+        return int(np.packbits(bits).view(">u8")[0].astype(np.uint64).view(np.int64)), len(h), cells.tobytes()
 
-    return form.map(one)
+    return pd.DataFrame([one(x) for x in form], columns=["sig", "m", "sketch"])
 
 
-@F.pandas_udf(T.LongType())
-def simhash(grams: pd.Series) -> pd.Series:
-    """64 bits by the sign of summed bits of the grams' BLAKE2b hashes; a tie sets the bit."""
+@F.pandas_udf(T.IntegerType())
+def most_shared(a: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
+    """A bound of the trigrams that two texts share: cells that differ by d hold d trigrams of one text alone. m: trigrams of both together."""
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, CELLS).astype(np.int16) for s in (a, b))
+    return pd.Series((m.to_numpy() - np.abs(x - y).sum(1, dtype=np.int64)) // 2)
 
-    def one(g):
-        if g is None or not len(g):
-            return 0
-        h = np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in g), np.uint8).reshape(-1, 8)
-        bits = np.unpackbits(h, axis=1).sum(0, dtype=np.int64) * 2 >= len(g)
-        return int(np.packbits(bits).view(">u8")[0].astype(np.uint64).view(np.int64))
 
-    return grams.map(one)
+@F.pandas_udf(T.StructType([T.StructField("common", T.IntegerType()), T.StructField("n", T.IntegerType())]))
+def shared_trigrams(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Trigrams that both forms hold, and that either holds. Each distinct form of a batch is cut once."""
+    sets = {x: trigrams(x) for x in pd.concat([a, b]).unique()}
+    common = [len(sets[x] & sets[y]) for x, y in zip(a, b)]
+    return pd.DataFrame({"common": common, "n": [len(sets[x]) + len(sets[y]) - c for x, y, c in zip(a, b, common)]})
 
 
 def near_edges(df: DataFrame, key: str, text: str = "text", max_hamming: int = 8, min_jaccard: float = 0.9, min_length_ratio: float = 0.85, min_chars: int = 12) -> DataFrame:
-    """(a, b): pairs that share one of four 16-bit bands and pass the length, Hamming and Jaccard tests.
+    """(a, b): pairs that share one of four 16-bit bands and pass the length, Hamming and Jaccard tests."""
+    return form_edges(df.select(F.col(key).alias("k"), dedup_form(text).alias("form")).checkpoint(), max_hamming, min_jaccard, min_length_ratio, min_chars)
+
+
+def form_edges(rows: DataFrame, max_hamming: int = 8, min_jaccard: float = 0.9, min_length_ratio: float = 0.85, min_chars: int = 12) -> DataFrame:
+    """near_edges of rows (k, form); rows of one k have one form.
 
-    Cheap tests come first; trigram sets are joined only for pairs that passed them.
+    Cheap tests come first, with bounds that no pair of enough shared trigrams fails; forms are joined only for pairs that passed them.
     """
-    base = df.select(key, dedup_form(text).alias("form")).where(F.length("form") >= min_chars)
-    base = base.withColumn("grams", trigrams(F.col("form"))).withColumn("sig", simhash("grams")).checkpoint()
-    bands = base.select(F.col(key).alias("k"), "sig", F.length("form").alias("n"), F.posexplode(F.array(*[F.shiftrightunsigned("sig", 16 * b).bitwiseAND(F.lit(65535)) for b in range(BANDS)])).alias("band", "v"))
+    base = rows.where(F.length("form") >= min_chars)
+    sigs = base.select("k", F.length("form").alias("n"), simhash("form").alias("s")).select("k", "n", "s.*").dropDuplicates(["k"]).checkpoint()
+    bands = sigs.select("*", F.posexplode(F.array(*[F.shiftrightunsigned("sig", 16 * b).bitwiseAND(F.lit(65535)) for b in range(BANDS)])).alias("band", "v"))
     a, b = bands.alias("a"), bands.alias("b")
     ok = (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= min_length_ratio * F.greatest("a.n", "b.n")) & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= max_hamming)
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.v") == F.col("b.v")) & ok).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    grams = lambda k, g: base.select(F.col(key).alias(k), F.col("grams").alias(g))
-    both = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(grams("a", "ga"), "a").join(grams("b", "gb"), "b").where(both >= min_jaccard * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+    ok &= F.least("a.m", "b.m") >= min_jaccard * F.greatest("a.m", "b.m")  # as the Jaccard test needs it
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.v") == F.col("b.v")) & ok)
+    pairs = pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), (F.col("a.m") + F.col("b.m")).alias("m"), most_shared("a.sketch", "b.sketch", F.col("a.m") + F.col("b.m")).alias("most"))
+    pairs = pairs.where(F.col("most") >= min_jaccard * (F.col("m") - F.col("most"))).select("a", "b").distinct().checkpoint()
+    forms = base.join(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi").dropDuplicates(["k"]).checkpoint()
+    of = lambda k, form: forms.select(F.col("k").alias(k), F.col("form").alias(form))
+    both = pairs.join(of("a", "fa"), "a").join(of("b", "fb"), "b").withColumn("s", shared_trigrams("fa", "fb"))
+    return both.where(F.col("s.common") >= min_jaccard * F.col("s.n")).select("a", "b")
+
+
+def duplicate_groups(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, component, links) of every row: component is the least key of its group, links the number of other texts near its own.
+
+    Rows of one canonical text are one group, and near texts join groups. Texts are told apart by a hash of the canonical
+    text, so rows that repeat a key or have none are grouped by what they say.
+    """
+    rows = df.select(F.col(key), canonical(text).alias("canon")).select(key, F.md5("canon").alias("k"), F.trim(F.regexp_replace(fold("canon"), r"[^\p{L}\p{N}]+", " ")).alias("form")).checkpoint()
+    near = form_edges(rows.select("k", "form")).checkpoint()
+    links = near.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("links"))
+    joined = components(near).select(F.col("node").alias("k"), F.col("component").alias("c"))
+    texts = rows.groupBy("k").agg(F.min(key).alias("least")).join(joined, "k", "left").join(links, "k", "left")
+    texts = texts.select("k", "least", F.coalesce("c", "k").alias("c"), F.coalesce("links", F.lit(0)).alias("links")).checkpoint()
+    named = texts.groupBy("c").agg(F.min("least").alias("component"))
+    return rows.select(key, "k").join(texts.join(named, "c").select("k", "component", "links"), "k").select(key, "component", "links")
 
 
 def symbolic_key(canon: Column) -> Column:

@@ -174,10 +174,9 @@ def symbolic_groups(spark, d):
 
 @query()
 def near_dup_components(spark, d):
+    """Every document with its group: exact copies, and near ones of any member."""
     _checkpoint(spark)
-    docs = corpus.with_key(read(spark, d, "documents").select("doc_id", "text"))
-    first = docs.groupBy("canon").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r")).select("r.*")
-    return neardup.components(neardup.near_edges(first, "doc_id"))
+    return neardup.duplicate_groups(read(spark, d, "documents"), "doc_id")
 
 
 def _checkpoint(spark: SparkSession) -> None:
