@@ -153,6 +153,32 @@ def test_duplicate_groups_against_all_pairs(spark, tmp_path):
     assert len(got) == len(rows) and sum(n > 1 for _, _, n in got) > 20
 
 
+def test_near_safe_split_keeps_near_copies_together(spark, tmp_path):
+    from tidewell.plans import catalogue
+
+    rows = [r for r in copies() if r[0] is not None and r[0] != 905]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, k % 2) for k, _ in rows if k >= 60]  # documents under 60 have no human label
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in catalogue.near_safe_split(spark, str(tmp_path)).collect()}
+    assert set(got) == {k for k, _ in rows}
+    homes = {}
+    for k, g, _ in plain_groups(rows):
+        homes.setdefault(g, set()).add((got[k].group, got[k].split))
+    assert all(len(h) == 1 for h in homes.values())
+    assert {r.split for k, r in got.items() if k < 60} == {"train"}
+    assert len({r.split for r in got.values()}) == 3
+
+
+def test_two_pass_split_merges_groups_of_variants(spark):
+    """Rows 2i and 2i + 1 have other texts but the same variant."""
+    rows = spark.createDataFrame([(i, prose(i), "HATE", True) for i in range(40)], "id long, text string, label string, human boolean")
+    out = corpus.two_pass_split(rows, "id", "text", "label", "human", lambda r: r.select("id", F.concat(F.lit("variant "), F.expr("id div 2")).alias("variant")), 42, 0.2, 0.2).collect()
+    assert len(out) == 40 and len({r.source_group for r in out}) == 40
+    assert len({r.group for r in out}) == len({(r.group, r.split) for r in out}) == 20
+    assert {r.group for r in out} == {str(2 * i) for i in range(20)}
+
+
 def test_occlusion_against_plain_python(spark):
     words = ["the", "cat", "and", "the", "dog"]
     hit = lambda ws: sum(w in ("the", "and") for w in ws)

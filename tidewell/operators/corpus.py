@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import hashing
 from tidewell.functions.text import canonical
+from tidewell.operators import neardup
 
 
 def with_key(df: DataFrame, text: str = "text") -> DataFrame:
@@ -54,6 +57,22 @@ def leakage_safe_split(df: DataFrame, group: str, label: str, human: str, seed:
     return g.select(group, "stratum", F.when(F.col("human") == 0, "train").when(u < test, "test").when(u < test + validation, "validation").otherwise("train").alias("split"))
 
 
+def two_pass_split(df: DataFrame, key: str, text: str, label: str, human: str, vary: Callable[[DataFrame], DataFrame], seed: int, validation: float, test: float) -> DataFrame:
+    """df with source_group, variant_group, group, stratum, split: a split safe for near copies of the texts and of their variants.
+
+    Near-duplicate groups are split; vary makes (key, variant) of the rows with that target_split; the variants are grouped
+    in turn, both groupings are merged, and the merged groups are split. Keys must be unique and not null.
+    """
+    grouped = lambda rows, t, name: neardup.duplicate_groups(rows, key, t).select(key, F.col("component").cast("string").alias(name))
+    rows = df.join(grouped(df, text, "source_group"), key).checkpoint()
+    first = leakage_safe_split(rows, "source_group", label, human, seed, validation, test)
+    variants = vary(rows.join(first.select("source_group", F.col("split").alias("target_split")), "source_group")).select(key, "variant").checkpoint()
+    both = rows.join(grouped(variants, "variant", "variant_group"), key).checkpoint()
+    merged = neardup.merge_groupings(both, key, ["source_group", "variant_group"]).select(F.col("node").alias(key), F.col("component").cast("string").alias("group"))
+    both = both.join(merged, key).checkpoint()
+    return both.join(leakage_safe_split(both, "group", label, human, seed, validation, test), "group")
+
+
 def group_names(members: DataFrame, group: str, member: str) -> DataFrame:
     """A name of each group made of its sorted members' hashes."""
     return members.groupBy(group).agg(F.concat(F.lit("grp_"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set(F.sha2(member, 256))), "\u0000"), 256), 1, 20)).alias("group_id"), F.count("*").alias("n"))

@@ -216,6 +216,38 @@ def split_leak_check(spark, d):
     return rows.groupBy("g").agg(F.count("*").alias("n")).join(split, "g").groupBy("split").agg(F.sum("n").alias("n"), F.count("*").alias("n_groups"))
 
 
+def _near_split(spark, d):
+    _checkpoint(spark)
+    labels = read(spark, d, "labels").select("doc_id", "toxic")
+    rows = read(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+    rows = rows.select("doc_id", "text", F.when(F.col("toxic") == 1, "HATE").otherwise("CLEAN").alias("label"), F.col("toxic").isNotNull().alias("human"))
+
+    def vary(rows):
+        """A row without a free variant stands for itself."""
+        made = _augment(rows.withColumn("sample_id", F.col("doc_id").cast("string")))
+        return made.select("doc_id", F.coalesce("perturbed_text", "original_text").alias("variant"))
+
+    return corpus.two_pass_split(rows, "doc_id", "text", "label", "human", vary, 42, 0.2, 0.2)
+
+
+@query()
+def near_safe_split(spark, d):
+    """The split of every document by near-duplicate groups of the texts and of their variants; leakage_safe_split knows exact copies only, as its SQL says."""
+    return _near_split(spark, d).select("doc_id", "group", "stratum", "split")
+
+
+@query()
+def near_split_leak_check(spark, d):
+    """Rows and merged groups of each split, and the groups of texts and of variants that lie in another split too: none."""
+    rows = _near_split(spark, d).checkpoint()
+    n = rows.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("group").alias("n_groups"))
+    for kind in ("source_group", "variant_group"):
+        each = rows.select("split", kind).distinct()
+        crossing = each.join(each.groupBy(kind).count().where("count > 1"), kind).groupBy("split").agg(F.count("*").alias(f"{kind}s_crossing"))
+        n = n.join(crossing, "split", "left").fillna(0, [f"{kind}s_crossing"])
+    return n
+
+
 @query(f"SELECT count(*) AS n FROM (SELECT {CANON} AS c FROM documents) WHERE c IN (SELECT {CANON} FROM benchmark)")
 def overlap_benchmark(spark, d):
     other = read(spark, d, "benchmark").select(text.canonical("text").alias("c"))
@@ -432,7 +464,11 @@ def eval_pairs(spark, d):
 
 def _augmented(spark, d):
     _checkpoint(spark)
-    m = _messages(spark, d).withColumn("teencode_valid_span_count", obfuscate.valid_spans("text", "label", CHAT)).withColumn("teencode_eligible", F.col("teencode_valid_span_count") > 0)
+    return _augment(_messages(spark, d))
+
+
+def _augment(m):
+    m = m.withColumn("teencode_valid_span_count", obfuscate.valid_spans("text", "label", CHAT)).withColumn("teencode_eligible", F.col("teencode_valid_span_count") > 0)
     m = m.checkpoint()
     q = corpus.exact_quota(m.where("teencode_eligible"), ["label", "target_split"], hashing.key(F.lit("quota"), "sample_id"), 0.4).where("targeted").select("sample_id", F.lit(True).alias("teencode_targeted"))
     m = m.join(q, "sample_id", "left").withColumn("teencode_targeted", F.coalesce("teencode_targeted", F.lit(False)))
