@@ -153,6 +153,12 @@ def test_duplicate_groups_against_all_pairs(spark, tmp_path):
     assert len(got) == len(rows) and sum(n > 1 for _, _, n in got) > 20
 
 
+def test_duplicate_groups_of_signs(spark):
+    rows = [(1, "!!!"), (2, "! !!!!!"), (3, "?!"), (4, "??!!"), (5, "!?"), (6, ""), (7, "a!!!"), (8, "!!!")]
+    got = {r.id: (r.component, r.links) for r in neardup.duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id").collect()}
+    assert got == {1: (1, 0), 2: (1, 0), 3: (3, 0), 4: (3, 0), 5: (5, 0), 6: (6, 0), 7: (7, 0), 8: (1, 0)}
+
+
 def test_near_safe_split_keeps_near_copies_together(spark, tmp_path):
     from tidewell.plans import catalogue
 

@@ -85,13 +85,15 @@ def form_edges(rows: DataFrame, max_hamming: int = 8, min_jaccard: float = 0.9,
 def duplicate_groups(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, component, links) of every row: component is the least key of its group, links the number of other texts near its own.
 
-    Rows of one canonical text are one group, and near texts join groups. Texts are told apart by a hash of the canonical
+    Rows of one canonical text are one group; near texts, and texts of signs that differ in the runs' lengths only, join groups. Texts are told apart by a hash of the canonical
     text, so rows that repeat a key or have none are grouped by what they say.
     """
-    rows = df.select(F.col(key), canonical(text).alias("canon")).select(key, F.md5("canon").alias("k"), F.trim(F.regexp_replace(fold("canon"), r"[^\p{L}\p{N}]+", " ")).alias("form")).checkpoint()
+    rows = df.select(F.col(key), canonical(text).alias("canon")).select(key, F.md5("canon").alias("k"), symbolic_key(F.col("canon")).alias("signs"), F.trim(F.regexp_replace(fold("canon"), r"[^\p{L}\p{N}]+", " ")).alias("form")).checkpoint()
     near = form_edges(rows.select("k", "form")).checkpoint()
     links = near.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("links"))
-    joined = components(near).select(F.col("node").alias("k"), F.col("component").alias("c"))
+    signs = rows.where("signs is not null").select("k", "signs").distinct()
+    alike = signs.join(signs.groupBy("signs").agg(F.min("k").alias("b")), "signs").where("k <> b").select(F.col("k").alias("a"), "b")
+    joined = components(near.union(alike)).select(F.col("node").alias("k"), F.col("component").alias("c"))
     texts = rows.groupBy("k").agg(F.min(key).alias("least")).join(joined, "k", "left").join(links, "k", "left")
     texts = texts.select("k", "least", F.coalesce("c", "k").alias("c"), F.coalesce("links", F.lit(0)).alias("links")).checkpoint()
     named = texts.groupBy("c").agg(F.min("least").alias("component"))
