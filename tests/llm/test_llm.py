@@ -311,6 +311,14 @@ def test_repeats_against_counting(docs, m, group):
     assert got == plain_repeats(ROWS, m)
 
 
+def test_repeats_of_rows_without_id(spark):
+    shared, own = prose(80), prose(80)
+    rows = [(1, prose(30) + shared + prose(30)), (None, prose(20) + shared + prose(20)), (None, own + prose(10) + own), (None, prose(90)), (2, prose(90))]
+    rows += [(None, prose(15) + shared)] * 2 + [(3, prose(12) + own)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA), 200).collect()), key=str)
+    assert got == sorted(((None if d < 0 else d, *x) for d, *x in plain_repeats([(-1 if d is None else d, t) for d, t in rows], 200)), key=str)
+
+
 def test_repeats_of_nothing(empty):
     assert repeats.remove_repeats(empty).count() == 0
 

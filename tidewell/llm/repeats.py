@@ -261,15 +261,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.Re
 def repeated_spans(indexed: DataFrame, docs: DataFrame, min_bytes: int, text: str, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """((tid, s, e) of distinct texts with repeated windows, (tid, text) of the texts that can have some)."""
     long_enough = indexed.where(F.col("n_bytes") >= min_bytes)
-    first = long_enough.groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
-    # distinct texts: one row for each, though several may bear the least doc_id
-    one = long_enough.select("tid", "doc_id", "h", "pos", "w0", "w1").join(first, ["tid", "doc_id"]).dropDuplicates(["tid"])
+    first = long_enough.groupBy(F.col("tid").alias("of")).agg(F.min("doc_id").alias("first"))
+    # distinct texts: one row for each, though several may bear the least doc_id, or none bears one
+    one = long_enough.select("tid", "doc_id", "h", "pos", "w0", "w1").join(first, (F.col("tid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).drop("of", "first").dropDuplicates(["tid"])
     flat = one.select("tid", "doc_id", F.explode(F.arrays_zip("h", "pos", "w0", "w1")).alias("m")).select("tid", "doc_id", "m.*")
     flat = common.table(flat, "anchors")
     # written, so that both sides of the join are dealt anew and a hot anchor's side can be split
     twice = common.table(flat.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     marks = flat.join(twice, "h").groupBy("tid", "doc_id").agg(F.collect_list(F.struct("h", "pos", "w0", "w1")).alias("marks"))  # within one document
-    held = docs.select("doc_id", F.col(text).alias("text")).join(marks, "doc_id").where(F.unhex(F.substring(F.sha2("text", 256), 1, 32)) == F.col("tid"))
+    # rows without a doc_id meet by their text alone
+    own = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+    docs = docs.select("doc_id", F.col(text).alias("text")).withColumn("unnamed", F.when(F.col("doc_id").isNull(), own))
+    marks = marks.select(F.col("doc_id").alias("first"), F.when(F.col("doc_id").isNull(), F.col("tid")).alias("of"), "tid", "marks")
+    held = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("first")) & F.col("unnamed").eqNullSafe(F.col("of"))).where(own == F.col("tid"))
     held = common.table(held.dropDuplicates(["tid"]).select("tid", "text", "marks"), "held")
     seg = held.select("tid", "text", "marks").mapInArrow(lambda it: _segments(it, min_bytes), SEG)
 
