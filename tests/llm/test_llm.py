@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import ann, components, decontaminate, langid, lmscore, minhash, packing, repeats, secrets, sharding, tokens
+from tidewell.llm import ann, components, decontaminate, langid, lmscore, minhash, packing, queries, repeats, secrets, sharding, tokens
 
 rng = random.Random(5)
 VOCAB = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
@@ -311,6 +311,47 @@ def test_repeats_against_counting(docs, m, group):
     assert got == plain_repeats(ROWS, m)
 
 
+def plain_passages(rows, m):
+    """Byte offsets of maximal runs of words covered by m words that stand in two rows."""
+    words = [(d, [(x.start(), x.end(), x.group()) for x in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]) for d, t in rows]
+    owners = defaultdict(set)
+    for i, (_, w) in enumerate(words):
+        for j in range(len(w) - m + 1):
+            owners[tuple(x[2] for x in w[j : j + m])].add(i)
+    out = []
+    for d, w in words:
+        cover = np.zeros(len(w) + 1, int)
+        for j in range(len(w) - m + 1):
+            if len(owners[tuple(x[2] for x in w[j : j + m])]) > 1:
+                cover[j : j + m] = 1
+        step = np.diff(np.concatenate([[0], cover]))
+        out.append((d, [(w[a][0], w[b - 1][1]) for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("m", "group"), [(20, 1024), (20, 1), (9, 2)])
+def test_passages_against_counting(spark, m, group):
+    line = prose(14)
+    rows = ROWS + [(400, f"{line}\n" * 6), (401, f"{prose(30)} {prose(40, random.Random(3))}"), (402, f"{prose(40, random.Random(3))}  {line} {prose(3)}"), (403, line)]
+    got = sorted((r.doc_id, [(x.s, x.e) for x in r.passages]) for r in repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA), 100, group=group, min_words=m).collect())
+    assert got == plain_passages(rows, m)
+    none = repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA), 100, min_words=0)
+    assert none.where(F.size("passages") > 0).count() == 0
+
+
+def test_op6_query_at_400_bytes(spark, tmp_path):
+    """The query itself, with null ids, repeated rows and passages below and above 400 bytes."""
+    short, long, own = prose(70), prose(110), prose(95)
+    assert len(short.encode()) < 400 < min(len(long.encode()), len(own.encode()))
+    rows = [*ROWS, (500, prose(20) + short + prose(9)), (501, short + prose(30)), (502, prose(9) + long), (None, long + prose(40)), (None, own + prose(10) + own), (503, prose(200)), (503, prose(200)), (None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_repeat_removal(spark, str(tmp_path)).collect()
+    numbered = [(-1 if d is None else d, t) for d, t in rows]
+    named = lambda r: -1 if r.doc_id is None else r.doc_id
+    assert sorted((named(r), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats(numbered, 400)
+    assert sorted((named(r), r.n_passages, r.passage_bytes) for r in got) == sorted((d, len(x), sum(e - s for s, e in x)) for d, x in plain_passages(numbered, 51))
+
+
 def test_repeats_of_rows_without_id(spark):
     shared, own = prose(80), prose(80)
     rows = [(1, prose(30) + shared + prose(30)), (None, prose(20) + shared + prose(20)), (None, own + prose(10) + own), (None, prose(90)), (2, prose(90))]

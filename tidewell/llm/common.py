@@ -21,9 +21,11 @@ CHUNK = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that every executor sees: spark.checkpoint.dir. Only a local session without one gets a folder of its own."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidewell.shared.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("tidewell.shared.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -33,13 +35,21 @@ def shared_folder(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back. A lost executor costs nothing that is behind it.
 
-    The folder is removed when the driver's Python ends.
+    The folder is removed by discard, or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewell-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that nothing still to be computed reads: what came of them must have been written."""
+    for t in tables:
+        _remove(t.sparkSession, t.stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

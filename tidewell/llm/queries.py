@@ -30,7 +30,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(read(spark, sf_dir, "documents"), 400).drop("spans")
+    """The contract's columns, and how much of a document lies in passages of over 50 words that another document holds too."""
+    cut = repeats.remove_repeats(read(spark, sf_dir, "documents"), 400, min_words=51)
+    shared = F.aggregate("passages", F.lit(0), lambda n, x: n + x["e"] - x["s"]).cast("long")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.size("passages").cast("long").alias("n_passages"), shared.alias("passage_bytes"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

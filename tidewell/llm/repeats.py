@@ -1,11 +1,14 @@
 """Exact removal of repeated byte strings with a run-length (r-index style) suffix index.
 
 A string of min_bytes bytes that starts at two places of the corpus is removed wherever it
-stands; matches never cross documents. Strings are judged on the input.
-
-1. Every window of min_bytes bytes picks an anchor: of the K-byte strings in it the one with
-   the least hash, the first on ties. Equal windows pick equal anchors at the same place, so
-   only anchors that occur twice matter, and windows are compared within an anchor's group.
+stands; matches never cross documents. Strings are judged on the input. Beside it, passages of
+min_words words (the words, whatever stands between them) that stand in two different documents
+are reported, as they may be shorter than min_bytes. Both go the same way, as strings of symbols:
+bytes, or 64-bit hashes of words. The lowest bit of a key says which.
+
+1. Every window (min_bytes bytes or min_words words) picks an anchor: of the strings of half its
+   length in it the one with the least hash, the first on ties. Equal windows pick equal anchors at
+   the same place, so only anchors that occur twice matter, and windows are compared within an anchor's group.
 2. The windows that picked one occurrence of an anchor form a segment of text. Equal segments
    are counted with a grouped sum; all their windows repeat, and one of them goes on.
 3. Groups of different segments are gathered into blocks. Each block's text gets a run-length
@@ -13,19 +16,22 @@ stands; matches never cross documents. Strings are judged on the input.
    length with the neighbouring suffix are sampled (r samples each way); the matching statistics
    of all other positions follow from the samples, as they fall by one from a position to the
    next within a run. Windows whose matching length with any other suffix reaches min_bytes repeat.
+   Words: windows that lie together in the suffix order are one class, which must have two documents.
 4. A group too large for a block is split: windows in the left and the right half of the
    anchor's range are keyed by the longer text that all windows of the half share. A split
    sends a segment on at most twice, halves the range, and ends at single windows, whose equal
    segments step 2 counts. So no group, however large, meets in one task.
 
 Equal texts are one text with a count: with a count over one and min_bytes bytes they are
-removed whole. Null counts as empty. Repeated rows are documents of their own.
+removed whole, with min_words words they are one passage. Null counts as empty. Repeated rows
+are documents of their own, rows with a null doc_id as well.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,77 +41,110 @@ from pyspark.sql import functions as F
 from tidewell.llm import common
 from tidewell.llm.common import U64
 
-K = 32
 #: Bytes of one block's index, and segments of a group beyond which it is split.
 BLOCK_BYTES, GROUP = 1 << 20, 1024
 EMPTY = hashlib.sha256(b"").hexdigest()
+BYTES, WORDS = 0, 1
+
+
+@dataclass(frozen=True)
+class Windows:
+    """Lengths of windows in symbols, by kind (bytes, words), the anchors' lengths and the symbols' widths in bytes."""
+
+    length: tuple[int, int]
+
+    @property
+    def k(self) -> tuple[int, int]:
+        return max(1, self.length[0] // 2), max(1, self.length[1] // 2)
+
+    width = (1, 8)
+
 
 # ---------------------------------------------------------------- anchors
 
+_LOW = 24
+_PLACE = U64((1 << _LOW) - 1)
+
 
-def anchors(data: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, first window, last window) of each anchor of one text of at least min_bytes bytes."""
-    n, span = len(data), min_bytes - K + 1
-    h = common.prefix_hash(data)
+def anchors(x: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, first window, last window) of each anchor of one string of at least length symbols."""
+    n, span = len(x), length - k + 1
+    h = common.prefix_hash(x)
     _, q = common.powers(n)
-    h = common.mix((h[K:] - h[:-K]) * q[: n - K + 1])
-    # sliding first minimum by doubling: the least over 2**k positions, then two overlapping spans
-    best = np.arange(len(h))
-    width = 1
-    while width * 2 <= span:
-        a, b = best[: len(best) - width], best[width:]
-        best = np.where(h[a] <= h[b], a, b)
-        width *= 2
-    if width < span:
-        a, b = best[: n - min_bytes + 1], best[span - width : span - width + n - min_bytes + 1]
-        best = np.where(h[a] <= h[b], a, b)
+    h = common.mix((h[k:] - h[:-k]) * q[: n - k + 1])
+    if n <= _PLACE:  # the upper bits of the hash, then the place: a sliding minimum by doubling
+        best = (h & ~_PLACE) | np.arange(len(h), dtype=U64)
+        width = 1
+        while width * 2 <= span:
+            best = np.minimum(best[:-width], best[width:])
+            width *= 2
+        best = (np.minimum(best[: n - length + 1], best[span - width : span - width + n - length + 1]) & _PLACE).astype(np.int64)
+    else:  # the same order, by places alone
+        upper, best, width = h >> U64(_LOW), np.arange(len(h)), 1
+        first = lambda a, b: np.where(upper[a] <= upper[b], a, b)
+        while width * 2 <= span:
+            best = first(best[: len(best) - width], best[width:])
+            width *= 2
+        best = first(best[: n - length + 1], best[span - width : span - width + n - length + 1])
     cut = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
     pos = best[cut]
     return h[pos], pos, cut, np.append(cut[1:], len(best)) - 1
 
 
-def index_texts(docs: DataFrame, min_bytes: int, text: str) -> DataFrame:
-    """doc_id, n_bytes, sha (of the text), tid (128 bits of it) and the anchors: hash, position, first and last window."""
+INDEX = "doc_id long, n_bytes long, n_words long, word_from int, word_to int, sha string, tid binary, h array<long>, pos array<int>, w0 array<int>, w1 array<int>"
+
+
+def index_texts(docs: DataFrame, windows: Windows, text: str) -> DataFrame:
+    """doc_id, sizes, where the words lie, sha (of the text), tid (128 bits of it) and the anchors: hash, position, first and last window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in common.chunks(batch.column(1)):
-                sha, lists, cut = [], [[], [], [], []], [0]
-                for s, e in zip(offs[:-1].tolist(), offs[1:].tolist()):
-                    x = data[s:e]
-                    sha.append(hashlib.sha256(x).hexdigest())
-                    if e - s >= min_bytes:
-                        for into, got in zip(lists, anchors(x, min_bytes)):
-                            into.append(got)
-                    cut.append(cut[-1] + (len(lists[0][-1]) if e - s >= min_bytes else 0))
+                ws, we, first = common.words(data, offs)
+                wh = common.word_hashes(data, ws, we, lower=False)
+                sha, lists, cut, words = [], [[], [], [], []], [0], []
+                for s, e, p, q in zip(offs[:-1].tolist(), offs[1:].tolist(), first[:-1].tolist(), first[1:].tolist()):
+                    sha.append(hashlib.sha256(data[s:e]).hexdigest())
+                    words.append((q - p, ws[p] - s, we[q - 1] - s) if q > p else (0, 0, 0))
+                    here = 0
+                    for kind, x in ((BYTES, data[s:e]), (WORDS, wh[p:q])):
+                        if len(x) >= windows.length[kind] > 0:
+                            h, *rest = anchors(x, windows.length[kind], windows.k[kind])
+                            for into, got in zip(lists, ((h & ~U64(1)) | U64(kind), *rest)):
+                                into.append(got)
+                            here += len(h)
+                    cut.append(cut[-1] + here)
                 cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in lists]
                 nest = lambda v, t: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, t))
+                n, lo, hi = zip(*words)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(offs)), pa.array(sha), pa.array([bytes.fromhex(x[:32]) for x in sha], pa.binary()), nest(cols[0].astype(U64).view(np.int64), pa.int64()), *(nest(c.astype(np.int32), pa.int32()) for c in cols[1:])],
-                    names=["doc_id", "n_bytes", "sha", "tid", "h", "pos", "w0", "w1"],
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(offs)), pa.array(n, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(sha), pa.array([bytes.fromhex(x[:32]) for x in sha], pa.binary()), nest(cols[0].astype(U64).view(np.int64), pa.int64()), *(nest(c.astype(np.int32), pa.int32()) for c in cols[1:])],
+                    names=["doc_id", "n_bytes", "n_words", "word_from", "word_to", "sha", "tid", "h", "pos", "w0", "w1"],
                 )
 
-    return docs.select("doc_id", F.col(text)).mapInArrow(run, "doc_id long, n_bytes long, sha string, tid binary, h array<long>, pos array<int>, w0 array<int>, w1 array<int>")
+    return docs.select("doc_id", F.col(text)).mapInArrow(run, INDEX)
 
 
 # ---------------------------------------------------------------- the run-length index of a block
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Positions of the suffixes in order, by prefix doubling from eight bytes; only ties are sorted again."""
+    """Positions of the suffixes in order, by prefix doubling from as many symbols as 63 bits hold; only ties are sorted again."""
     n = len(t)
-    x = np.zeros(n + 8, U64)
+    bits = max(9, int(t.max()).bit_length() + 1) if n else 9
+    each = 63 // bits
+    x = np.zeros(n + each, U64)
     x[:n] = t.astype(U64) + U64(1)
     key = np.zeros(n, U64)
-    for j in range(7):  # seven symbols of nine bits
-        key = key << U64(9) | x[j : j + n]
+    for j in range(each):
+        key = key << U64(bits) | x[j : j + n]
     sa = np.argsort(key)
     k = key[sa]
     new = np.append(True, k[1:] != k[:-1])
     rank = np.empty(n, np.int64)
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the rank of a group is its first place
     rank[sa] = head
-    step = 7
+    step = each
     while True:
         tied = ~(new & np.append(new[1:], True))
         at = np.flatnonzero(tied)
@@ -172,21 +211,45 @@ def _lcp(t: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def block_repeats(segments: list[np.ndarray], min_bytes: int) -> list[np.ndarray]:
-    """For each segment which of its windows occur elsewhere in the block."""
+def block_repeats(segments: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """For each segment (of bytes) which of its windows occur elsewhere in the block."""
+    t, start, lens = _joined(segments, np.uint8(255))  # a byte that UTF-8 has not
+    ms = matching(t, length)
+    return [ms[s : s + n - length + 1] >= length for s, n in zip(start.tolist(), lens.tolist())]
+
+
+def block_passages(segments: list[np.ndarray], owners: list[bytes], many: list[bool], length: int) -> list[np.ndarray]:
+    """For each segment (of word hashes) which of its windows stand in two documents. many: the segment itself does."""
+    t, start, lens = _joined(segments, U64(0))
+    t = np.unique(t, return_inverse=True)[1]
+    sa = suffix_array(t)
+    n = len(t)
+    h, q = common.prefix_hash(t), common.powers(len(t))[1]
+    whole = sa + length <= n
+    at = np.minimum(sa, n - length) if n >= length else np.zeros(n, np.int64)
+    value = (h[at + length] - h[at]) * q[at] if n >= length else np.zeros(n, U64)
+    group = np.cumsum(np.append(True, (value[1:] != value[:-1]) | ~whole[1:] | ~whole[:-1])) - 1
+    owner = np.repeat(np.unique(np.array(owners, object), return_inverse=True)[1], lens + 1)[sa]
+    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    two = (np.minimum.reduceat(owner, cuts) != np.maximum.reduceat(owner, cuts)) | np.logical_or.reduceat(np.repeat(np.array(many, bool), lens + 1)[sa], cuts)
+    flag = np.zeros(n, bool)
+    flag[sa] = two[group]
+    return [flag[s : s + m - length + 1] for s, m in zip(start.tolist(), lens.tolist())]
+
+
+def _joined(segments: list[np.ndarray], between) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lens = np.array([len(s) for s in segments])
     start = np.cumsum(np.append(0, lens[:-1] + 1))
-    t = np.full(int(lens.sum() + len(lens)), 255, np.uint8)  # a byte that UTF-8 has not
+    t = np.full(int(lens.sum() + len(lens)), between)
     for s, x in zip(start.tolist(), segments):
         t[s : s + len(x)] = x
-    ms = matching(t, min_bytes)
-    return [ms[s : s + n - min_bytes + 1] >= min_bytes for s, n in zip(start.tolist(), lens.tolist())]
+    return t, start, lens
 
 
 # ---------------------------------------------------------------- the operator
 
-SEG = "key long, c binary, tid binary, w0 int, w1 int, pos int, lo int, hi int, bytes binary"
-SPAN = "tid binary, s int, e int"
+SEG = "key long, c binary, tid binary, w0 int, w1 int, pos int, lo int, hi int, many boolean, symbols binary"
+SPAN = "tid binary, kind int, s int, e int"
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,73 +257,98 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(x == 1), np.flatnonzero(x == -1)
 
 
-def _segments(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
+def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int32()] * 5, pa.bool_(), pa.binary()]
+    cols = zip(*rows) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=["key", "c", "tid", "w0", "w1", "pos", "lo", "hi", "many", "symbols"])
+
+
+def _name(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
+
+
+def _segments(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for tid, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
             raw = text.encode()
-            rows = [[], [], [], [], [], [], [], [], []]
+            words = b""
+            if any(m["h"] & 1 for m in marks):
+                data = np.frombuffer(raw, np.uint8)
+                s, e, _ = common.words(data, np.array([0, len(data)]))
+                words = common.word_hashes(data, s, e, lower=False).tobytes()
+            rows = []
             for m in marks:
-                part = raw[m["w0"] : m["w1"] + min_bytes]
-                for into, v in zip(rows, (m["h"], hashlib.sha256(part).digest()[:16], tid, m["w0"], m["w1"], m["pos"], K - min_bytes, 1, part)):
-                    into.append(v)
+                kind = m["h"] & 1
+                width, length = windows.width[kind], windows.length[kind]
+                part = (raw, words)[kind][m["w0"] * width : (m["w1"] + length) * width]
+                rows.append((m["h"], _name(part), tid, m["w0"], m["w1"], m["pos"], windows.k[kind] - length, 1, False, part))
             yield _segment_batch(rows)
 
 
-def _segment_batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int32()] * 5, pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names=["key", "c", "tid", "w0", "w1", "pos", "lo", "hi", "bytes"])
-
-
-def _split(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
     """Halves of each segment's range of windows [lo, hi), relative to the anchor, keyed by the text all of a half's windows share."""
     for batch in batches:
-        rows = [[], [], [], [], [], [], [], [], []]
-        for key, _, tid, w0, w1, pos, lo, hi, part in zip(*(c.to_pylist() for c in batch.columns)):
+        rows = []
+        for key, _, tid, w0, w1, pos, lo, hi, many, part in zip(*(c.to_pylist() for c in batch.columns)):
+            kind = key & 1
+            width, length = windows.width[kind], windows.length[kind]
             mid = (lo + hi) // 2
             for a, b in ((lo, mid), (mid, hi)):
                 x0, x1 = max(w0, pos + a), min(w1, pos + b - 1)
                 if a >= b or x0 > x1:
                     continue
-                core = part[pos + b - 1 - w0 : pos + a + min_bytes - w0]
-                name = int.from_bytes(hashlib.sha256(key.to_bytes(8, "big", signed=True) + a.to_bytes(4, "big", signed=True) + b.to_bytes(4, "big", signed=True) + core).digest()[:8], "big", signed=True)
-                cut = part[x0 - w0 : x1 + min_bytes - w0]
-                for into, v in zip(rows, (name, hashlib.sha256(cut).digest()[:16], tid, x0, x1, pos, a, b, cut)):
-                    into.append(v)
+                core = part[(pos + b - 1 - w0) * width : (pos + a + length - w0) * width]
+                at = b"".join(v.to_bytes(8, "big", signed=True) for v in (key, a, b))
+                name = int.from_bytes(_name(at + core)[:8], "big", signed=True) & ~1 | kind
+                cut = part[(x0 - w0) * width : (x1 + length - w0) * width]
+                rows.append((name, _name(cut), tid, x0, x1, pos, a, b, many, cut))
         yield _segment_batch(rows)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Batches of (key, tid, w0, bytes) sorted by key: whole groups gathered into blocks."""
-    held: list[tuple] = []
+def _blocks(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, tid, w0, many, symbols) sorted by key: whole groups gathered into blocks, each of one kind."""
+    held: tuple[list, list] = [], []
+    size = [0, 0]
     group: list[tuple] = []
-    size = 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        out = [[], [], []]
-        if held:
-            for (_, tid, w0, _), flags in zip(held, block_repeats([np.frombuffer(x[3], np.uint8) for x in held], min_bytes)):
-                for s, e in zip(*_runs(flags)):
-                    for into, v in zip(out, (tid, w0 + int(s), w0 + int(e) - 1 + min_bytes)):
-                        into.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.binary(), pa.int32(), pa.int32()))], names=["tid", "s", "e"])
+    def flush(kind: int) -> pa.RecordBatch:
+        rows, length = held[kind], windows.length[kind]
+        out = []
+        if rows:
+            if kind == BYTES:
+                flags = block_repeats([np.frombuffer(x[4], np.uint8) for x in rows], length)
+            else:
+                flags = block_passages([np.frombuffer(x[4], U64) for x in rows], [x[1] for x in rows], [x[3] for x in rows], length)
+            out = [(x[1], kind, x[2] + s, x[2] + e - 1 + length) for x, f in zip(rows, flags) for s, e in zip(*(r.tolist() for r in _runs(f)))]
+        rows.clear()
+        size[kind] = 0
+        cols = zip(*out) if out else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.int32()))], names=["tid", "kind", "s", "e"])
+
+    def close() -> int:
+        """The group is whole: it joins the block of its kind."""
+        kind = group[0][0] & 1
+        held[kind].extend(group)
+        size[kind] += sum(len(x[4]) + 1 for x in group)
+        group.clear()
+        return kind
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if group and group[0][0] != row[0]:
-                held += group
-                group = []
-                if size >= BLOCK_BYTES:
-                    yield from flush()
-                    held, size = [], 0
+                kind = close()
+                if size[kind] >= BLOCK_BYTES * windows.width[kind] // 4 ** kind:
+                    yield flush(kind)
             group.append(row)
-            size += len(row[3]) + 1
-    held += group
-    yield from flush()
+    if group:
+        close()
+    yield flush(BYTES)
+    yield flush(WORDS)
 
 
-def repeated_spans(indexed: DataFrame, docs: DataFrame, min_bytes: int, text: str, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """((tid, s, e) of distinct texts with repeated windows, (tid, text) of the texts that can have some)."""
-    long_enough = indexed.where(F.col("n_bytes") >= min_bytes)
+def repeated_spans(indexed: DataFrame, docs: DataFrame, windows: Windows, text: str, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """((tid, kind, s, e) of distinct texts with repeated windows, (tid, text) of the texts that can have some)."""
+    long_enough = indexed.where(F.size("h") > 0)
     first = long_enough.groupBy(F.col("tid").alias("of")).agg(F.min("doc_id").alias("first"))
     # distinct texts: one row for each, though several may bear the least doc_id, or none bears one
     one = long_enough.select("tid", "doc_id", "h", "pos", "w0", "w1").join(first, (F.col("tid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).drop("of", "first").dropDuplicates(["tid"])
@@ -275,69 +363,102 @@ def repeated_spans(indexed: DataFrame, docs: DataFrame, min_bytes: int, text: st
     marks = marks.select(F.col("doc_id").alias("first"), F.when(F.col("doc_id").isNull(), F.col("tid")).alias("of"), "tid", "marks")
     held = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("first")) & F.col("unnamed").eqNullSafe(F.col("of"))).where(own == F.col("tid"))
     held = common.table(held.dropDuplicates(["tid"]).select("tid", "text", "marks"), "held")
-    seg = held.select("tid", "text", "marks").mapInArrow(lambda it: _segments(it, min_bytes), SEG)
+    common.discard(flat, twice)
+    seg = held.select("tid", "text", "marks").mapInArrow(lambda it: _segments(it, windows), SEG)
 
     spans = None
     while True:
         seg = common.table(seg, "segments")
         # equal segments of a group: every window repeats; one of them goes on
-        same = seg.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct("tid", "w0")).alias("who"))
-        same = common.table(same, "segment-classes")
-        copied = seg.select("key", "c", "tid", "w0", "w1").join(same.where("n > 1").select("key", "c"), ["key", "c"]).select("tid", F.col("w0").alias("s"), (F.col("w1") + min_bytes).alias("e"))
+        same = seg.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct("tid", "w0")).alias("who"), F.max("tid").alias("other"), F.max("many").alias("many"), F.max(F.octet_length("symbols")).alias("size"))
+        same = common.table(same.withColumn("many", F.col("many") | (F.col("other") > F.col("who.tid"))).drop("other"), "segment-classes")
+        kind = F.col("key").bitwiseAND(F.lit(1)).cast("int")
+        length = F.when(kind == BYTES, windows.length[BYTES]).otherwise(windows.length[WORDS])
+        again = same.where(F.when(kind == BYTES, F.col("n") > 1).otherwise(F.col("many"))).select("key", "c")
+        copied = seg.select("key", "c", "tid", "w0", "w1").join(again, ["key", "c"]).select("tid", kind.alias("kind"), F.col("w0").alias("s"), (F.col("w1") + length).alias("e"))
         groups = same.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        going = same.join(groups, "key").select("key", "c", "who.tid", "who.w0", "m")
-        todo = common.table(seg.join(going, ["key", "c", "tid", "w0"]), "todo")
-        small = todo.where(F.col("m") <= group).select("key", "tid", "w0", "bytes")
-        total = small.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+        going = common.table(same.join(groups, "key").select("key", "c", "who.tid", "who.w0", "many", "n", "m", "size"), "going")
+        # one of each class goes on; words that one document repeats all do, as what is found of one holds for each of them
+        every = (kind == WORDS) & (F.col("n") > 1) & ~F.col("many")
+        lean = seg.drop("many")
+        columns = ["key", "c", "tid", "w0", "w1", "pos", "lo", "hi", "many", "symbols"]
+        picked = lambda of: lean.join(of.where(~every).select("key", "c", "tid", "w0", "many"), ["key", "c", "tid", "w0"]).select(*columns)
+        spread = lambda of: lean.join(of.where(every).select("key", "c", "many"), ["key", "c"]).select(*columns)
+        todo = lambda some: picked(going.where(some)).unionByName(spread(going.where(some)))
+        total, large = going.agg(F.coalesce(F.sum(F.when(F.col("m") <= group, F.col("size") * F.when(every, F.col("n")).otherwise(1))), F.lit(0)), F.count(F.when(F.col("m") > group, 1))).first()
         parts = max(1, -(-total // (4 * BLOCK_BYTES)))
-        matched = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda it: _blocks(it, min_bytes), SPAN)
+        small = todo(F.col("m") <= group).select("key", "tid", "w0", "many", "symbols")
+        matched = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda it: _blocks(it, windows), SPAN)
         now = common.table(copied.unionByName(matched), "spans")
         spans = now if spans is None else spans.unionByName(now)
-        large = todo.where(F.col("m") > group).select("key", "c", "tid", "w0", "w1", "pos", "lo", "hi", "bytes")
-        if large.isEmpty():
+        last = seg
+        if large:
+            seg = common.table(todo(F.col("m") > group).mapInArrow(lambda it: _split(it, windows), SEG), "halves")
+        common.discard(last, same, going)
+        if not large:
             return spans, held.select("tid", "text")
-        seg = large.mapInArrow(lambda it: _split(it, min_bytes), SEG)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pair = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     for batch in batches:
-        out = [[], [], [], [], []]
+        out = []
         for tid, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            raw, kept, merged = text.encode(), [], []
-            for x in sorted(spans, key=lambda x: x["s"]):
-                if merged and x["s"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], x["e"])
-                else:
-                    merged.append([x["s"], x["e"]])
-            at = 0
-            for s, e in merged:
+            raw, kept, at = text.encode(), [], 0
+            gone = _merged([(x["s"], x["e"]) for x in spans if x["kind"] == BYTES])
+            for s, e in gone:
                 kept.append(raw[at:s])
                 at = e
             kept.append(raw[at:])
             rest = b"".join(kept)
-            for into, v in zip(out, (tid, len(raw) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), [{"s": s, "e": e} for s, e in merged])):
-                into.append(v)
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["tid", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-
-def remove_repeats(docs: DataFrame, min_bytes: int = 400, text: str = "text", group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets of the removed runs) of every row."""
-    assert min_bytes >= 2 * K
-    indexed = common.table(index_texts(docs, min_bytes, text), "texts")
-    spans, texts = repeated_spans(indexed, docs, min_bytes, text, group)
-    by = spans.groupBy("tid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # within one text
-    done = texts.join(by, "tid").mapInArrow(_cut, "tid binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:int,e:int>>")
-    copies = indexed.where(F.col("n_bytes") >= min_bytes).groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("whole"))
-    kept = indexed.select("doc_id", "tid", "n_bytes", "sha")
+            shared = _merged([(x["s"], x["e"]) for x in spans if x["kind"] == WORDS])
+            if shared:
+                ws, we, _ = common.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                shared = [[int(ws[s]), int(we[e - 1])] for s, e in shared]
+            as_spans = lambda x: [{"s": s, "e": e} for s, e in x]
+            out.append((tid, len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), as_spans(gone), as_spans(shared)))
+        cols = zip(*out) if out else [[]] * 6
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pair, pair]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=["tid", "n_removed", "n_spans", "kept_sha256", "spans", "passages"])
+
+
+CUT = "tid binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:int,e:int>>, passages array<struct<s:int,e:int>>"
+
+
+def remove_repeats(docs: DataFrame, min_bytes: int = 400, text: str = "text", group: int = GROUP, min_words: int = 51) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets of the removed runs) and passages of every row.
+
+    passages: byte offsets, first word to last, of the maximal runs of words covered by min_words words that another document holds too.
+    They are not removed for that. min_words 0: none are looked for.
+    """
+    windows = Windows((min_bytes, min_words))
+    indexed = common.table(index_texts(docs, windows, text), "texts")
+    spans, texts = repeated_spans(indexed, docs, windows, text, group)
+    by = spans.groupBy("tid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("spans"))  # within one text
+    done = texts.join(by, "tid").mapInArrow(_cut, CUT)
+    copies = indexed.where(F.size("h") > 0).groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("whole"))
+    kept = indexed.select("doc_id", "tid", "n_bytes", "n_words", "word_from", "word_to", "sha")
     none = F.array().cast("array<struct<s:int,e:int>>")
-    whole = F.array(F.struct(F.lit(0).alias("s"), F.col("n_bytes").cast("int").alias("e")))
+    whole = F.col("whole") & (F.col("n_bytes") >= min_bytes)
+    told = F.col("whole") & (F.col("n_words") >= min_words) & F.lit(min_words > 0)
+    span = lambda a, b: F.array(F.struct(a.cast("int").alias("s"), b.cast("int").alias("e")))
     out = kept.join(copies, "tid", "left").join(done, "tid", "left")
-    pick = lambda full, part, otherwise: F.when(F.col("whole"), full).otherwise(F.coalesce(part, otherwise))
+    pick = lambda full, part, otherwise: F.when(whole, full).otherwise(F.coalesce(part, otherwise))
     return out.select(
         "doc_id", "n_bytes",
         pick(F.col("n_bytes"), F.col("n_removed"), F.lit(0)).cast("long").alias("n_removed"),
         pick(F.lit(1), F.col("n_spans"), F.lit(0)).cast("long").alias("n_spans"),
         pick(F.lit(EMPTY), F.col("kept_sha256"), F.col("sha")).alias("kept_sha256"),
-        pick(whole, F.col("spans"), none).alias("spans"),
+        pick(span(F.lit(0), F.col("n_bytes")), F.col("spans"), none).alias("spans"),
+        F.when(told, span(F.col("word_from"), F.col("word_to"))).otherwise(F.coalesce("passages", none)).alias("passages"),
     )
