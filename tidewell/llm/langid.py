@@ -9,13 +9,12 @@ The language with the shortest code wins; ties go to the smaller name.
 Tables: code lengths by the last four bytes are stored for pairs of byte pairs seen
 in training; other positions go the same way through the sparse tree.
 
-Null texts and texts without a letter are `und` with score 0. Repeated rows are judged each for itself.
+Null texts and texts without a letter (Unicode L; signs for numbers such as ² or ½ are none) are `und` with score 0. Repeated rows are judged each for itself.
 Without training rows every text is `und`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +27,10 @@ from tidewell.llm import common
 ORDER = 3
 #: Documents of each language (expected number, chosen by hash) that the classifier is fitted on.
 SAMPLE_PER_LANG = 1500
-LETTER = re.compile(r"[^\W\d_]")
-#: Entries of the dense table at most: byte pairs squared.
-MAX_PAIRS = 3000
+#: Bytes of the dense table (byte pairs squared, times languages) and of pairs at most, however many languages there are.
+TABLE_BYTES, MAX_PAIRS = 150_000_000, 3000
+#: Languages that one classifier tells apart; more in the training rows are an error, not a cut.
+MAX_LANGS = 1000
 
 
 def count_grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,9 +49,11 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> "Model":
     """Fit on a sample of labelled rows (lang and text not null): all rows of a language up to
     sample_per_lang, beyond that each with a probability that makes sample_per_lang expected."""
     rows = docs.where("lang is not null and text is not null")
-    share = {r["lang"]: min(1.0, sample_per_lang / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {r["lang"]: min(1.0, sample_per_lang / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
     if not share:
         return Model([], {})
+    if len(share) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages in the training rows")
     unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
     limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
     picked = rows.where(unit < limit[F.col("lang")]).select("lang", "text")
@@ -93,7 +95,8 @@ class Model:
             p, c = np.unique(np.concatenate([k >> np.uint32(16), k & np.uint32(0xFFFF)]), return_counts=True)
             for a, b in zip(p.tolist(), c.tolist()):
                 total[a] = total.get(a, 0) + b
-        pairs = np.array(sorted(sorted(total, key=lambda p: (-total[p], p))[:MAX_PAIRS]), np.uint32)
+        most = min(MAX_PAIRS, int((TABLE_BYTES / (4 * len(self.langs))) ** 0.5) - 1)
+        pairs = np.array(sorted(sorted(total, key=lambda p: (-total[p], p))[:most]), np.uint32)
         self.pair = np.zeros(1 << 16, np.int32)
         self.pair[pairs] = np.arange(1, len(pairs) + 1)
         self.pairs = pairs
@@ -175,7 +178,7 @@ def _bits(levels: list[tuple] | None, key: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its posterior under equal priors. Columns of those names are replaced."""
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (lang, score)])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the sample bounds the tree, MAX_PAIRS the table
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the sample bounds the tree, TABLE_BYTES the table
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{lang}` string", f"`{score}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +189,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
             for a, b, data, offs in common.chunks(col):
                 bits = m.code_lengths(data, offs) if m.langs else None
                 for d, t in enumerate(col.slice(a, b - a).to_pylist()):
-                    if bits is None or t is None or not LETTER.search(t):
+                    if bits is None or t is None or not any(map(str.isalpha, t)):
                         names.append("und")
                         scores.append(0.0)
                         continue
