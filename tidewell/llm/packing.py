@@ -4,8 +4,9 @@ A bin (a training sequence) has capacities in tokens, documents and attention co
 of squared piece lengths). Pieces of one length are alike, so the packing is made on the
 histogram of lengths: bins with equal residuals form a class, and pieces, longest first,
 go to the class with the least weighted norm (or the greatest weighted dot product) of
-residuals among those that hold the piece under every constraint. The state is bounded
-by the capacities, not by the corpus, so the driver packs exactly and globally; what it
+residuals among those that hold the piece under every constraint. All three residuals count in
+the choice (WEIGHTS), though by default documents and cost have room for whatever the tokens hold:
+tighter capacities would open more sequences. The state is bounded by the capacities, not by the corpus, so the driver packs exactly and globally; what it
 hands out is a table of runs (length, ranks from..to -> bins from..to, offset).
 
 Documents: null text is empty; every document ends with the end id, so an empty one has one
@@ -14,8 +15,8 @@ token. Only documents longer than a sequence are cut. Ties in rank go by doc_id,
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from tidewell.llm import common
 from tidewell.llm.tokens import encode
 
 END_ID = 2
+#: What tokens, documents and attention cost weigh in the choice of a bin.
+WEIGHTS = (1.0, 0.2, 0.2)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -58,54 +61,59 @@ def pieces(docs: DataFrame, max_tokens: int, text: str = "text", end_id: int = E
     return docs.select("doc_id", F.col(f"`{text}`")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def plan(hist: dict[int, int], max_tokens: int, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> list[tuple[int, int, int, int, int]]:
+def plan(hist: dict[int, int], max_tokens: int, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, count, first bin, offset): piece `rank + i` of that length lies in bin `bin + i` at the offset.
 
     rule: "norm" takes the class whose residuals left after the piece have the least weighted norm, "dot" the
     one whose residuals have the greatest weighted dot product with the piece's demands. Capacities are scaled to 1.
+    Ties go to the tightest class. Cost is counted in steps of max_cost / max_tokens, a piece's rounded up: so no
+    bin exceeds max_cost, at the default max_cost (max_tokens squared) the rounding never binds, and classes stay few.
     """
     max_docs = max_docs or max_tokens
     max_cost = max_cost or max_tokens * max_tokens
-    cap = np.array([max_tokens, max_docs, max_cost], float)
+    cap = np.array([max_tokens, max_docs, max_tokens], float)
     wt = np.asarray(weights, float)
     classes: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # residuals -> runs of bins (first, count)
-    by_tokens: list[tuple[int, int, int]] = []
     runs: list[tuple[int, int, int, int, int]] = []
     bins = 0
 
-    def put(key: tuple[int, int, int], first: int, count: int) -> None:
-        if key not in classes:
-            classes[key] = []
-            insort(by_tokens, key)
-        classes[key].append((first, count))
-
     for length in sorted(hist, reverse=True):
         left, rank = hist[length], 0
-        need = (length, 1, length * length)
-        assert length <= max_tokens and need[2] <= max_cost, "a piece exceeds the capacity of an empty bin"
+        need = (length, 1, -(-length * length * max_tokens // max_cost))
+        assert length <= max_tokens and need[2] <= max_tokens, "a piece exceeds the capacity of an empty bin"
+        part = np.array(need) / cap
+
+        def score(residuals: np.ndarray) -> np.ndarray:
+            r = residuals / cap
+            return (wt * (r - part) ** 2).sum(1) if rule == "norm" else -(wt * r * part).sum(1)
+
+        def offer(key: tuple[int, int, int]) -> None:
+            if all(x >= y for x, y in zip(key, need)):
+                heapq.heappush(heap, (float(score(np.array([key]))[0]), key))
+
+        def put(key: tuple[int, int, int], first: int, count: int) -> None:
+            if key not in classes:
+                classes[key] = []
+                offer(key)
+            classes[key].append((first, count))
+
+        keys = np.array(list(classes), np.int64).reshape(-1, 3)
+        keys = keys[(keys >= need).all(1)]
+        heap = list(zip(score(keys).tolist(), map(tuple, keys.tolist())))
+        heapq.heapify(heap)
         while left:
-            best, best_score = None, None
-            at = bisect_left(by_tokens, (length, 0, 0))
-            if weights[1] == weights[2] == 0 and rule == "norm":  # the tightest in tokens is the best
-                best = next((c for c in by_tokens[at:] if c[1] >= 1 and c[2] >= need[2]), None)
-            else:
-                for c in by_tokens[at:]:
-                    if c[1] >= 1 and c[2] >= need[2]:
-                        r = np.array(c) / cap
-                        n = np.array(need) / cap
-                        s = float((wt * (r - n) ** 2).sum()) if rule == "norm" else -float((wt * r * n).sum())
-                        if best_score is None or s < best_score:
-                            best, best_score = c, s
-            if best is None:  # open as many bins as whole ones of this length need
-                per = min(max_tokens // length, max_docs, max_cost // need[2])
+            while heap and heap[0][1] not in classes:
+                heapq.heappop(heap)
+            if not heap:  # open as many bins as whole ones of this length need
+                per = min(max_tokens // length, max_docs, max_tokens // need[2])
                 new = -(-left // per)
-                put((max_tokens, max_docs, max_cost), bins, new)
+                put((max_tokens, max_docs, max_tokens), bins, new)
                 bins += new
                 continue
+            best = heap[0][1]
             first, count = classes[best].pop()
             if not classes[best]:
                 del classes[best]
-                by_tokens.remove(best)
             n = min(count, left)
             if n < count:
                 put(best, first + n, count - n)
@@ -129,7 +137,7 @@ def ranked(rows: DataFrame, group: str, order: list[str], per_block: int = 50_00
     return b.withColumn("__i", inner).join(sums, [group, "__b"]).withColumn(out, (F.col("__i") + F.col("__before")).cast("long")).drop("__b", "__i", "__before")
 
 
-def pack(parts: DataFrame, max_tokens: int, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> DataFrame:
+def pack(parts: DataFrame, max_tokens: int, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
     """parts (a written table with doc_id, piece, length) with sequence_id and offset."""
     spark = parts.sparkSession
     hist = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
