@@ -27,8 +27,8 @@ from tidewell.llm import common
 
 N_WORDS = 5
 RADIUS = 22
-#: Item shingles that are sent to every executor; beyond, the join is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Bytes (rows of 64, and 8 for each element of an array) that are sent to every executor; beyond, the join is shuffled.
+BROADCAST_BYTES = 128 << 20
 
 
 def words(text: str | Column) -> Column:
@@ -77,7 +77,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
     # where shared shingles put windows
     grams = items.select("item_id", "len", "n", F.posexplode("h").alias("ipos", "h")).select("len", "n", "ipos", "h").distinct()
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    def small(df: DataFrame, *arrays: str) -> DataFrame:
+        width = F.lit(64) + sum((8 * F.size(c) for c in arrays), F.lit(0))
+        return F.broadcast(df) if df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0] <= BROADCAST_BYTES else df
+
     grams = common.table(grams, "item-shingles")
     w = d.select("doc_id", words("text").alias("w"))
     spots = [w.select("doc_id", F.size("w").alias("n_words"), F.posexplode(shingle_hashes(F.col("w"), n)).alias("pos", "h")).join(small(grams.where(F.col("n") == n).drop("n")), "h") for n in sizes]
@@ -87,7 +90,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
     # their shingles and fingerprints
     at = windows.groupBy("doc_id").agg(F.collect_set(F.struct("len", "start")).alias("at"))  # within one document
-    found = d.join(small(at), "doc_id").select("doc_id", words("text").alias("w"), "at").select("doc_id", "at", *[shingle_hashes(F.col("w"), n).alias(f"h{n}") for n in sizes])
+    found = d.join(small(at, "at", "at"), "doc_id").select("doc_id", words("text").alias("w"), "at").select("doc_id", "at", *[shingle_hashes(F.col("w"), n).alias(f"h{n}") for n in sizes])
     found = found.select("doc_id", F.explode("at").alias("at"), *[f"h{n}" for n in sizes]).select("doc_id", "at.len", "at.start", *[f"h{n}" for n in sizes])
     cut = F.coalesce(*[F.when(F.least("len", F.lit(n_words)) == n, F.slice(f"h{n}", F.col("start") + 1, F.col("len") - (n - 1))) for n in sizes])
     found = found.select("doc_id", "len", "start", cut.alias("wh")).where(F.size("wh") > 0).withColumn("wf", simhash(F.col("wh")))
@@ -98,5 +101,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     left = found.select("window", "len", "wf", F.explode(blocks(F.col("wf"), count)).alias("block"))
     right = items.select("item_id", "len", "f", F.explode(blocks(F.col("f"), count)).alias("block"))
     near = left.join(small(right), ["len", "block"]).where(F.bit_count(F.col("wf").bitwiseXOR(F.col("f"))) <= radius).select("window", "item_id").distinct()
-    checked = near.join(found, "window").join(small(items.select("item_id", "h")), "item_id").withColumn("similarity", similarity(F.col("wh"), F.col("h"))).where(F.col("similarity") >= threshold)
+    checked = near.join(found, "window").join(small(items.select("item_id", "h"), "h"), "item_id").withColumn("similarity", similarity(F.col("wh"), F.col("h"))).where(F.col("similarity") >= threshold)
     return checked.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min_by("start", F.struct(-F.col("similarity"), F.col("start"))).alias("start_word"), F.countDistinct("start").alias("n_windows"))
