@@ -18,6 +18,8 @@ The base score is a unigram model with additive smoothing. The counts of all wor
 distributed table; the most frequent ones (at most FREQUENT) are looked up where the text is
 read, the others by a join.
 
+The end of a text is a token of the base score alone: the model codes the bytes and no end symbol.
+
 Null texts are empty: one end token, no bytes, score 0. Repeated rows are scored each for itself.
 """
 
@@ -276,7 +278,7 @@ class Lookup:
     """
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        self.given = key, value.astype(np.float32)
+        self.given = key, value.astype(float)
         self.shift = U64(64 - max(4, int(len(key)).bit_length() + 1))
         self.key = None
 
@@ -288,7 +290,7 @@ class Lookup:
         slot = self._slot(key)
         size = 1 << (64 - int(self.shift))
         self.key = np.full(size, ~U64(0))
-        self.value = np.zeros(size, np.float32)
+        self.value = np.zeros(size)
         self.key[slot], self.value[slot] = key, value
         lost = self.key[slot] != key
         order = np.argsort(key[lost])
@@ -302,7 +304,7 @@ class Lookup:
         if self.key is None:
             self._lay()
         slot = self._slot(key)
-        value, found = self.value[slot].astype(float), self.key[slot] == key
+        value, found = self.value[slot], self.key[slot] == key
         if len(self.more):
             at = np.flatnonzero(~found)
             i = np.minimum(np.searchsorted(self.more, key[at]), len(self.more) - 1)
@@ -345,7 +347,7 @@ def score_documents(docs: DataFrame, train: Column | None = None, text: str = "t
     top_words = above(words, frequent).toArrow()
     word_table = _pairs(top_words["k"], np.log10((top_words["n"].to_numpy() + 0.1) / norm))
     top = spark.sparkContext.broadcast(top_tree(gram))
-    often = gram_costs(gram, above(gram, frequent_grams), top).select("k", F.col("bits").cast("float")).toArrow()
+    often = gram_costs(gram, above(gram, frequent_grams), top).toArrow()
     gram_table = Lookup(often["k"].to_numpy().view(np.uint64), often["bits"].to_numpy())
     shared = spark.sparkContext.broadcast((word_table, gram_table))
 
