@@ -9,7 +9,8 @@ The tables' candidates are merged and ranked by exact cosine in double precision
 
 Null, zero and non-finite vectors, vectors with null components or of another dimension than
 most take no part. Equal vectors: ties go to the smaller vec_id. Rows that repeat a vec_id
-and its vector count once. A query that the probes leave with fewer than k of the other rows,
+and its vector count once; rows that repeat a vec_id with another vector are rows of their own,
+each found and, if asked for, ranked for itself. A query that the probes leave with fewer than k of the other rows,
 though there are more, is compared with every row instead; only a table of k rows or fewer gives fewer.
 """
 
@@ -61,8 +62,8 @@ def _family(dim: int, tables: int, m: int, w: float):
 class Index:
     """The tables of one shard. Without tables every row is a candidate."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, tables: int, m: int, w: float):
-        self.ids, self.x = ids, vectors
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, tables: int, m: int, w: float):
+        self.rows, self.ids, self.x = rows, ids, vectors
         self.unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
         self.m, self.w = m, w
         self.a, self.b, self.mult = _family(vectors.shape[1], tables, m, w)
@@ -72,8 +73,8 @@ class Index:
             order = np.argsort(key, kind="stable")
             self.tables.append((key[order], order))
 
-    def search(self, qid: np.ndarray, q: np.ndarray, k: int, probes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, its k nearest ids, scores) of each query."""
+    def search(self, asked: np.ndarray, q: np.ndarray, k: int, probes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query's row, its k nearest ids, scores) of each query."""
         sets = perturbations(self.m, probes)
         unit = q / np.linalg.norm(q, axis=1)[:, None]
         found = []
@@ -91,19 +92,19 @@ class Index:
             for lo, hi, order in found:
                 for s, e in zip(lo[i][lo[i] < hi[i]], hi[i][lo[i] < hi[i]]):
                     hit[order[s:e]] = True
-            hit &= self.ids != qid[i]
+            hit &= self.rows != asked[i]
             at = np.flatnonzero(hit)
             # exact cosine in double precision; each sum runs over one vector alone, so it doesn't depend on the shard
             score = (self.x[at] * q[i]).sum(1) / (np.sqrt((self.x[at] ** 2).sum(1)) * np.sqrt((q[i] ** 2).sum()))
             best = np.lexsort((self.ids[at], -score))[:k]
-            yield int(qid[i]), self.ids[at][best], score[best]
+            yield int(asked[i]), self.ids[at][best], score[best]
 
 
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, v): rows that take part, each once."""
+    """(vec_id, v): rows that take part, each once (by vec_id and vector)."""
     v = F.col(vector).cast("array<double>")
     ok = v.isNotNull() & F.col(vec_id).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.select(F.col(vec_id).alias("vec_id"), v.alias("v")).where(ok).where(F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id"])
+    return df.select(F.col(vec_id).alias("vec_id"), v.alias("v")).where(ok).where(F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id", "v"])
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
@@ -112,19 +113,19 @@ def search(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vec
     Every row is indexed. Queries visit every shard in blocks: rows sent are rows + queries * shards,
     and as many again for the queries that come out short, if there are any.
     """
-    rows = common.table(usable(vectors, vec_id, vector), "vectors")
+    rows = common.table(usable(vectors, vec_id, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")  # written, so the numbers stay
     counts = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()
     dim, n = (counts[0]["d"], counts[0]["count"]) if counts else (1, 0)
     rows = rows.where(F.size("v") == dim)
     shards = max(1, -(-n // shard_rows))
-    base = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("query"), "vec_id", "v")
+    base = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("query"), "row", "vec_id", "v")
     asked = rows.where(is_query)
 
     def run(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:
         held, shard, index = [], None, None
         for batch in batches:
-            s, query, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            s, query, row, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             cuts = np.flatnonzero((np.diff(s) != 0) | (np.diff(query) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(s)]):
                 if a == b:
@@ -132,24 +133,24 @@ def search(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vec
                 if shard != s[a]:
                     held, shard, index = [], s[a], None
                 if query[a] == 0:
-                    held.append((ids[a:b], x[a:b]))
+                    held.append((row[a:b], ids[a:b], x[a:b]))
                     continue
                 if not held:
                     continue
-                index = index or Index(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), tables, hashes, width)
-                out = [(qi, j, c) for qi, js, cs in index.search(ids[a:b], x[a:b], k, probes) for j, c in zip(js.tolist(), cs.tolist())]
+                index = index or Index(*map(np.concatenate, zip(*held)), tables, hashes, width)
+                out = [(qi, j, c) for qi, js, cs in index.search(row[a:b], x[a:b], k, probes) for j, c in zip(js.tolist(), cs.tolist())]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["asked", "vec_id", "score"])
 
     def visit(asked: DataFrame, tables: int) -> DataFrame:
-        sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("query"), "vec_id", "v")
-        return base.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "query").mapInArrow(lambda batches: run(batches, tables), "query_id long, vec_id long, score double")
+        sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("query"), "row", "vec_id", "v")
+        return base.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "query").mapInArrow(lambda batches: run(batches, tables), "asked long, vec_id long, score double")
 
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = lambda near: near.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = W.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    best = lambda near: near.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("asked", "rank", "vec_id", "score")
     found = common.table(best(visit(asked, tables)), "found")
-    filled = found.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).select(F.col("query_id").alias("vec_id"))
-    short = common.table(asked.join(filled, "vec_id", "left_anti").select("vec_id", "v"), "short")
-    if n < 2 or short.isEmpty():
-        return found
-    return found.join(filled.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(best(visit(short, 0)))
+    filled = found.groupBy("asked").count().where(F.col("count") >= min(k, n - 1)).select(F.col("asked").alias("row"))
+    short = common.table(asked.join(filled, "row", "left_anti").select("row", "vec_id", "v"), "short")
+    if n >= 2 and not short.isEmpty():
+        found = found.join(filled.withColumnRenamed("row", "asked"), "asked", "left_semi").unionByName(best(visit(short, 0)))
+    return found.join(asked.select(F.col("row").alias("asked"), F.col("vec_id").alias("query_id")), "asked").select("query_id", "rank", "vec_id", "score")
