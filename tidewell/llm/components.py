@@ -16,7 +16,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """u > v in every edge (u, v). Large: higher neighbours of a node go to its least neighbour; small: the lower ones and itself."""
     if large:
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("o")).union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m"))
+        # written, so that both sides of the join are dealt anew and a centre with many edges can be split
+        least = common.table(both.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m")), "least")
         out = both.where("o > n").join(least, "n").select(F.col("o").alias("u"), F.col("m").alias("v"))
     else:
         down = edges.select(F.col("u").alias("n"), F.col("v").alias("o"))

@@ -132,7 +132,8 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, threshold: tuple[int, int
 
     # buckets that hold more than one class
     flat = one.select("id", F.explode("bands").alias("key"))
-    shared = flat.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    # written, so that both sides of the join are dealt anew and a hot bucket can be split
+    shared = common.table(flat.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = common.table(flat.join(shared, "key"), "members")
     spread = members.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), F.col(text).alias("text"))
