@@ -202,6 +202,39 @@ def test_language_id_without_training(spark, empty):
     assert langid.identify(df).first().lang_pred == "und"
 
 
+def test_signs_for_numbers_are_no_letters(spark):
+    rows = [(1, "some plain words here", "aa"), (2, "\u00b2\u00bd", "aa"), (3, "\u2460 123", "aa"), (4, "\u02b0", "aa"), (5, "\u00aa", "aa"), (6, "x", "aa")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[2] == got[3] == ("und", 0.0)
+    assert all(got[i][0] == "aa" for i in (1, 4, 5, 6))
+
+
+def test_dense_table_is_bounded_for_many_languages():
+    r = np.random.default_rng(3)
+    grams = {f"l{i:03}": langid.count_grams(r.integers(32, 127, 4000).astype(np.uint8), np.array([0, 4000])) for i in range(60)}
+    model = langid.Model(sorted(grams), grams)
+    assert model.table().nbytes <= langid.TABLE_BYTES
+    key = r.integers(0, 2**32, 50, dtype=np.uint32)
+    assert np.isfinite(model.bits(key)).all()
+
+
+def test_shards_are_balanced_and_hold_whole_groups(spark):
+    r = random.Random(8)
+    texts = [prose(r.randint(1, 60), r) for _ in range(1500)] + ["same text of a group"] * 200 + [None, "", None] + ["y" * 900] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard_documents(df.repartition(5)).collect()
+    load, homes, slots = Counter(), defaultdict(set), defaultdict(list)
+    for row in rows:
+        assert row["size"] == len((texts[row.doc_id] or "").encode()) + 1 and row.text_crc32 == zlib.crc32((texts[row.doc_id] or "").encode())
+        load[row.shard] += row["size"]
+        homes[texts[row.doc_id]].add(row.shard)
+        slots[row.shard].append(row.slot)
+    assert len(rows) == len(texts) and all(len(v) == 1 for v in homes.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    mean = sum(load.values()) / 16
+    assert len(load) == 16 and max(load.values()) - min(load.values()) <= 0.01 * mean
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
@@ -239,6 +272,26 @@ def test_packing_holds_every_capacity(rule):
     assert seen == Counter({(n, i): 1 for n, c in hist.items() for i in range(c)})
 
 
+def test_packing_needs_no_more_sequences_than_by_tokens_alone():
+    r = random.Random(4)
+    hist = Counter(min(1024, int(r.lognormvariate(5.5, 1.1)) + 1) for _ in range(20_000))
+    used = lambda runs: max(first + n for _, _, n, first, _ in runs)
+    alone, weighed = used(packing.plan(hist, 1024, weights=(1, 0, 0))), used(packing.plan(hist, 1024))
+    bound = -(-sum(n * c for n, c in hist.items()) // 1024)
+    assert packing.WEIGHTS[1] > 0 < packing.WEIGHTS[2] and bound <= weighed <= min(alone + 1, bound * 1.01)
+
+
+def test_packing_prefers_the_least_norm_over_all_residuals():
+    # two sequences hold 40 tokens each, as one piece or as four; a piece of 20 goes where documents, too, fit tightest
+    runs = packing.plan({40: 1, 10: 4, 20: 1}, 64, 5, weights=(1.0, 0.0, 0.0))
+    assert max(first + n for _, _, n, first, _ in runs) == 2
+    one, many = (24, 4, 39), (24, 1, 57)
+    for weights, want in (((0.0, 1.0, 0.0), many), ((0.0, 0.0, 1.0), one)):
+        cap, need = np.array([64, 5, 64.0]), np.array([20, 1, 7])
+        norm = lambda c: float((np.array(weights) * ((np.array(c) - need) / cap) ** 2).sum())  # noqa: B023, E731
+        assert min((one, many), key=norm) == want
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack_documents(empty).count() == 0
 
@@ -508,6 +561,15 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_neighbours_keep_rows_that_repeat_an_id(spark):
+    x = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.1, 1.0]), (3, [1.0, 0.2])]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    got = sorted((g.query_id, g.rank, g.vec_id, round(g.score, 4)) for g in ann.search(df.repartition(3), F.col("vec_id") == 1, 5).collect())
+    first = [(1, 1, 3, 0.9806), (1, 2, 2, 0.0995), (1, 3, 1, 0.0)]
+    second = [(1, 1, 2, 0.995), (1, 2, 3, 0.1961), (1, 3, 1, 0.0)]
+    assert got == sorted(first + second)
+
+
 @pytest.mark.parametrize("case", ["3 rows", "6 rows", "10 rows", "far cluster", "far cluster in shards"])
 def test_nearest_neighbours_fill_every_query(spark, case):
     r = np.random.default_rng(5)
@@ -532,6 +594,25 @@ def test_nearest_neighbours_fill_every_query(spark, case):
             assert [v for _, v in by[q]] == np.argsort(-s, kind="stable")[:k].tolist()
 
 
+def test_every_query_keeps_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, equal rows, and columns named like an operator's own."""
+    texts = [None, "", " ", "\u00bd", "word", prose(12), prose(12), prose(9000), "secret = abcdefgh12"]
+    rows = [(i % 7 if i % 5 else None, t, "aa" if i % 3 else None, "s", 1, 5, "k") for i, t in enumerate([*texts, *texts, *(prose(40) for _ in range(30))])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int, key string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(8)), (None, "x"), (2, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, [float(i), 1.0], 3) for i in range(60)], "vec_id long, embedding array<float>, row int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    n = len(rows)
+    for name, made in queries.QUERIES.items():
+        got = made(spark, str(tmp_path)).collect()
+        if name in ("op1_minhash_dedup", "op2_shard_balance", "op3_language_id", "op5_secret_scan", "op6_repeat_removal", "op9_lm_score"):
+            assert len(got) == n, name
+        elif name == "op4_pack_sequences":
+            assert sum(r.piece == 0 for r in got) == n and max(r.offset + r.length for r in got) <= 1024
+        elif name == "op10_nearest_neighbours":
+            assert [(r.query_id, r["rank"]) for r in sorted(got)] == [(q, k) for q in (0, 50) for k in range(1, 6)]
+    assert {r.doc_id for r in queries.op7_decontaminate(spark, str(tmp_path)).collect()} <= set(range(7))
+
+
 def test_pipeline_against_plain_python(spark, tmp_path):
     import corpus_pipeline
 
