@@ -29,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    # rows that repeat a doc_id are one document: one of them stays
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    # rows that repeat a doc_id are one document: the least by text and the other columns stays
+    named = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
     return named.join(gone, "doc_id", "left_anti").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
