@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,9 +48,15 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables that nothing still to be computed reads: what came of them must have been written."""
+    """Remove tables that nothing still to be computed reads: what came of them must have been written.
+
+    The collections let Spark's cleaner remove the shuffle files that no plan refers to any more.
+    """
     for t in tables:
         _remove(t.sparkSession, t.stored_at)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -6,9 +6,10 @@ min_words words (the words, whatever stands between them) that stand in two diff
 are reported, as they may be shorter than min_bytes. Both go the same way, as strings of symbols:
 bytes, or 64-bit hashes of words. The lowest bit of a key says which.
 
-1. Every window (min_bytes bytes or min_words words) picks an anchor: of the strings of half its
+1. Every window (min_bytes bytes or min_words words) picks an anchor: of the strings of a third of its
    length in it the one with the least hash, the first on ties. Equal windows pick equal anchors at
-   the same place, so only anchors that occur twice matter, and windows are compared within an anchor's group.
+   the same place, so only anchors that occur at two places matter, and windows are compared within an
+   anchor's group. Only hashes travel to find them; texts that hold such an anchor are read once more.
 2. The windows that picked one occurrence of an anchor form a segment of text. Equal segments
    are counted with a grouped sum; all their windows repeat, and one of them goes on.
 3. Groups of different segments are gathered into blocks. Each block's text gets a run-length
@@ -55,7 +56,7 @@ class Windows:
 
     @property
     def k(self) -> tuple[int, int]:
-        return max(1, self.length[0] // 2), max(1, self.length[1] // 2)
+        return max(1, self.length[0] // 3), max(1, self.length[1] // 3)
 
     width = (1, 8)
 
@@ -91,35 +92,40 @@ def anchors(x: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray,
     return h[pos], pos, cut, np.append(cut[1:], len(best)) - 1
 
 
-INDEX = "doc_id long, n_bytes long, n_words long, word_from int, word_to int, sha string, tid binary, h array<long>, pos array<int>, w0 array<int>, w1 array<int>"
+INDEX = "doc_id long, n_bytes long, n_words long, word_from int, word_to int, sha string, tid binary, h array<long>, at array<long>"
+
+
+def text_anchors(data: np.ndarray, words: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of one text of both kinds; the lowest bit of the hash is the kind."""
+    got = []
+    for kind, x in ((BYTES, data), (WORDS, words)):
+        if len(x) >= windows.length[kind] > 0:
+            h, *rest = anchors(x, windows.length[kind], windows.k[kind])
+            got.append(((h & ~U64(1)) | U64(kind), *rest))
+    return tuple(map(np.concatenate, zip(*got))) if got else (np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
 
 
 def index_texts(docs: DataFrame, windows: Windows, text: str) -> DataFrame:
-    """doc_id, sizes, where the words lie, sha (of the text), tid (128 bits of it) and the anchors: hash, position, first and last window."""
+    """doc_id, sizes, where the words lie, sha (of the text), tid (128 bits of it), hashes of the anchors and of the places (text and position) they have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in common.chunks(batch.column(1)):
                 ws, we, first = common.words(data, offs)
                 wh = common.word_hashes(data, ws, we, lower=False)
-                sha, lists, cut, words = [], [[], [], [], []], [0], []
+                sha, hs, at, cut, words = [], [], [], [0], []
                 for s, e, p, q in zip(offs[:-1].tolist(), offs[1:].tolist(), first[:-1].tolist(), first[1:].tolist()):
                     sha.append(hashlib.sha256(data[s:e]).hexdigest())
                     words.append((q - p, ws[p] - s, we[q - 1] - s) if q > p else (0, 0, 0))
-                    here = 0
-                    for kind, x in ((BYTES, data[s:e]), (WORDS, wh[p:q])):
-                        if len(x) >= windows.length[kind] > 0:
-                            h, *rest = anchors(x, windows.length[kind], windows.k[kind])
-                            for into, got in zip(lists, ((h & ~U64(1)) | U64(kind), *rest)):
-                                into.append(got)
-                            here += len(h)
-                    cut.append(cut[-1] + here)
-                cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in lists]
-                nest = lambda v, t: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, t))
+                    h, pos, _, _ = text_anchors(data[s:e], wh[p:q], windows)
+                    hs.append(h)
+                    at.append(common.mix(U64(int(sha[-1][:16], 16)) + pos.astype(U64)))
+                    cut.append(cut[-1] + len(h))
+                nest = lambda v: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(v).view(np.int64)))
                 n, lo, hi = zip(*words)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(offs)), pa.array(n, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(sha), pa.array([bytes.fromhex(x[:32]) for x in sha], pa.binary()), nest(cols[0].astype(U64).view(np.int64), pa.int64()), *(nest(c.astype(np.int32), pa.int32()) for c in cols[1:])],
-                    names=["doc_id", "n_bytes", "n_words", "word_from", "word_to", "sha", "tid", "h", "pos", "w0", "w1"],
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(offs)), pa.array(n, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(sha), pa.array([bytes.fromhex(x[:32]) for x in sha], pa.binary()), nest(hs), nest(at)],
+                    names=["doc_id", "n_bytes", "n_words", "word_from", "word_to", "sha", "tid", "h", "at"],
                 )
 
     return docs.select("doc_id", F.col(text)).mapInArrow(run, INDEX)
@@ -268,20 +274,23 @@ def _name(x: bytes) -> bytes:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
+    """Batches of (tid, text, hashes of anchors that occur at two places)."""
     for batch in batches:
-        for tid, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for tid, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             raw = text.encode()
-            words = b""
-            if any(m["h"] & 1 for m in marks):
-                data = np.frombuffer(raw, np.uint8)
-                s, e, _ = common.words(data, np.array([0, len(data)]))
-                words = common.word_hashes(data, s, e, lower=False).tobytes()
+            data = np.frombuffer(raw, np.uint8)
+            s, e, _ = common.words(data, np.array([0, len(data)]))
+            words = common.word_hashes(data, s, e, lower=False)
+            symbols = raw, words.tobytes()
+            h, pos, w0, w1 = text_anchors(data, words, windows)
+            h = h.view(np.int64)
+            hit = np.isin(h, marks.values.to_numpy())
             rows = []
-            for m in marks:
-                kind = m["h"] & 1
+            for key, p, a, b in zip(*(x[hit].tolist() for x in (h, pos, w0, w1))):
+                kind = key & 1
                 width, length = windows.width[kind], windows.length[kind]
-                part = (raw, words)[kind][m["w0"] * width : (m["w1"] + length) * width]
-                rows.append((m["h"], _name(part), tid, m["w0"], m["w1"], m["pos"], windows.k[kind] - length, 1, False, part))
+                part = symbols[kind][a * width : (b + length) * width]
+                rows.append((key, _name(part), tid, a, b, p, windows.k[kind] - length, 1, False, part))
             yield _segment_batch(rows)
 
 
@@ -348,23 +357,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.
 
 def repeated_spans(indexed: DataFrame, docs: DataFrame, windows: Windows, text: str, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """((tid, kind, s, e) of distinct texts with repeated windows, (tid, text) of the texts that can have some)."""
-    long_enough = indexed.where(F.size("h") > 0)
-    first = long_enough.groupBy(F.col("tid").alias("of")).agg(F.min("doc_id").alias("first"))
-    # distinct texts: one row for each, though several may bear the least doc_id, or none bears one
-    one = long_enough.select("tid", "doc_id", "h", "pos", "w0", "w1").join(first, (F.col("tid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).drop("of", "first").dropDuplicates(["tid"])
-    flat = one.select("tid", "doc_id", F.explode(F.arrays_zip("h", "pos", "w0", "w1")).alias("m")).select("tid", "doc_id", "m.*")
-    flat = common.table(flat, "anchors")
-    # written, so that both sides of the join are dealt anew and a hot anchor's side can be split
-    twice = common.table(flat.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    marks = flat.join(twice, "h").groupBy("tid", "doc_id").agg(F.collect_list(F.struct("h", "pos", "w0", "w1")).alias("marks"))  # within one document
-    # rows without a doc_id meet by their text alone
+    # anchors at two places: hashes alone travel. Copies of a text have equal places, and count once
+    flat = indexed.select(F.explode(F.arrays_zip("h", "at")).alias("m")).select("m.*")
+    twice = common.table(flat.groupBy("h").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("h"), "twice")
+    # of the texts that hold such anchors one row each; rows without a doc_id are named by their text alone
+    named = F.coalesce(F.col("doc_id").cast("string"), F.hex("tid")).alias("name")
+    holders = indexed.select("tid", named, F.explode("h").alias("h")).join(twice, "h")  # both sides dealt anew, so a hot anchor's can be split
+    marks = common.table(holders.groupBy("tid", "name").agg(F.collect_set("h").alias("marks")), "marks")  # within one document
+    one = marks.groupBy(F.col("tid").alias("of")).agg(F.min("name").alias("name"))
+    marks = marks.withColumnRenamed("name", "own").join(one, (F.col("tid") == F.col("of")) & (F.col("own") == F.col("name"))).select("name", "tid", "marks")
     own = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
-    docs = docs.select("doc_id", F.col(text).alias("text")).withColumn("unnamed", F.when(F.col("doc_id").isNull(), own))
-    marks = marks.select(F.col("doc_id").alias("first"), F.when(F.col("doc_id").isNull(), F.col("tid")).alias("of"), "tid", "marks")
-    held = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("first")) & F.col("unnamed").eqNullSafe(F.col("of"))).where(own == F.col("tid"))
-    held = common.table(held.dropDuplicates(["tid"]).select("tid", "text", "marks"), "held")
-    common.discard(flat, twice)
-    seg = held.select("tid", "text", "marks").mapInArrow(lambda it: _segments(it, windows), SEG)
+    docs = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.substring(F.upper(F.sha2(text, 256)), 1, 32)).alias("name"))
+    held = common.table(docs.join(marks, "name").where(own == F.col("tid")).dropDuplicates(["name", "tid"]).select("tid", "text", "marks"), "held")
+    common.discard(twice)
+    seg = held.mapInArrow(lambda it: _segments(it, windows), SEG)
 
     spans = None
     while True:
@@ -399,32 +405,33 @@ def repeated_spans(indexed: DataFrame, docs: DataFrame, windows: Windows, text:
             return spans, held.select("tid", "text")
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return out
+def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of overlapping or touching spans."""
+    if not len(start):
+        return []
+    order = np.argsort(start)
+    s, e = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
+    return list(zip(s[new].tolist(), e[np.append(new[1:], len(s)) - 1].tolist()))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pair = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     for batch in batches:
         out = []
-        for tid, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
+        for tid, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            kind, start, end = (np.asarray(c, np.int64) for c in spans.values.flatten())
             raw, kept, at = text.encode(), [], 0
-            gone = _merged([(x["s"], x["e"]) for x in spans if x["kind"] == BYTES])
+            gone = _merged(start[kind == BYTES], end[kind == BYTES])
             for s, e in gone:
                 kept.append(raw[at:s])
                 at = e
             kept.append(raw[at:])
             rest = b"".join(kept)
-            shared = _merged([(x["s"], x["e"]) for x in spans if x["kind"] == WORDS])
+            shared = _merged(start[kind == WORDS], end[kind == WORDS])
             if shared:
                 ws, we, _ = common.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                shared = [[int(ws[s]), int(we[e - 1])] for s, e in shared]
+                shared = [(int(ws[s]), int(we[e - 1])) for s, e in shared]
             as_spans = lambda x: [{"s": s, "e": e} for s, e in x]
             out.append((tid, len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), as_spans(gone), as_spans(shared)))
         cols = zip(*out) if out else [[]] * 6
@@ -445,7 +452,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400, text: str = "text", gr
     indexed = common.table(index_texts(docs, windows, text), "texts")
     spans, texts = repeated_spans(indexed, docs, windows, text, group)
     by = spans.groupBy("tid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("spans"))  # within one text
-    done = texts.join(by, "tid").mapInArrow(_cut, CUT)
+    done = common.table(texts.join(by, "tid").mapInArrow(_cut, CUT), "cut")
     copies = indexed.where(F.size("h") > 0).groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("whole"))
     kept = indexed.select("doc_id", "tid", "n_bytes", "n_words", "word_from", "word_to", "sha")
     none = F.array().cast("array<struct<s:int,e:int>>")
