@@ -254,7 +254,9 @@ def _joined(segments: list[np.ndarray], between) -> tuple[np.ndarray, np.ndarray
 
 # ---------------------------------------------------------------- the operator
 
-SEG = "key long, c binary, tid binary, w0 int, w1 int, pos int, lo int, hi int, many boolean, symbols binary"
+#: A segment without its text: windows w0 to w1 of a text picked the anchor at pos; [lo, hi) is the range of windows relative to it.
+SEG = "key long, c binary, tid binary, w0 int, w1 int, pos int, lo int, hi int, many boolean, size int"
+TEXT = "key long, tid binary, w0 int, many boolean, symbols binary"
 SPAN = "tid binary, kind int, s int, e int"
 
 
@@ -263,55 +265,76 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(x == 1), np.flatnonzero(x == -1)
 
 
-def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int32()] * 5, pa.bool_(), pa.binary()]
-    cols = zip(*rows) if rows else [[]] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=["key", "c", "tid", "w0", "w1", "pos", "lo", "hi", "many", "symbols"])
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, schema)], schema=schema)
+
+
+_SEG = pa.schema([("key", pa.int64()), ("c", pa.binary()), ("tid", pa.binary()), *((n, pa.int32()) for n in ("w0", "w1", "pos", "lo", "hi")), ("many", pa.bool_()), ("size", pa.int32())])
+_TEXT = pa.schema([("key", pa.int64()), ("tid", pa.binary()), ("w0", pa.int32()), ("many", pa.bool_()), ("symbols", pa.binary())])
 
 
 def _name(x: bytes) -> bytes:
     return hashlib.blake2b(x, digest_size=16).digest()
 
 
+class _Text:
+    """A text as symbols of both kinds."""
+
+    def __init__(self, text: str):
+        self.raw = text.encode()
+        self.data = np.frombuffer(self.raw, np.uint8)
+        s, e, _ = common.words(self.data, np.array([0, len(self.data)]))
+        self.words = common.word_hashes(self.data, s, e, lower=False)
+        self.symbols = self.raw, self.words.tobytes()
+
+    def part(self, kind: int, a: int, b: int) -> bytes:
+        width = Windows.width[kind]
+        return self.symbols[kind][a * width : b * width]
+
+
 def _segments(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
     """Batches of (tid, text, hashes of anchors that occur at two places)."""
     for batch in batches:
         for tid, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            raw = text.encode()
-            data = np.frombuffer(raw, np.uint8)
-            s, e, _ = common.words(data, np.array([0, len(data)]))
-            words = common.word_hashes(data, s, e, lower=False)
-            symbols = raw, words.tobytes()
-            h, pos, w0, w1 = text_anchors(data, words, windows)
+            x = _Text(text)
+            h, pos, w0, w1 = text_anchors(x.data, x.words, windows)
             h = h.view(np.int64)
             hit = np.isin(h, marks.values.to_numpy())
             rows = []
             for key, p, a, b in zip(*(x[hit].tolist() for x in (h, pos, w0, w1))):
                 kind = key & 1
-                width, length = windows.width[kind], windows.length[kind]
-                part = symbols[kind][a * width : (b + length) * width]
-                rows.append((key, _name(part), tid, a, b, p, windows.k[kind] - length, 1, False, part))
-            yield _segment_batch(rows)
+                part = x.part(kind, a, b + windows.length[kind])
+                rows.append((key, _name(part), tid, a, b, p, windows.k[kind] - windows.length[kind], 1, False, len(part)))
+            yield _batch(rows, _SEG)
 
 
 def _split(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
-    """Halves of each segment's range of windows [lo, hi), relative to the anchor, keyed by the text all of a half's windows share."""
+    """Batches of (tid, text, segments): halves of each segment's range of windows, keyed by the text all of a half's windows share."""
+    for batch in batches:
+        for tid, text, segments in zip(*(c.to_pylist() for c in batch.columns)):
+            x, rows = _Text(text), []
+            for m in segments:
+                key, kind, length = m["key"], m["key"] & 1, windows.length[m["key"] & 1]
+                mid = (m["lo"] + m["hi"]) // 2
+                for a, b in ((m["lo"], mid), (mid, m["hi"])):
+                    x0, x1 = max(m["w0"], m["pos"] + a), min(m["w1"], m["pos"] + b - 1)
+                    if a >= b or x0 > x1:
+                        continue
+                    at = b"".join(v.to_bytes(8, "big", signed=True) for v in (key, a, b))
+                    core = x.part(kind, m["pos"] + b - 1, m["pos"] + a + length)
+                    name = int.from_bytes(_name(at + core)[:8], "big", signed=True) & ~1 | kind
+                    part = x.part(kind, x0, x1 + length)
+                    rows.append((name, _name(part), tid, x0, x1, m["pos"], a, b, m["many"], len(part)))
+            yield _batch(rows, _SEG)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
+    """Batches of (tid, text, segments): the segments' texts."""
     for batch in batches:
-        rows = []
-        for key, _, tid, w0, w1, pos, lo, hi, many, part in zip(*(c.to_pylist() for c in batch.columns)):
-            kind = key & 1
-            width, length = windows.width[kind], windows.length[kind]
-            mid = (lo + hi) // 2
-            for a, b in ((lo, mid), (mid, hi)):
-                x0, x1 = max(w0, pos + a), min(w1, pos + b - 1)
-                if a >= b or x0 > x1:
-                    continue
-                core = part[(pos + b - 1 - w0) * width : (pos + a + length - w0) * width]
-                at = b"".join(v.to_bytes(8, "big", signed=True) for v in (key, a, b))
-                name = int.from_bytes(_name(at + core)[:8], "big", signed=True) & ~1 | kind
-                cut = part[(x0 - w0) * width : (x1 + length - w0) * width]
-                rows.append((name, _name(cut), tid, x0, x1, pos, a, b, many, cut))
-        yield _segment_batch(rows)
+        for tid, text, segments in zip(*(c.to_pylist() for c in batch.columns)):
+            x = _Text(text)
+            yield _batch([(m["key"], tid, m["w0"], m["many"], x.part(m["key"] & 1, m["w0"], m["w1"] + windows.length[m["key"] & 1])) for m in segments], _TEXT)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
@@ -363,46 +386,44 @@ def repeated_spans(indexed: DataFrame, docs: DataFrame, windows: Windows, text:
     # of the texts that hold such anchors one row each; rows without a doc_id are named by their text alone
     named = F.coalesce(F.col("doc_id").cast("string"), F.hex("tid")).alias("name")
     holders = indexed.select("tid", named, F.explode("h").alias("h")).join(twice, "h")  # both sides dealt anew, so a hot anchor's can be split
-    marks = common.table(holders.groupBy("tid", "name").agg(F.collect_set("h").alias("marks")), "marks")  # within one document
-    one = marks.groupBy(F.col("tid").alias("of")).agg(F.min("name").alias("name"))
-    marks = marks.withColumnRenamed("name", "own").join(one, (F.col("tid") == F.col("of")) & (F.col("own") == F.col("name"))).select("name", "tid", "marks")
+    all_marks = common.table(holders.groupBy("tid", "name").agg(F.collect_set("h").alias("marks")), "marks")  # within one document
+    one = all_marks.groupBy(F.col("tid").alias("of")).agg(F.min("name").alias("name"))
+    marks = all_marks.withColumnRenamed("name", "own").join(one, (F.col("tid") == F.col("of")) & (F.col("own") == F.col("name"))).select("name", "tid", "marks")
     own = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
     docs = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.substring(F.upper(F.sha2(text, 256)), 1, 32)).alias("name"))
     held = common.table(docs.join(marks, "name").where(own == F.col("tid")).dropDuplicates(["name", "tid"]).select("tid", "text", "marks"), "held")
-    common.discard(twice)
+    common.discard(twice, all_marks)
     seg = held.mapInArrow(lambda it: _segments(it, windows), SEG)
 
     spans = None
+    texts = held.select("tid", "text")
     while True:
         seg = common.table(seg, "segments")
         # equal segments of a group: every window repeats; one of them goes on
-        same = seg.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct("tid", "w0")).alias("who"), F.max("tid").alias("other"), F.max("many").alias("many"), F.max(F.octet_length("symbols")).alias("size"))
+        same = seg.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct("tid", "w0")).alias("who"), F.max("tid").alias("other"), F.max("many").alias("many"), F.max("size").alias("size"))
         same = common.table(same.withColumn("many", F.col("many") | (F.col("other") > F.col("who.tid"))).drop("other"), "segment-classes")
         kind = F.col("key").bitwiseAND(F.lit(1)).cast("int")
         length = F.when(kind == BYTES, windows.length[BYTES]).otherwise(windows.length[WORDS])
         again = same.where(F.when(kind == BYTES, F.col("n") > 1).otherwise(F.col("many"))).select("key", "c")
         copied = seg.select("key", "c", "tid", "w0", "w1").join(again, ["key", "c"]).select("tid", kind.alias("kind"), F.col("w0").alias("s"), (F.col("w1") + length).alias("e"))
-        groups = same.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        going = common.table(same.join(groups, "key").select("key", "c", "who.tid", "who.w0", "many", "n", "m", "size"), "going")
-        # one of each class goes on; words that one document repeats all do, as what is found of one holds for each of them
+        # words that one document repeats all go on, as what is found of one holds for each of them
         every = (kind == WORDS) & (F.col("n") > 1) & ~F.col("many")
-        lean = seg.drop("many")
-        columns = ["key", "c", "tid", "w0", "w1", "pos", "lo", "hi", "many", "symbols"]
-        picked = lambda of: lean.join(of.where(~every).select("key", "c", "tid", "w0", "many"), ["key", "c", "tid", "w0"]).select(*columns)
-        spread = lambda of: lean.join(of.where(every).select("key", "c", "many"), ["key", "c"]).select(*columns)
-        todo = lambda some: picked(going.where(some)).unionByName(spread(going.where(some)))
-        total, large = going.agg(F.coalesce(F.sum(F.when(F.col("m") <= group, F.col("size") * F.when(every, F.col("n")).otherwise(1))), F.lit(0)), F.count(F.when(F.col("m") > group, 1))).first()
+        groups = same.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        going = common.table(same.join(groups, "key").select("key", "c", "who", "many", "m", "n", "size", every.alias("every")), "going")
+        total, large = going.agg(F.coalesce(F.sum(F.when(F.col("m") <= group, F.col("size") * F.when(F.col("every"), F.col("n")).otherwise(1))), F.lit(0)), F.count(F.when(F.col("m") > group, 1))).first()
+        chosen = seg.drop("many", "size").join(going.drop("n", "size"), ["key", "c"]).where(F.col("every") | (F.struct("tid", "w0") == F.col("who")))
+        by_text = lambda some: texts.join(chosen.where(some).groupBy("tid").agg(F.collect_list(F.struct("key", "w0", "w1", "pos", "lo", "hi", "many")).alias("segments")), "tid")  # noqa: E731  within one text
         parts = max(1, -(-total // (4 * BLOCK_BYTES)))
-        small = todo(F.col("m") <= group).select("key", "tid", "w0", "many", "symbols")
+        small = by_text(F.col("m") <= group).mapInArrow(lambda it: _texts(it, windows), TEXT)
         matched = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda it: _blocks(it, windows), SPAN)
         now = common.table(copied.unionByName(matched), "spans")
         spans = now if spans is None else spans.unionByName(now)
         last = seg
         if large:
-            seg = common.table(todo(F.col("m") > group).mapInArrow(lambda it: _split(it, windows), SEG), "halves")
+            seg = common.table(by_text(F.col("m") > group).mapInArrow(lambda it: _split(it, windows), SEG), "halves")
         common.discard(last, same, going)
         if not large:
-            return spans, held.select("tid", "text")
+            return spans, texts
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
