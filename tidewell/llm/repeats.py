@@ -43,7 +43,7 @@ from tidewell.llm import common
 from tidewell.llm.common import U64
 
 #: Bytes of one block's index, and segments of a group beyond which it is split.
-BLOCK_BYTES, GROUP = 1 << 20, 1024
+BLOCK_BYTES, GROUP = 1 << 20, 4096
 EMPTY = hashlib.sha256(b"").hexdigest()
 BYTES, WORDS = 0, 1
 
@@ -217,30 +217,25 @@ def _lcp(t: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def block_repeats(segments: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """For each segment (of bytes) which of its windows occur elsewhere in the block."""
-    t, start, lens = _joined(segments, np.uint8(255))  # a byte that UTF-8 has not
-    ms = matching(t, length)
-    return [ms[s : s + n - length + 1] >= length for s, n in zip(start.tolist(), lens.tolist())]
+def block_repeats(t: np.ndarray, length: int) -> np.ndarray:
+    """For each position of a block of bytes whether its window occurs elsewhere in it."""
+    return matching(t, length) >= length
 
 
-def block_passages(segments: list[np.ndarray], owners: list[bytes], many: list[bool], length: int) -> list[np.ndarray]:
-    """For each segment (of word hashes) which of its windows stand in two documents. many: the segment itself does."""
-    t, start, lens = _joined(segments, U64(0))
+def block_passages(t: np.ndarray, owner: np.ndarray, many: np.ndarray, length: int) -> np.ndarray:
+    """For each position of a block of word hashes whether its window stands in two documents. owner, many (the segment itself does): by position."""
     t = np.unique(t, return_inverse=True)[1]
     sa = suffix_array(t)
     n = len(t)
-    h, q = common.prefix_hash(t), common.powers(len(t))[1]
+    h, q = common.prefix_hash(t), common.powers(n)[1]
     whole = sa + length <= n
-    at = np.minimum(sa, n - length) if n >= length else np.zeros(n, np.int64)
-    value = (h[at + length] - h[at]) * q[at] if n >= length else np.zeros(n, U64)
-    group = np.cumsum(np.append(True, (value[1:] != value[:-1]) | ~whole[1:] | ~whole[:-1])) - 1
-    owner = np.repeat(np.unique(np.array(owners, object), return_inverse=True)[1], lens + 1)[sa]
-    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    two = (np.minimum.reduceat(owner, cuts) != np.maximum.reduceat(owner, cuts)) | np.logical_or.reduceat(np.repeat(np.array(many, bool), lens + 1)[sa], cuts)
+    at = np.minimum(sa, max(n - length, 0))
+    value = (h[np.minimum(at + length, n)] - h[at]) * q[at]
+    cuts = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | ~whole[1:] | ~whole[:-1]))
+    two = (np.minimum.reduceat(owner[sa], cuts) != np.maximum.reduceat(owner[sa], cuts)) | np.logical_or.reduceat(many[sa], cuts)
     flag = np.zeros(n, bool)
-    flag[sa] = two[group]
-    return [flag[s : s + m - length + 1] for s, m in zip(start.tolist(), lens.tolist())]
+    flag[sa] = np.repeat(two, np.diff(np.append(cuts, n)))
+    return flag
 
 
 def _joined(segments: list[np.ndarray], between) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,7 +250,7 @@ def _joined(segments: list[np.ndarray], between) -> tuple[np.ndarray, np.ndarray
 # ---------------------------------------------------------------- the operator
 
 #: A segment without its text: windows w0 to w1 of a text picked the anchor at pos; [lo, hi) is the range of windows relative to it.
-SEG = "key long, c binary, tid binary, w0 int, w1 int, pos int, lo int, hi int, many boolean, size int"
+SEG = "key long, c long, tid binary, w0 int, w1 int, pos int, lo int, hi int, many boolean, size int"
 TEXT = "key long, tid binary, w0 int, many boolean, symbols binary"
 SPAN = "tid binary, kind int, s int, e int"
 
@@ -270,16 +265,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, schema)], schema=schema)
 
 
-_SEG = pa.schema([("key", pa.int64()), ("c", pa.binary()), ("tid", pa.binary()), *((n, pa.int32()) for n in ("w0", "w1", "pos", "lo", "hi")), ("many", pa.bool_()), ("size", pa.int32())])
+_SEG = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("tid", pa.binary()), *((n, pa.int32()) for n in ("w0", "w1", "pos", "lo", "hi")), ("many", pa.bool_()), ("size", pa.int32())])
 _TEXT = pa.schema([("key", pa.int64()), ("tid", pa.binary()), ("w0", pa.int32()), ("many", pa.bool_()), ("symbols", pa.binary())])
 
 
-def _name(x: bytes) -> bytes:
-    return hashlib.blake2b(x, digest_size=16).digest()
-
-
 class _Text:
-    """A text as symbols of both kinds."""
+    """A text as symbols of both kinds, and hashes of its parts."""
 
     def __init__(self, text: str):
         self.raw = text.encode()
@@ -287,11 +278,25 @@ class _Text:
         s, e, _ = common.words(self.data, np.array([0, len(self.data)]))
         self.words = common.word_hashes(self.data, s, e, lower=False)
         self.symbols = self.raw, self.words.tobytes()
+        self.sums = [None, None]
 
     def part(self, kind: int, a: int, b: int) -> bytes:
         width = Windows.width[kind]
         return self.symbols[kind][a * width : b * width]
 
+    def hashes(self, kind: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the parts [a, b) in symbols."""
+        if self.sums[kind] is None:
+            self.sums[kind] = common.prefix_hash((self.data, self.words)[kind])
+        h, q = self.sums[kind], common.powers(len(self.sums[kind]))[1]
+        return common.mix((h[b] - h[a]) * q[a] + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def _seg_batch(tid: bytes, key, c, w0, w1, pos, lo, hi, many, size) -> pa.RecordBatch:
+    n = len(key)
+    full = lambda x, t: pa.array(np.full(n, x) if np.isscalar(x) else x, t)
+    return pa.RecordBatch.from_arrays([full(key, pa.int64()), full(c, pa.int64()), pa.array([tid] * n, pa.binary()), *(full(np.asarray(x, np.int32) if not np.isscalar(x) else np.int32(x), pa.int32()) for x in (w0, w1, pos, lo, hi)), full(many, pa.bool_()), pa.array(np.asarray(size, np.int32))], schema=_SEG)
+
 
 def _segments(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
     """Batches of (tid, text, hashes of anchors that occur at two places)."""
@@ -299,34 +304,36 @@ def _segments(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[p
         for tid, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             x = _Text(text)
             h, pos, w0, w1 = text_anchors(x.data, x.words, windows)
-            h = h.view(np.int64)
-            hit = np.isin(h, marks.values.to_numpy())
-            rows = []
-            for key, p, a, b in zip(*(x[hit].tolist() for x in (h, pos, w0, w1))):
-                kind = key & 1
-                part = x.part(kind, a, b + windows.length[kind])
-                rows.append((key, _name(part), tid, a, b, p, windows.k[kind] - windows.length[kind], 1, False, len(part)))
-            yield _batch(rows, _SEG)
+            hit = np.isin(h.view(np.int64), marks.values.to_numpy())
+            h, pos, w0, w1 = h[hit], pos[hit], w0[hit], w1[hit]
+            for kind in (BYTES, WORDS):
+                own = (h & U64(1)) == kind
+                if own.any():
+                    a, b = w0[own], w1[own] + windows.length[kind]
+                    yield _seg_batch(tid, h[own].view(np.int64), x.hashes(kind, a, b), a, w1[own], pos[own], windows.k[kind] - windows.length[kind], 1, False, (b - a) * windows.width[kind])
 
 
 def _split(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
     """Batches of (tid, text, segments): halves of each segment's range of windows, keyed by the text all of a half's windows share."""
     for batch in batches:
-        for tid, text, segments in zip(*(c.to_pylist() for c in batch.columns)):
-            x, rows = _Text(text), []
-            for m in segments:
-                key, kind, length = m["key"], m["key"] & 1, windows.length[m["key"] & 1]
-                mid = (m["lo"] + m["hi"]) // 2
-                for a, b in ((m["lo"], mid), (mid, m["hi"])):
-                    x0, x1 = max(m["w0"], m["pos"] + a), min(m["w1"], m["pos"] + b - 1)
-                    if a >= b or x0 > x1:
+        for tid, text, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            x = _Text(text)
+            cols = {f.name: segments.values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(segments.type.value_type)}
+            for kind in (BYTES, WORDS):
+                own = (cols["key"] & 1) == kind
+                key, w0, w1, pos, lo, hi, many = (cols[n][own] for n in ("key", "w0", "w1", "pos", "lo", "hi", "many"))
+                w0, w1, pos, lo, hi = (v.astype(np.int64) for v in (w0, w1, pos, lo, hi))
+                mid, length = (lo + hi) // 2, windows.length[kind]
+                for a, b in ((lo, mid), (mid, hi)):
+                    x0, x1 = np.maximum(w0, pos + a), np.minimum(w1, pos + b - 1)
+                    ok = (a < b) & (x0 <= x1)
+                    if not ok.any():
                         continue
-                    at = b"".join(v.to_bytes(8, "big", signed=True) for v in (key, a, b))
-                    core = x.part(kind, m["pos"] + b - 1, m["pos"] + a + length)
-                    name = int.from_bytes(_name(at + core)[:8], "big", signed=True) & ~1 | kind
-                    part = x.part(kind, x0, x1 + length)
-                    rows.append((name, _name(part), tid, x0, x1, m["pos"], a, b, m["many"], len(part)))
-            yield _batch(rows, _SEG)
+                    a, b, x0, x1, p = a[ok], b[ok], x0[ok], x1[ok], pos[ok]
+                    core = x.hashes(kind, p + b - 1, p + a + length)
+                    name = common.mix(common.mix(core.view(U64) ^ common.mix(key[ok].view(U64))) + (a + 1000003 * b).astype(U64))
+                    name = ((name & ~U64(1)) | U64(kind)).view(np.int64)
+                    yield _seg_batch(tid, name, x.hashes(kind, x0, x1 + length), x0, x1, p, a, b, many[ok], (x1 + length - x0) * windows.width[kind])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
@@ -347,11 +354,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.
         rows, length = held[kind], windows.length[kind]
         out = []
         if rows:
+            symbols = np.uint8 if kind == BYTES else U64
+            t, start, lens = _joined([np.frombuffer(x[4], symbols) for x in rows], symbols(255))  # a byte that UTF-8 has not
             if kind == BYTES:
-                flags = block_repeats([np.frombuffer(x[4], np.uint8) for x in rows], length)
+                flags = block_repeats(t, length)
             else:
-                flags = block_passages([np.frombuffer(x[4], U64) for x in rows], [x[1] for x in rows], [x[3] for x in rows], length)
-            out = [(x[1], kind, x[2] + s, x[2] + e - 1 + length) for x, f in zip(rows, flags) for s, e in zip(*(r.tolist() for r in _runs(f)))]
+                owner = np.unique([x[1].hex() for x in rows], return_inverse=True)[1]
+                flags = block_passages(t, np.repeat(owner, lens + 1), np.repeat([x[3] for x in rows], lens + 1), length)
+            fits = np.zeros(len(t) + 1, np.int8)  # where a window lies within its segment
+            fits[start] += 1
+            fits[start + lens - length + 1] -= 1
+            s, e = _runs(flags & (np.cumsum(fits[:-1]) > 0))
+            of = np.searchsorted(start, s, "right") - 1
+            w0 = np.array([x[2] for x in rows])
+            out = [(rows[i][1], kind, a, b) for i, a, b in zip(of.tolist(), (w0[of] + s - start[of]).tolist(), (w0[of] + e - start[of] - 1 + length).tolist())]
         rows.clear()
         size[kind] = 0
         cols = zip(*out) if out else [[]] * 4
@@ -391,7 +407,7 @@ def repeated_spans(indexed: DataFrame, docs: DataFrame, windows: Windows, text:
     marks = all_marks.withColumnRenamed("name", "own").join(one, (F.col("tid") == F.col("of")) & (F.col("own") == F.col("name"))).select("name", "tid", "marks")
     own = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
     docs = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.substring(F.upper(F.sha2(text, 256)), 1, 32)).alias("name"))
-    held = common.table(docs.join(marks, "name").where(own == F.col("tid")).dropDuplicates(["name", "tid"]).select("tid", "text", "marks"), "held")
+    held = common.table(docs.join(marks.hint("merge"), "name").where(own == F.col("tid")).dropDuplicates(["name", "tid"]).select("tid", "text", "marks"), "held")
     common.discard(twice, all_marks)
     seg = held.mapInArrow(lambda it: _segments(it, windows), SEG)
 
@@ -412,15 +428,17 @@ def repeated_spans(indexed: DataFrame, docs: DataFrame, windows: Windows, text:
         going = common.table(same.join(groups, "key").select("key", "c", "who", "many", "m", "n", "size", every.alias("every")), "going")
         total, large = going.agg(F.coalesce(F.sum(F.when(F.col("m") <= group, F.col("size") * F.when(F.col("every"), F.col("n")).otherwise(1))), F.lit(0)), F.count(F.when(F.col("m") > group, 1))).first()
         chosen = seg.drop("many", "size").join(going.drop("n", "size"), ["key", "c"]).where(F.col("every") | (F.struct("tid", "w0") == F.col("who")))
-        by_text = lambda some: texts.join(chosen.where(some).groupBy("tid").agg(F.collect_list(F.struct("key", "w0", "w1", "pos", "lo", "hi", "many")).alias("segments")), "tid")  # noqa: E731  within one text
+        by_text = lambda some: chosen.where(some).groupBy("tid").agg(F.collect_list(F.struct("key", "w0", "w1", "pos", "lo", "hi", "many")).alias("segments"))  # noqa: E731  within one text
         parts = max(1, -(-total // (4 * BLOCK_BYTES)))
-        small = by_text(F.col("m") <= group).mapInArrow(lambda it: _texts(it, windows), TEXT)
+        # most texts hold some in the first round: the same join at every size
+        some = by_text(F.col("m") <= group)
+        small = texts.join(some.hint("merge") if spans is None else some, "tid").mapInArrow(lambda it: _texts(it, windows), TEXT)
         matched = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda it: _blocks(it, windows), SPAN)
         now = common.table(copied.unionByName(matched), "spans")
         spans = now if spans is None else spans.unionByName(now)
         last = seg
         if large:
-            seg = common.table(by_text(F.col("m") > group).mapInArrow(lambda it: _split(it, windows), SEG), "halves")
+            seg = common.table(texts.join(by_text(F.col("m") > group), "tid").mapInArrow(lambda it: _split(it, windows), SEG), "halves")
         common.discard(last, same, going)
         if not large:
             return spans, texts
@@ -473,7 +491,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400, text: str = "text", gr
     indexed = common.table(index_texts(docs, windows, text), "texts")
     spans, texts = repeated_spans(indexed, docs, windows, text, group)
     by = spans.groupBy("tid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("spans"))  # within one text
-    done = common.table(texts.join(by, "tid").mapInArrow(_cut, CUT), "cut")
+    done = common.table(texts.join(by.hint("merge"), "tid").mapInArrow(_cut, CUT), "cut")
     copies = indexed.where(F.size("h") > 0).groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("whole"))
     kept = indexed.select("doc_id", "tid", "n_bytes", "n_words", "word_from", "word_to", "sha")
     none = F.array().cast("array<struct<s:int,e:int>>")
