@@ -1,10 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import hashing, text
-from tidewell.operators import corpus, explain, lexicon, metrics, neardup
+from tidewell.operators import corpus, explain, lexicon, metrics, neardup, obfuscate
 from tidewell.streaming.messages import gate_step
 
 
@@ -221,3 +222,52 @@ def test_entry_imports_without_training_data_operators(monkeypatch):
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_threshold_sweep_against_counting(spark):
+    r = random.Random(3)
+    rows = [(r.choice("ab"), r.randint(0, 1), p) for p in [r.random() for _ in range(300)] + [0.01, 0.99, 0.0, 1.0, 0.5, round(0.01 + 7 * 0.98 / 199, 9)]] + [("a", 1, None)]
+    got = metrics.threshold_sweep(spark.createDataFrame(rows, "s string, y int, p double"), ["s"]).collect()
+    assert len(got) == 400
+    for g in got:
+        mine = [(y, p > g.t) for s, y, p in rows if s == g.s and p is not None]
+        assert (g.tp, g.fp, g.fn, g.tn) == tuple(sum(y == a and b == c for y, b in mine) for a, c in ((1, True), (0, True), (1, False), (0, False)))
+
+
+def test_mcnemar_against_binomials(spark):
+    pairs = [(0, 0), (0, 5), (38, 32), (70, 275), (3, 4), (1, 0), (400, 900)]
+    got = spark.createDataFrame(pairs, "b long, c long").select(metrics.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()
+    for (b, c), g in zip(pairs, got):
+        want = min(1.0, 2 * sum(math.comb(b + c, i) for i in range(min(b, c) + 1)) / 2 ** (b + c)) if b + c else 1.0
+        assert g.p == pytest.approx(want, rel=1e-9)
+
+
+def test_nearest_rank_takes_values_that_occur(spark):
+    r = random.Random(9)
+    rows = [(g, r.randint(0, 9) / 10) for g in "ab" for _ in range(r.randint(5, 40))] + [("a", None), ("c", None)]
+    for g in metrics.nearest_rank(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"p05": 0.05, "p50": 0.5, "p95": 0.95}).collect():
+        mine = sorted(v for k, v in rows if k == g.g and v is not None)
+        assert [g.p05, g.p50, g.p95] == [mine[round((len(mine) - 1) * q)] for q in (0.05, 0.5, 0.95)]
+
+
+def test_likeness_is_one_measure_at_every_length():
+    for n in (3, 199, 201, 900):
+        a = ("wonderful people of the world " * 40)[:n]
+        assert obfuscate.alike(a, a) == 1.0
+        b = a[: n // 2] + "#" + a[n // 2 + 1 :]
+        assert obfuscate.alike(a, b) == pytest.approx((n - 1) / n)
+
+
+def test_entry_without_the_training_data_folder(tmp_path):
+    """The entry imports and names its own queries where the subpackage cannot be found."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "tidewell", tmp_path / "tidewell", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    assert done.returncode == 0, done.stderr

@@ -54,10 +54,17 @@ def roc_auc(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def threshold_sweep(df: DataFrame, by: list[str], steps: int = 200, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Metrics at each threshold of the grid (strictly above counts as 1). The grid is a constant of `steps` rows."""
-    grid = df.sparkSession.range(steps).select(F.round(F.lit(low) + F.col("id") * ((high - low) / (steps - 1)), 9).alias("t"))
-    rows = df.crossJoin(F.broadcast(grid)).withColumn("pred", (F.col("p") > F.col("t")).cast("int"))
-    return scores(rows.groupBy(*by, "t").agg(*confusion()))
+    """Metrics at each threshold of the grid (strictly above counts as 1). A row is first put into one of steps + 1
+    bins by the thresholds below its score, and only the bins' counts meet the grid, a constant of `steps` rows."""
+    step = (high - low) / (steps - 1)
+    t = lambda i: F.round(F.lit(low) + i * step, 9)
+    guess = F.greatest(F.lit(0), F.least(F.lit(steps), F.ceil((F.col("p") - low) / step)))
+    below = F.when((guess > 0) & (t(guess - 1) >= F.col("p")), guess - 1).when((guess < steps) & (t(guess) < F.col("p")), guess + 1).otherwise(guess)
+    bins = df.where(F.col("p").isNotNull()).withColumn("bin", F.when(F.isnan("p"), steps).otherwise(below).cast("long")).groupBy(*by, "bin").agg(_count(F.col("y") == 1).alias("pos"), _count(F.col("y") == 0).alias("neg"))
+    grid = F.broadcast(df.sparkSession.range(steps).select(F.col("id").alias("i"), t(F.col("id")).alias("t")))
+    total = lambda c, above: F.sum(F.when((F.col("bin") > F.col("i")) == F.lit(above), F.col(c)).otherwise(0))
+    counts = {"tp": total("pos", True), "fp": total("neg", True), "fn": total("pos", False), "tn": total("neg", False)}
+    return scores(bins.crossJoin(grid).groupBy(*by, "t").agg(*[v.alias(k) for k, v in counts.items()]))
 
 
 def best_threshold(swept: DataFrame, by: list[str]) -> DataFrame:
@@ -66,11 +73,14 @@ def best_threshold(swept: DataFrame, by: list[str]) -> DataFrame:
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided p: 2 * sum of binomials up to the lesser count over 2**(b + c), at most 1; 1 without discordant rows."""
-    log_fact = lambda n: F.aggregate(F.sequence(F.lit(0), n), F.lit(0.0), lambda acc, k: acc + F.log(F.greatest(k, F.lit(1)).cast("double")))
-    n = (b + c).cast("int")
-    term = lambda k: F.exp(log_fact(n) - log_fact(k) - log_fact(n - k) - n * F.log(F.lit(2.0)))
-    total = F.aggregate(F.sequence(F.lit(0), F.least(b, c).cast("int")), F.lit(0.0), lambda acc, k: acc + term(k))
+    """Exact two-sided p: 2 * sum of binomials up to the lesser count over 2**(b + c), at most 1; 1 without discordant rows.
+
+    One pass: each term's logarithm follows from the one before it; the sum is kept relative to the last term, the greatest.
+    """
+    n, k = (b + c).cast("double"), F.least(b, c).cast("int")
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.lit(1.0).alias("share"))
+    step = lambda acc, i: F.struct((acc["term"] + F.log((n - i + 1) / i)).alias("term"), (acc["share"] * i / (n - i + 1) + 1.0).alias("share"))
+    total = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), start, step, lambda acc: F.exp(acc["term"] + F.log(acc["share"])))
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * total))
 
 
@@ -93,3 +103,17 @@ def bootstrap_f1(counts: DataFrame, by: list[str], resamples: int = 1000, seed:
 def localisation(gold: Column, pred: Column) -> list[Column]:
     """tp, fp, fn of word index arrays in a row."""
     return [F.size(F.array_intersect(gold, pred)).alias("tp"), F.size(F.array_except(pred, gold)).alias("fp"), F.size(F.array_except(gold, pred)).alias("fn")]
+
+
+# ---------------------------------------------------------------- percentiles
+
+
+def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float], places: int = 6) -> DataFrame:
+    """For each group the values at places round_half_even((n - 1) q) of its sorted values, counted by value first:
+    what is put in order are the distinct values, never a group's rows. Null values don't count; a group without values has no row."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    order = W.partitionBy(*by).orderBy(value)
+    counts = counts.withColumns({"__to": F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, 0)), "__all": F.sum("__n").over(W.partitionBy(*by))})
+    place = lambda q: F.bround((F.col("__all") - 1) * F.lit(q), 0)
+    at = lambda q: F.min(F.when(F.col("__to") > place(q), F.col(value)))
+    return counts.groupBy(*by).agg(*[F.round(at(q), places).alias(name) for name, q in quantiles.items()])

@@ -498,7 +498,7 @@ def similarity_percentiles(spark, d):
     """Nearest-rank percentiles of the likeness of texts and variants, per label."""
     v = obfuscate.perturb(_messages(spark, d).withColumn("seed", obfuscate.seed_of(F.lit("42"), "sample_id")), "text", "label", "seed", CHAT)
     s = v.select("label", obfuscate.surface_similarity("text", F.col("variant.perturbed_text")).alias("s")).where("s is not null")
-    return s.groupBy("label").agg(*[F.round(F.percentile("s", q), 6).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))])
+    return metrics.nearest_rank(s, ["label"], "s", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
 
 
 # ---------------------------------------------------------------- dictionaries, quality, reports
@@ -520,10 +520,7 @@ def lexicon_compile(spark, d):
 
 @query("WITH r AS (SELECT source, CAST(n_chars AS DOUBLE) / 1000 AS v, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, round(max(v) FILTER (i = round_even((n - 1) * 0.05, 0)), 6) AS p05, round(max(v) FILTER (i = round_even((n - 1) * 0.5, 0)), 6) AS p50, round(max(v) FILTER (i = round_even((n - 1) * 0.95, 0)), 6) AS p95 FROM r GROUP BY source")
 def rank_percentiles(spark, d):
-    w = W.partitionBy("source")
-    r = read(spark, d, "documents").select("source", "doc_id", "n_chars").withColumns({"i": F.row_number().over(w.orderBy("n_chars", "doc_id")) - 1, "n": F.count("*").over(w)})
-    at = lambda q: F.round(F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * q, 0), F.col("n_chars") / 1000)), 6)
-    return r.groupBy("source").agg(at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return metrics.nearest_rank(read(spark, d, "documents").select("source", (F.col("n_chars") / 1000).alias("v")), ["source"], "v", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
 
 
 @query("SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id // 4096 AS b, sha256(string_agg(h, '' ORDER BY doc_id, h)) AS h, count(*) AS n FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || chr(0) || text || chr(0) || lang || chr(0) || source) AS h FROM documents) GROUP BY 1)")
