@@ -48,15 +48,17 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables that nothing still to be computed reads: what came of them must have been written.
-
-    The collections let Spark's cleaner remove the shuffle files that no plan refers to any more.
-    """
+    """Remove tables that nothing still to be computed reads: what came of them must have been written."""
     for t in tables:
         _remove(t.sparkSession, t.stored_at)
-    gc.collect()
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles no plan refers to any more; it removes their files meanwhile."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -395,7 +395,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.
 
 
 def repeated_spans(indexed: DataFrame, docs: DataFrame, windows: Windows, text: str, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """((tid, kind, s, e) of distinct texts with repeated windows, (tid, text) of the texts that can have some)."""
+    """((tid, kind, s, e) of distinct texts with repeated windows, (tid, text) of the texts that can have some). indexed is a written table of its own, removed here."""
     # anchors at two places: hashes alone travel. Copies of a text have equal places, and count once
     flat = indexed.select(F.explode(F.arrays_zip("h", "at")).alias("m")).select("m.*")
     twice = common.table(flat.groupBy("h").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("h"), "twice")
@@ -408,7 +408,7 @@ def repeated_spans(indexed: DataFrame, docs: DataFrame, windows: Windows, text:
     own = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
     docs = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.substring(F.upper(F.sha2(text, 256)), 1, 32)).alias("name"))
     held = common.table(docs.join(marks.hint("merge"), "name").where(own == F.col("tid")).dropDuplicates(["name", "tid"]).select("tid", "text", "marks"), "held")
-    common.discard(twice, all_marks)
+    common.discard(twice, all_marks, indexed)
     seg = held.mapInArrow(lambda it: _segments(it, windows), SEG)
 
     spans = None
@@ -418,6 +418,7 @@ def repeated_spans(indexed: DataFrame, docs: DataFrame, windows: Windows, text:
         # equal segments of a group: every window repeats; one of them goes on
         same = seg.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct("tid", "w0")).alias("who"), F.max("tid").alias("other"), F.max("many").alias("many"), F.max("size").alias("size"))
         same = common.table(same.withColumn("many", F.col("many") | (F.col("other") > F.col("who.tid"))).drop("other"), "segment-classes")
+        common.sweep(docs.sparkSession)
         kind = F.col("key").bitwiseAND(F.lit(1)).cast("int")
         length = F.when(kind == BYTES, windows.length[BYTES]).otherwise(windows.length[WORDS])
         again = same.where(F.when(kind == BYTES, F.col("n") > 1).otherwise(F.col("many"))).select("key", "c")
@@ -489,11 +490,11 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400, text: str = "text", gr
     """
     windows = Windows((min_bytes, min_words))
     indexed = common.table(index_texts(docs, windows, text), "texts")
+    kept = common.table(indexed.select("doc_id", "tid", "n_bytes", "n_words", "word_from", "word_to", "sha", (F.size("h") > 0).alias("long")), "rows")
     spans, texts = repeated_spans(indexed, docs, windows, text, group)
     by = spans.groupBy("tid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("spans"))  # within one text
     done = common.table(texts.join(by.hint("merge"), "tid").mapInArrow(_cut, CUT), "cut")
-    copies = indexed.where(F.size("h") > 0).groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("whole"))
-    kept = indexed.select("doc_id", "tid", "n_bytes", "n_words", "word_from", "word_to", "sha")
+    copies = kept.where("long").groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("whole"))
     none = F.array().cast("array<struct<s:int,e:int>>")
     whole = F.col("whole") & (F.col("n_bytes") >= min_bytes)
     told = F.col("whole") & (F.col("n_words") >= min_words) & F.lit(min_words > 0)
