@@ -44,6 +44,8 @@ from tidewell.llm.common import U64
 
 #: Bytes of one block's index, and segments of a group beyond which it is split.
 BLOCK_BYTES, GROUP = 1 << 20, 4096
+#: Segments (about a hundred bytes each) up to which they are sent to the texts; more are dealt by text with them.
+SENT = 1 << 16
 EMPTY = hashlib.sha256(b"").hexdigest()
 BYTES, WORDS = 0, 1
 
@@ -401,10 +403,10 @@ def repeated_spans(indexed: DataFrame, docs: DataFrame, windows: Windows, text:
     twice = common.table(flat.groupBy("h").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("h"), "twice")
     # of the texts that hold such anchors one row each; rows without a doc_id are named by their text alone
     named = F.coalesce(F.col("doc_id").cast("string"), F.hex("tid")).alias("name")
-    holders = indexed.select("tid", named, F.explode("h").alias("h")).join(twice, "h")  # both sides dealt anew, so a hot anchor's can be split
+    holders = indexed.select("tid", named, F.explode("h").alias("h")).join(twice.hint("merge"), "h")  # both sides dealt anew, so a hot anchor's can be split
     all_marks = common.table(holders.groupBy("tid", "name").agg(F.collect_set("h").alias("marks")), "marks")  # within one document
     one = all_marks.groupBy(F.col("tid").alias("of")).agg(F.min("name").alias("name"))
-    marks = all_marks.withColumnRenamed("name", "own").join(one, (F.col("tid") == F.col("of")) & (F.col("own") == F.col("name"))).select("name", "tid", "marks")
+    marks = all_marks.withColumnRenamed("name", "own").join(one.hint("merge"), (F.col("tid") == F.col("of")) & (F.col("own") == F.col("name"))).select("name", "tid", "marks")
     own = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
     docs = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.substring(F.upper(F.sha2(text, 256)), 1, 32)).alias("name"))
     held = common.table(docs.join(marks.hint("merge"), "name").where(own == F.col("tid")).dropDuplicates(["name", "tid"]).select("tid", "text", "marks"), "held")
@@ -413,6 +415,7 @@ def repeated_spans(indexed: DataFrame, docs: DataFrame, windows: Windows, text:
 
     spans = None
     texts = held.select("tid", "text")
+    pool = None  # from the second round on: the texts that large groups hold, no others travel again
     while True:
         seg = common.table(seg, "segments")
         # equal segments of a group: every window repeats; one of them goes on
@@ -422,26 +425,34 @@ def repeated_spans(indexed: DataFrame, docs: DataFrame, windows: Windows, text:
         kind = F.col("key").bitwiseAND(F.lit(1)).cast("int")
         length = F.when(kind == BYTES, windows.length[BYTES]).otherwise(windows.length[WORDS])
         again = same.where(F.when(kind == BYTES, F.col("n") > 1).otherwise(F.col("many"))).select("key", "c")
-        copied = seg.select("key", "c", "tid", "w0", "w1").join(again, ["key", "c"]).select("tid", kind.alias("kind"), F.col("w0").alias("s"), (F.col("w1") + length).alias("e"))
+        copied = seg.select("key", "c", "tid", "w0", "w1").join(again.hint("merge"), ["key", "c"]).select("tid", kind.alias("kind"), F.col("w0").alias("s"), (F.col("w1") + length).alias("e"))
         # words that one document repeats all go on, as what is found of one holds for each of them
         every = (kind == WORDS) & (F.col("n") > 1) & ~F.col("many")
         groups = same.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        going = common.table(same.join(groups, "key").select("key", "c", "who", "many", "m", "n", "size", every.alias("every")), "going")
-        total, large = going.agg(F.coalesce(F.sum(F.when(F.col("m") <= group, F.col("size") * F.when(F.col("every"), F.col("n")).otherwise(1))), F.lit(0)), F.count(F.when(F.col("m") > group, 1))).first()
-        chosen = seg.drop("many", "size").join(going.drop("n", "size"), ["key", "c"]).where(F.col("every") | (F.struct("tid", "w0") == F.col("who")))
-        by_text = lambda some: chosen.where(some).groupBy("tid").agg(F.collect_list(F.struct("key", "w0", "w1", "pos", "lo", "hi", "many")).alias("segments"))  # noqa: E731  within one text
+        going = common.table(same.join(groups.hint("merge"), "key").select("key", "c", "who", "many", "m", "n", "size", every.alias("every")), "going")
+        few, rows = F.col("m") <= group, F.when(F.col("every"), F.col("n")).otherwise(1)
+        total, n_small, n_large = going.agg(*(F.coalesce(F.sum(F.when(ok, v)), F.lit(0)) for ok, v in ((few, F.col("size") * rows), (few, rows), (~few, rows)))).first()
+
+        def with_texts(some, n: int, source: DataFrame) -> DataFrame:
+            """Texts of source with their chosen segments of the groups asked for, n segments in all."""
+            way = "broadcast" if n <= SENT else "merge"
+            chosen = seg.drop("many", "size").join(going.where(some).drop("n", "size").hint(way), ["key", "c"]).where(F.col("every") | (F.struct("tid", "w0") == F.col("who")))
+            each = chosen.groupBy("tid").agg(F.collect_list(F.struct("key", "w0", "w1", "pos", "lo", "hi", "many")).alias("segments"))  # within one text
+            return source.join(each.hint(way), "tid")
+
         parts = max(1, -(-total // (4 * BLOCK_BYTES)))
-        # most texts hold some in the first round: the same join at every size
-        some = by_text(F.col("m") <= group)
-        small = texts.join(some.hint("merge") if spans is None else some, "tid").mapInArrow(lambda it: _texts(it, windows), TEXT)
+        small = with_texts(few, n_small, texts if pool is None else pool).mapInArrow(lambda it: _texts(it, windows), TEXT)
         matched = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda it: _blocks(it, windows), SPAN)
         now = common.table(copied.unionByName(matched), "spans")
         spans = now if spans is None else spans.unionByName(now)
-        last = seg
-        if large:
-            seg = common.table(texts.join(by_text(F.col("m") > group), "tid").mapInArrow(lambda it: _split(it, windows), SEG), "halves")
-        common.discard(last, same, going)
-        if not large:
+        done = [seg, same, going, *([] if pool is None else [pool])]
+        if n_large:
+            hot = common.table(with_texts(~few, n_large, texts if pool is None else pool), "hot-texts")
+            seg = hot.mapInArrow(lambda it: _split(it, windows), SEG)
+            pool = hot.select("tid", "text")
+            pool.stored_at = hot.stored_at
+        common.discard(*done)
+        if not n_large:
             return spans, texts
 
 
