@@ -358,8 +358,10 @@ def plain_repeats(rows, m):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("m", "group"), [(100, 1024), (100, 1), (64, 2)])
-def test_repeats_against_counting(docs, m, group):
+@pytest.mark.parametrize(("m", "group", "sent"), [(100, 1024, repeats.SENT), (100, 1, repeats.SENT), (64, 2, 0)])
+def test_repeats_against_counting(docs, monkeypatch, m, group, sent):
+    """Groups whole and split, segments sent to the texts or dealt with them."""
+    monkeypatch.setattr(repeats, "SENT", sent)
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs, m, group=group).collect())
     assert got == plain_repeats(ROWS, m)
 
