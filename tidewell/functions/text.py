@@ -161,6 +161,11 @@ def sigmoid(margin: Column) -> Column:
     return 1 / (1 + F.exp(-margin))
 
 
+def softmax_second(first: Column, second: Column) -> Column:
+    """The second of two logits' share: the sigmoid of their difference."""
+    return sigmoid(second - first)
+
+
 def label_id(text: Column, names: dict[str, int]) -> Column:
     key = F.lower(F.trim(text))
     out = F.lit(-1)
@@ -173,7 +178,26 @@ def bucket(v: Column, low: float) -> Column:
     return F.when(v >= 0.5, "strong").when(v >= 0.25, "medium").when(v >= low, "weak").otherwise("none")
 
 
-def highlight(words: Column, values: Column, low: float) -> Column:
-    """Markdown: strong and medium words in bold, weak ones in italics."""
-    mark = lambda w, v: F.when(v >= 0.25, F.concat(F.lit("**"), w, F.lit("**"))).when(v >= low, F.concat(F.lit("*"), w, F.lit("*"))).otherwise(w)
+#: Terminal colours of the levels.
+ANSI = {"strong": "\x1b[1;97;41m", "medium": "\x1b[1;30;43m", "weak": "\x1b[4m"}
+
+
+def highlight(words: Column, values: Column, low: float, kind: str = "markdown") -> Column:
+    """Words by the level of their values. markdown: strong ones in bold, medium and weak ones in italics; plain: all of them in brackets; ansi: a colour for each level."""
+
+    def around(w: Column, left: str, right: str) -> Column:
+        return F.concat(F.lit(left), w, F.lit(right))
+
+    def mark(w: Column, v: Column) -> Column:
+        level = bucket(v, low)
+        if kind == "plain":
+            return F.when(level == "none", w).otherwise(around(w, "[", "]"))
+        signs = {"strong": ("**", "**"), "medium": ("*", "*"), "weak": ("*", "*")} if kind == "markdown" else {k: (v, "\x1b[0m") for k, v in ANSI.items()}
+        out = w
+        for name, (left, right) in signs.items():
+            out = F.when(level == name, around(w, left, right)).otherwise(out)
+        return out
+
+    if kind not in ("markdown", "plain", "ansi"):
+        raise ValueError(f"kind is {kind}")
     return F.array_join(F.zip_with(words, values, mark), " ")

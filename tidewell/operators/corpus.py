@@ -37,6 +37,43 @@ def priority_sample(df: DataFrame, stratum: str, order: Column, k: int) -> DataF
     return df.withColumn("priority", order).withColumn("rn", F.row_number().over(W.partitionBy(stratum).orderBy("priority"))).where(F.col("rn") <= k)
 
 
+def random_sample(df: DataFrame, order: Column, n: int) -> DataFrame:
+    """The n rows of least order, alike on every run: a sample is the feature."""
+    return df.withColumn("priority", order).orderBy("priority").limit(n)
+
+
+def select_unique(df: DataFrame, taken: DataFrame, key: str, label: str, order: str, targets: dict[str, int]) -> DataFrame:
+    """df with status: what of each label is taken in, in the order, up to its target, with no key twice.
+
+    Labels go one after the other as targets lists them. A key in taken (key, label), chosen for a label before or met before
+    is exact_duplicate, or exact_duplicate_label_conflict where that label is another. Once the target is reached rows are
+    beyond_target; the others are selected. The order must be unique. Labels without a target are left out.
+    """
+    seen, parts = taken.groupBy(key).agg(F.min(label).alias("__seen")), []
+    for name, n in targets.items():
+        pool = df.where(F.col(label) == name).join(seen, key, "left")
+        free = pool.where("__seen is null").groupBy(key).agg(F.min(order).alias("__first"))
+        picked = free.orderBy("__first").limit(n).select(key, "__first")
+        last = picked.agg(F.count("*").alias("__n"), F.max("__first").alias("__last"))  # one row
+        beyond = (F.col("__n") >= n) & (F.coalesce(F.col(order) > F.col("__last"), F.lit(True)))
+        reason = F.when(beyond, "beyond_target").when(F.col("__seen") != name, "exact_duplicate_label_conflict").when(F.col("__seen").isNotNull() | (F.col(order) != F.col("__first")), "exact_duplicate").otherwise("selected")
+        parts.append(pool.join(free, key, "left").crossJoin(F.broadcast(last)).withColumn("status", reason).select(*df.columns, "status"))
+        seen = seen.unionByName(picked.select(key, F.lit(name).alias("__seen")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def require_counts(df: DataFrame, label: str, targets: dict[str, int]) -> DataFrame:
+    """df, or an error that names the labels with fewer rows than their target."""
+    have = {r[0]: r[1] for r in df.where(F.col(label).isin(*targets)).groupBy(label).count().collect()}  # a row for each target
+    short = {k: n - have.get(k, 0) for k, n in targets.items() if have.get(k, 0) < n}
+    if short:
+        raise ValueError(f"too few unique rows: {short}")
+    return df
+
+
 def first_per_key(df: DataFrame, key: str, order: list) -> DataFrame:
     """The first row of each key in the order, as a grouped minimum."""
     cols = [c for c in df.columns if c != key]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import tokens
+from tidewell.functions.text import fold, tokens
 
 
 def document_frequency(df: DataFrame, text: str = "text", y: str = "y") -> DataFrame:
@@ -26,20 +26,53 @@ def flag_keywords(df: DataFrame, words: DataFrame, key: str, text: str = "text")
     return df.join(hit.withColumn("hit", F.lit(1)), key, "left").withColumn("pred", F.coalesce("hit", F.lit(0))).drop("hit")
 
 
+#: Signs cut from the ends of dictionary tokens, and the two shapes of emoticons.
+CUT = r"[\p{Punct}…（）【】]"
+EMOTICON_SIGNS = r"^[:;)(DPpOo@=#>/\\|3<^~*]+$"
+EMOTICON_FACE = r"^[:;=xX><]+[)(DPpOo3/\\|]+$"
+
+
+def is_emoticon(word: Column) -> Column:
+    """Signs and letters of faces only, or eyes followed by a mouth."""
+    return word.rlike(EMOTICON_SIGNS) | word.rlike(EMOTICON_FACE)
+
+
+def is_elongated(original: Column, normalized: Column) -> Column:
+    """The original repeats its last character, and with one of them it is the normal form."""
+    return (normalized != "") & original.rlike(r"(?s)(.)\1$") & (F.regexp_replace(original, r"(?s)(.)\1+$", "$1") == normalized)
+
+
+def differs_in_marks(original: Column, normalized: Column) -> Column:
+    """Unequal, but equal without diacritics."""
+    return (original != normalized) & (fold(original) == fold(normalized))
+
+
 def pair_frequency(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """original, normalized, freq of aligned tokens that differ; only rows of equal token counts align."""
-    x, y = F.split(F.trim(F.lower(a)), r"\s+"), F.split(F.trim(F.lower(b)), r"\s+")
-    rows = pairs.where(F.size(x) == F.size(y)).select(F.explode(F.arrays_zip(x.alias("o"), y.alias("n"))).alias("p")).select("p.o", "p.n")
-    return rows.where("o <> n and o <> '' and n <> ''").groupBy(F.col("o").alias("original"), F.col("n").alias("normalized")).agg(F.count("*").alias("freq"))
+    """original, normalized, freq of aligned tokens that differ, lower case and without signs at their ends.
+
+    Only rows of equal token counts align. Emoticons and elongations are no pairs. A null text aligns with nothing.
+    """
+    x, y = F.split(F.trim(a), r"\s+"), F.split(F.trim(b), r"\s+")
+    clean = lambda c: F.lower(F.regexp_replace(c, f"^{CUT}+|{CUT}+$", ""))
+    words = pairs.where(F.size(x) == F.size(y)).select(F.explode(F.arrays_zip(x.alias("o"), y.alias("n"))).alias("p")).select("p.o", "p.n")
+    words = words.where((F.col("o") != F.col("n")) & ~is_emoticon(F.col("o")) & ~is_emoticon(F.col("n")))
+    rows = words.select(clean(F.col("o")).alias("original"), clean(F.col("n")).alias("normalized"))
+    rows = rows.where((F.col("original") != F.col("normalized")) & (F.col("original") != "") & (F.col("normalized") != "") & ~is_elongated(F.col("original"), F.col("normalized")))
+    return rows.groupBy("original", "normalized").agg(F.count("*").alias("freq"))
 
 
-def induce_dictionary(freq: DataFrame, min_freq: int = 2, share: float = 0.7) -> DataFrame:
-    """The leading normal form of each token if it has `share` of the frequency, or is the only one."""
+def induce_dictionary(freq: DataFrame, min_freq: int = 2, share: float = 0.7, blocked: tuple[str, ...] = ()) -> DataFrame:
+    """The leading normal form of each token if it has `share` of the frequency, or is the only one; blocked originals have none."""
     w = W.partitionBy("original")
-    kept = freq.where(F.col("freq") >= min_freq).withColumns({"total": F.sum("freq").over(w), "rn": F.row_number().over(w.orderBy(F.desc("freq"), "normalized"))})
+    kept = freq.where((F.col("freq") >= min_freq) & ~F.col("original").isin(*blocked)).withColumns({"total": F.sum("freq").over(w), "rn": F.row_number().over(w.orderBy(F.desc("freq"), "normalized"))})
     return kept.where((F.col("rn") == 1) & (F.col("freq") >= share * F.col("total"))).select("original", "normalized", "freq")
 
 
+def length_histogram(dictionary: DataFrame) -> DataFrame:
+    """length (4 stands for all from 4 on), n."""
+    return dictionary.groupBy(F.least(F.length("original"), F.lit(4)).alias("length")).agg(F.count("*").alias("n"))
+
+
 def compile_lexicon(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(standard, variants) and the rejected (variant, standard, reason) of a (variant, standard) table.
 

@@ -53,6 +53,32 @@ def roc_auc(df: DataFrame, by: list[str]) -> DataFrame:
     return c.groupBy(*by).agg(F.round(F.try_divide(area, (F.sum("pos") * F.sum("neg")).cast("double")), 6).alias("roc_auc"))
 
 
+def pr_area(df: DataFrame, by: list[str]) -> DataFrame:
+    """Trapezoid area under precision over recall, from recall 0 and precision 1 on; 0 without positives."""
+    c = curve(df, by)
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    before = F.coalesce(F.lag("precision").over(W.partitionBy(*by).orderBy(F.desc("p"))), F.lit(1.0))
+    c = c.withColumn("precision", precision).withColumn("before", before)
+    area = F.try_divide(F.sum(F.col("pos") * (F.col("precision") + F.col("before")) / 2), F.sum("pos").cast("double"))
+    return c.groupBy(*by).agg(F.round(F.coalesce(area, F.lit(0.0)), 6).alias("pr_auc"))
+
+
+def rates(counts: DataFrame) -> DataFrame:
+    """n, n_hate and predicted_hate_rate from tp, fp, fn, tn; six decimals."""
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    n = tp + fp + fn + tn
+    return counts.withColumns({"n": n, "n_hate": tp + fn, "predicted_hate_rate": F.round(_ratio(tp + fp, n), 6)})
+
+
+def report_matrix(df: DataFrame, thresholds: DataFrame, by: list[str], default: float = 0.5) -> DataFrame:
+    """Metrics of each system and further columns of `by`, at the system's own threshold where thresholds (system, t: a row
+    for each system) has one, else at the default: threshold is null and tuned false there."""
+    joined = df.join(thresholds.select("system", F.col("t").alias("threshold")), "system", "left")
+    pred = joined.withColumn("pred", (F.col("p") > F.coalesce("threshold", F.lit(default))).cast("int"))
+    counts = pred.groupBy(*by, "threshold").agg(*confusion())
+    return rates(scores(counts)).withColumn("tuned", F.col("threshold").isNotNull())
+
+
 def threshold_sweep(df: DataFrame, by: list[str], steps: int = 200, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Metrics at each threshold of the grid (strictly above counts as 1). A row is first put into one of steps + 1
     bins by the thresholds below its score, and only the bins' counts meet the grid, a constant of `steps` rows."""
@@ -117,3 +143,9 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: dict[str,
     place = lambda q: F.bround((F.col("__all") - 1) * F.lit(q), 0)
     at = lambda q: F.min(F.when(F.col("__to") > place(q), F.col(value)))
     return counts.groupBy(*by).agg(*[F.round(at(q), places).alias(name) for name, q in quantiles.items()])
+
+
+def list_histogram(df: DataFrame, lists: str) -> DataFrame:
+    """value, n, n_rows: how often each value stands in the lists, and in how many rows."""
+    each = df.select(F.explode(F.transform(F.array_distinct(lists), lambda v: F.struct(v.alias("value"), F.size(F.filter(lists, lambda x: x == v)).alias("times")))).alias("e"))
+    return each.groupBy(F.col("e.value").alias("value")).agg(F.sum("e.times").alias("n"), F.count("*").alias("n_rows"))

@@ -154,6 +154,27 @@ def priority_sample_dedup(spark, d):
     return corpus.first_per_key(picked.select("canon", "doc_id", F.concat("source", "priority").alias("o")), "canon", [F.col("o")]).select("canon", "doc_id")
 
 
+UNIQUE = f"""k AS (SELECT doc_id, label, {CANON} AS canon, sha256('9' || chr(0) || CAST(doc_id AS VARCHAR)) AS o FROM lab), t AS (SELECT canon, min(CASE WHEN doc_id % 2 = 0 THEN label ELSE 'CLEAN' END) AS seen FROM k WHERE doc_id % 13 = 0 GROUP BY canon), h AS (SELECT * FROM k LEFT JOIN t USING (canon) WHERE doc_id % 13 <> 0),
+a1 AS (SELECT *, CASE WHEN seen IS NULL THEN min(CASE WHEN seen IS NULL THEN o END) OVER (PARTITION BY canon) END AS f FROM h WHERE label = 'HATE'), p1 AS (SELECT canon, f FROM a1 WHERE o = f ORDER BY o LIMIT 20), l1 AS (SELECT count(*) AS n, max(f) AS last FROM p1),
+h2 AS (SELECT h.* REPLACE (coalesce(seen, CASE WHEN p1.f IS NOT NULL THEN 'HATE' END) AS seen) FROM h LEFT JOIN p1 USING (canon) WHERE label = 'CLEAN'),
+a2 AS (SELECT *, CASE WHEN seen IS NULL THEN min(CASE WHEN seen IS NULL THEN o END) OVER (PARTITION BY canon) END AS f FROM h2), p2 AS (SELECT canon, f FROM a2 WHERE o = f ORDER BY o LIMIT 40), l2 AS (SELECT count(*) AS n, max(f) AS last FROM p2),
+al AS (SELECT a1.*, n >= 20 AND coalesce(o > last, true) AS beyond FROM a1, l1 UNION ALL SELECT a2.*, n >= 40 AND coalesce(o > last, true) FROM a2, l2)"""
+
+
+@query(f"WITH {LAB}, {UNIQUE} SELECT doc_id, CASE WHEN beyond THEN 'beyond_target' WHEN seen <> label THEN 'exact_duplicate_label_conflict' WHEN seen IS NOT NULL OR o <> f THEN 'exact_duplicate' ELSE 'selected' END AS status FROM al")
+def select_unique(spark, d):
+    """What becomes of each labelled document when 20 of one label and 40 of the other are taken in beside texts already taken."""
+    rows = corpus.with_key(labelled(spark, d)).select("doc_id", "label", "canon", hashing.key(F.lit("9"), F.col("doc_id").cast("string")).alias("o"))
+    old = F.col("doc_id") % 13 == 0
+    taken = rows.where(old).select("canon", F.when(F.col("doc_id") % 2 == 0, F.col("label")).otherwise("CLEAN").alias("label"))
+    return corpus.select_unique(rows.where(~old), taken, "canon", "label", "o", {"HATE": 20, "CLEAN": 40}).select("doc_id", "status")
+
+
+@query("SELECT doc_id FROM documents ORDER BY sha256('42' || chr(0) || CAST(doc_id AS VARCHAR)) LIMIT 100")
+def random_sample(spark, d):
+    return corpus.random_sample(read(spark, d, "documents").select("doc_id"), hashing.key(F.lit("42"), F.col("doc_id").cast("string")), 100).select("doc_id")
+
+
 @query("WITH r AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS rn, count(*) OVER (PARTITION BY source, lang) AS n FROM documents) SELECT source, lang, count(*) AS n, count(*) FILTER (rn <= floor(n * 0.3 + 0.5)) AS targeted FROM r GROUP BY source, lang")
 def quota_per_stratum(spark, d):
     t = corpus.exact_quota(read(spark, d, "documents").select("source", "lang", "doc_id"), ["source", "lang"], hashing.key(F.col("doc_id").cast("string")), 0.3)
@@ -299,6 +320,20 @@ def invalid_as_wrong(spark, d):
     return metrics.scores(raw.withColumn("pred", metrics.invalid_as_wrong(F.col("raw"), F.col("y"))).groupBy("system").agg(*metrics.confusion()))
 
 
+@query(f"WITH {SC}, x AS (SELECT system, y, CAST(p > 0.5 AS INTEGER) AS pred FROM sc) SELECT system, count(*) AS n, count(*) FILTER (y = 1) AS n_hate, round(count(*) FILTER (pred = 1) / count(*), 6) AS predicted_hate_rate FROM x GROUP BY system")
+def predicted_rates(spark, d):
+    counts = scored(spark, d).withColumn("pred", (F.col("p") > 0.5).cast("int")).groupBy("system").agg(*metrics.confusion())
+    return metrics.rates(counts).select("system", "n", "n_hate", "predicted_hate_rate")
+
+
+@query(f"WITH {SC} SELECT coalesce(system, 'overall') AS system, count(*) AS n, round(count(*) FILTER (doc_id % 11 = 0) / count(*), 6) AS invalid_rate FROM sc GROUP BY GROUPING SETS ((system), ())")
+def invalid_generation_rate(spark, d):
+    """Rows without a valid prediction, by system and overall."""
+    raw = scored(spark, d).withColumn("raw", F.when(F.col("doc_id") % 11 == 0, -1).otherwise((F.col("p") > 0.5).cast("int")))
+    n = raw.groupingSets([["system"], []], "system").agg(F.count("*").alias("n"), F.round(F.count_if(~F.col("raw").isin(0, 1)) / F.count("*"), 6).alias("invalid_rate"))
+    return n.withColumn("system", F.coalesce("system", F.lit("overall")))
+
+
 CURVE = "st AS (SELECT system, p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM sc GROUP BY system, p), cu AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM st WINDOW w AS (PARTITION BY system ORDER BY p DESC ROWS UNBOUNDED PRECEDING))"
 
 
@@ -312,6 +347,19 @@ def roc_auc(spark, d):
     return metrics.roc_auc(scored(spark, d), ["system"])
 
 
+@query(f"WITH {SC}, {CURVE}, pc AS (SELECT *, tp / (tp + fp) AS pr, coalesce(lag(tp / (tp + fp)) OVER (PARTITION BY system ORDER BY p DESC), 1.0) AS before FROM cu) SELECT system, round(coalesce(sum(pos * (pr + before) / 2) / nullif(sum(pos), 0), 0), 6) AS pr_auc FROM pc GROUP BY system")
+def pr_auc(spark, d):
+    return metrics.pr_area(scored(spark, d), ["system"])
+
+
+@query(f"WITH {SC}, {CURVE}, al AS (SELECT system, sum(pos) AS p_all, sum(neg) AS n_all FROM cu GROUP BY system) SELECT system, p, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / nullif(p_all, 0), 6) AS tpr, round(fp / nullif(n_all, 0), 6) AS fpr FROM cu JOIN al USING (system)")
+def curve_points(spark, d):
+    """The points of the curve: a row for each distinct score."""
+    c = metrics.curve(scored(spark, d), ["system"])
+    total = lambda x: F.sum(x).over(W.partitionBy("system")).cast("double")
+    return c.select("system", "p", "tp", "fp", F.round(F.try_divide(F.col("tp"), total("pos")), 6).alias("tpr"), F.round(F.try_divide(F.col("fp"), total("neg")), 6).alias("fpr"))
+
+
 SWEEP = f"grid AS (SELECT round(0.01 + i * (0.98 / 199), 9) AS t FROM range(200) r(i)), sx AS (SELECT system, t, y, CAST(p > t AS INTEGER) AS pred FROM sc, grid), sw AS ({_metric_sql('sx', 'system, t')})"
 
 
@@ -329,6 +377,15 @@ def tuned_vs_default(spark, d):
     return metrics.scores(x.groupBy("system").agg(*metrics.confusion()))
 
 
+@query(f"WITH {SC}, {SWEEP.replace('FROM sc, grid', 'FROM (SELECT * FROM sc WHERE doc_id % 5 = 0), grid')}, b AS (SELECT system, t AS threshold FROM sw WHERE system = 'full' QUALIFY row_number() OVER (PARTITION BY system ORDER BY f1 DESC, t) = 1), x AS (SELECT system, doc_id % 3 AS cond, threshold, y, CAST(p > coalesce(threshold, 0.5) AS INTEGER) AS pred FROM sc LEFT JOIN b USING (system) WHERE doc_id % 5 <> 0), m AS ({_metric_sql('x', 'system, cond, threshold')}) SELECT *, tp + fp + fn + tn AS n, tp + fn AS n_hate, round((tp + fp) / nullif(tp + fp + fn + tn, 0), 6) AS predicted_hate_rate, threshold IS NOT NULL AS tuned FROM m")
+def report_matrix(spark, d):
+    """Systems by conditions on the test fold; the threshold of one system is tuned on the validation fold, the other keeps the default."""
+    s = scored(spark, d).withColumn("cond", F.col("doc_id") % 3)
+    held = F.col("doc_id") % 5 == 0
+    best = metrics.best_threshold(metrics.threshold_sweep(s.where(held), ["system"]), ["system"]).where(F.col("system") == "full")
+    return metrics.report_matrix(s.where(~held), best, ["system", "cond"])
+
+
 @query(f"WITH {SC}, j AS (SELECT a.y, CAST(a.p > 0.5 AS INTEGER) = a.y AS ra, CAST(b.p > 0.5 AS INTEGER) = b.y AS rb FROM sc a JOIN sc b USING (doc_id) WHERE a.system = 'base' AND b.system = 'full'), n AS (SELECT count(*) FILTER (ra AND NOT rb) AS b, count(*) FILTER (rb AND NOT ra) AS c FROM j) SELECT b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2.0))))) END, 6) AS p FROM n")
 def mcnemar_test(spark, d):
     s = scored(spark, d).withColumn("right", (F.col("p") > 0.5).cast("int") == F.col("y"))
@@ -387,6 +444,14 @@ def localization_micro_macro(spark, d):
     return c.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.round(F.avg(f), 6).alias("macro_f1")).select("tp", "fp", "fn", F.round(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("micro_f1"), "macro_f1")
 
 
+@query(f"WITH {LOC}, n AS (SELECT count(*) AS n_sentences, CAST(sum(len({WORDS})) AS BIGINT) AS total_words FROM conversations) SELECT n_sentences, total_words, CAST(sum(tp + fp) AS BIGINT) AS predicted_words, CAST(sum(tp + fn) AS BIGINT) AS gold_words, round(sum(tp) / nullif(sum(tp + fp), 0), 6) AS micro_precision, round(sum(tp) / nullif(sum(tp + fn), 0), 6) AS micro_recall FROM c, n GROUP BY ALL")
+def localization_counts(spark, d):
+    ids = lambda ok: F.filter(F.transform("words", lambda w, i: F.when(ok(F.length(w), i), i)), lambda x: x.isNotNull())
+    c = _turns(spark, d).select(F.size("words").alias("n"), *metrics.localisation(ids(lambda n, i: n >= 6), ids(lambda n, i: (n >= 5) & (i % 3 != 0))))
+    share = lambda other, name: F.round(F.try_divide(F.sum("tp"), (F.sum("tp") + F.sum(other)).cast("double")), 6).alias(name)
+    return c.agg(F.count("*").alias("n_sentences"), F.sum("n").alias("total_words"), (F.sum("tp") + F.sum("fp")).alias("predicted_words"), (F.sum("tp") + F.sum("fn")).alias("gold_words"), share("fp", "micro_precision"), share("fn", "micro_recall"))
+
+
 SPAN = f"s AS (SELECT conv_id, turn, w, list_transform(range(1, len(w) + 1), lambda i: CAST(list_sum(list_transform(w[1:i], lambda x: length(x))) + i - 1 AS BIGINT)) AS e FROM (SELECT conv_id, turn, {WORDS} AS w FROM conversations))"
 
 
@@ -398,9 +463,9 @@ def span_mask(spark, d):
     return _turns(spark, d).select("conv_id", "turn", F.array_join(F.transform(explain.span_mask(F.col("words"), marked), lambda x: x.cast("string")), "").alias("mask"))
 
 
-@query(f"SELECT conv_id, turn, md5(array_to_string(list_transform({WORDS}, lambda w: CASE WHEN length(w) >= 7 THEN '**' || w || '**' WHEN length(w) >= 5 THEN '*' || w || '*' ELSE w END), ' ')) AS rendered FROM conversations")
+@query(f"SELECT conv_id, turn, md5(array_to_string(list_transform({WORDS}, lambda w: CASE WHEN length(w) >= 9 THEN '**' || w || '**' WHEN length(w) >= 5 THEN '*' || w || '*' ELSE w END), ' ')) AS rendered FROM conversations")
 def highlight_render(spark, d):
-    values = F.transform("words", lambda w: F.when(F.length(w) >= 7, 0.25).when(F.length(w) >= 5, 0.15).otherwise(0.0))
+    values = F.transform("words", lambda w: F.when(F.length(w) >= 9, 0.5).when(F.length(w) >= 7, 0.25).when(F.length(w) >= 5, 0.15).otherwise(0.0))
     return _turns(spark, d).select("conv_id", "turn", F.md5(text.highlight(F.col("words"), values, 0.15)).alias("rendered"))
 
 
@@ -433,6 +498,13 @@ def variant_controlled(spark, d):
     return v.select("sample_id", "seed", F.col("variant.perturbed_text").alias("perturbed_text"), F.array_join("variant.perturbation_types", ",").alias("types"), F.col("variant.perturbation_count").alias("n_edits"))
 
 
+@query()
+def edit_type_histogram(spark, d):
+    """How often each kind of edit stands in the variants, and in how many of them."""
+    v = obfuscate.perturb(_messages(spark, d).withColumn("seed", obfuscate.seed_of(F.lit("42"), "sample_id")), "text", "label", "seed", CHAT)
+    return metrics.list_histogram(v.select(F.col("variant.perturbation_types").alias("types")), "types")
+
+
 @query()
 def variant_trace_replay(spark, d):
     """Traces that don't lead to their variant: none."""
@@ -504,10 +576,28 @@ def similarity_percentiles(spark, d):
 # ---------------------------------------------------------------- dictionaries, quality, reports
 
 
-@query(r"WITH p AS (SELECT lower(text) AS a, regexp_replace(lower(text), 'tion', 'sh', 'g') AS b FROM documents), r AS (SELECT unnest(regexp_split_to_array(trim(a), '\s+')) AS original, unnest(regexp_split_to_array(trim(b), '\s+')) AS normalized FROM p), f AS (SELECT original, normalized, count(*) AS freq FROM r WHERE original <> normalized AND original <> '' AND normalized <> '' GROUP BY ALL) SELECT * FROM f WHERE freq >= 2 QUALIFY row_number() OVER (PARTITION BY original ORDER BY freq DESC, normalized) = 1 AND freq >= 0.7 * sum(freq) OVER (PARTITION BY original)")
+EDGES = "[[:punct:]…（）【】]"
+FACES = r"regexp_full_match({0}, '[:;)(DPpOo@=#>/\\|3<^~*]+') OR regexp_full_match({0}, '[:;=xX><]+[)(DPpOo3/\\|]+')"
+DICT = rf"""p AS (SELECT text AS a, regexp_replace(regexp_replace(text, 'tion', 'sh', 'g'), 's(\W)', 'ss\1', 'g') AS b FROM documents), r AS (SELECT unnest(regexp_split_to_array(trim(a), '\s+')) AS o, unnest(regexp_split_to_array(trim(b), '\s+')) AS n FROM p),
+c AS (SELECT lower(regexp_replace(regexp_replace(o, '^{EDGES}+', ''), '{EDGES}+$', '')) AS original, lower(regexp_replace(regexp_replace(n, '^{EDGES}+', ''), '{EDGES}+$', '')) AS normalized FROM r WHERE o <> n AND NOT ({FACES.format('o')} OR {FACES.format('n')})),
+f AS (SELECT original, normalized, count(*) AS freq FROM c WHERE original <> normalized AND original <> '' AND normalized <> '' AND NOT (length(original) > length(normalized) AND right(original, 1) = right(left(original, -1), 1) AND rtrim(original, right(original, 1)) || right(original, 1) = normalized) GROUP BY ALL),
+di AS (SELECT * FROM f WHERE freq >= 2 AND original NOT IN ('nation', 'station') QUALIFY row_number() OVER (PARTITION BY original ORDER BY freq DESC, normalized) = 1 AND freq >= 0.7 * sum(freq) OVER (PARTITION BY original))"""
+
+
+def _dictionary(spark, d):
+    changed = F.regexp_replace(F.regexp_replace("text", "tion", "sh"), r"s(\W)", "ss$1")
+    pairs = read(spark, d, "documents").select(F.col("text").alias("a"), changed.alias("b"))
+    return lexicon.induce_dictionary(lexicon.pair_frequency(pairs, "a", "b"), blocked=("nation", "station"))
+
+
+@query(f"WITH {DICT} SELECT * FROM di")
 def dictionary_induce(spark, d):
-    pairs = read(spark, d, "documents").select(F.lower("text").alias("a"), F.regexp_replace(F.lower("text"), "tion", "sh").alias("b"))
-    return lexicon.induce_dictionary(lexicon.pair_frequency(pairs, "a", "b"))
+    return _dictionary(spark, d)
+
+
+@query(f"WITH {DICT} SELECT least(length(original), 4) AS length, count(*) AS n FROM di GROUP BY 1")
+def dictionary_lengths(spark, d):
+    return lexicon.length_histogram(_dictionary(spark, d)).select(F.col("length").cast("long").alias("length"), "n")
 
 
 @query("WITH e AS (SELECT DISTINCT trim(substr(p_name, 1, 4)) AS variant, trim(substr(p_name, 1, 6)) AS standard FROM part), c AS (SELECT lower(variant) AS k FROM e GROUP BY 1 HAVING count(DISTINCT lower(standard)) > 1), f AS (SELECT lower(variant) AS k, min(variant) AS first FROM e GROUP BY 1), v AS (SELECT DISTINCT lower(variant) AS v FROM e WHERE lower(variant) <> lower(standard)) SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM (SELECT CASE WHEN variant = '' OR standard = '' THEN 'empty' WHEN lower(variant) = lower(standard) THEN 'identity' WHEN lower(variant) IN (SELECT k FROM c) THEN 'dictionary_conflict' WHEN variant <> f.first THEN 'normalized_duplicate' WHEN lower(standard) IN (SELECT v FROM v) THEN 'chain' END AS reason FROM e JOIN f ON f.k = lower(variant)) GROUP BY 1")
