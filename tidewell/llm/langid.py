@@ -29,6 +29,8 @@ ORDER = 3
 SAMPLE_PER_LANG = 1500
 #: Bytes of the dense table (byte pairs squared, times languages) and of pairs at most, however many languages there are.
 TABLE_BYTES, MAX_PAIRS = 150_000_000, 3000
+#: Bytes of text whose code lengths are held at once.
+SLICE = 1 << 18
 #: Languages that one classifier tells apart; more in the training rows are an error, not a cut.
 MAX_LANGS = 1000
 
@@ -132,12 +134,16 @@ class Model:
             else:
                 left[at] &= np.uint16(0xFF)
         table, n = self.table(), len(self.pairs) + 1
-        cost = table.take(self.pair[left].astype(np.int64) * n + self.pair[right], axis=0)
-        slow = np.flatnonzero(np.isnan(cost[:, 0]))
-        if len(slow):
-            cost[slow] = self.bits(left[slow].astype(np.uint32) << np.uint32(16) | right[slow])
-        some = lens > 0
-        out[some] = np.add.reduceat(cost.astype(np.float64), offs[:-1][some], axis=0)
+        for lo in range(0, len(data), SLICE):
+            a, b = left[lo : lo + SLICE], right[lo : lo + SLICE]
+            cost = table.take(self.pair[a] * np.int64(n) + self.pair[b], axis=0)
+            slow = np.flatnonzero(np.isnan(cost[:, 0]))
+            if len(slow):
+                cost[slow] = self.bits(a[slow].astype(np.uint32) << np.uint32(16) | b[slow])
+            first = np.searchsorted(offs, lo, "right") - 1  # the document of the slice's first byte
+            last = np.searchsorted(offs, lo + len(a), "left")
+            some = first + np.flatnonzero(lens[first:last] > 0)
+            out[some] += np.add.reduceat(cost.astype(np.float64), np.maximum(offs[some] - lo, 0), axis=0)
         return out
 
 
