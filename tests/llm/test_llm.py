@@ -218,6 +218,24 @@ def test_dense_table_is_bounded_for_many_languages():
     assert np.isfinite(model.bits(key)).all()
 
 
+@pytest.mark.parametrize("kept", [langid.KEPT_BYTES, 4000, 1])
+def test_code_lengths_keep_only_what_texts_hold(monkeypatch, kept):
+    """Whatever there is room for, the same lengths; memory goes with the windows met, not with all pairs of byte pairs."""
+    monkeypatch.setattr(langid, "KEPT_BYTES", kept)
+    r = np.random.default_rng(3)
+    grams = {f"l{i:03}": langid.count_grams(r.integers(32, 127, 4000).astype(np.uint8), np.array([0, 4000])) for i in range(5)}
+    model = langid.Model(sorted(grams), grams)
+    data = r.integers(30, 130, 900).astype(np.uint8)
+    offs = np.array([0, 1, 1, 400, 900])
+    padded = [np.concatenate([np.zeros(3, np.uint32), data[a:b]]) for a, b in zip(offs[:-1], offs[1:])]
+    want = [model.bits(x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]).astype(np.float64).sum(axis=0) for x in padded]
+    for _ in range(2):  # the second time from the table
+        assert np.allclose(model.code_lengths(data, offs), want, rtol=1e-9)
+    assert model.table().nbytes <= max(kept, 4 * 5) and model.used <= 901
+    monkeypatch.setattr(langid, "SLICE", 640)
+    assert np.allclose(model.code_lengths(data, offs), want, rtol=1e-9)
+
+
 def test_shards_are_balanced_and_hold_whole_groups(spark):
     r = random.Random(8)
     texts = [prose(r.randint(1, 60), r) for _ in range(1500)] + ["same text of a group"] * 200 + [None, "", None] + ["y" * 900] * 5

@@ -6,8 +6,8 @@ symbols over total plus distinct) lead to shorter ones and at last to 1/256. The
 statistics are frozen, so the code length of a text is an exact sum over its bytes.
 The language with the shortest code wins; ties go to the smaller name.
 
-Tables: code lengths by the last four bytes are stored for pairs of byte pairs seen
-in training; other positions go the same way through the sparse tree.
+Tables: code lengths by the last four bytes go through the sparse tree when such bytes are
+first met, and are kept for pairs of byte pairs seen in training as far as there is room.
 
 Null texts and texts without a letter (Unicode L; signs for numbers such as ² or ½ are none) are `und` with score 0. Repeated rows are judged each for itself.
 Without training rows every text is `und`.
@@ -27,10 +27,12 @@ from tidewell.llm import common
 ORDER = 3
 #: Documents of each language (expected number, chosen by hash) that the classifier is fitted on.
 SAMPLE_PER_LANG = 1500
-#: Bytes of the dense table (byte pairs squared, times languages) and of pairs at most, however many languages there are.
+#: Bytes that code lengths of all pairs of byte pairs would take at most (byte pairs squared, times languages), and byte pairs at most.
 TABLE_BYTES, MAX_PAIRS = 150_000_000, 3000
-#: Bytes of text whose code lengths are held at once.
-SLICE = 1 << 18
+#: Bytes of code lengths that a Python worker keeps; what has no room is worked out anew.
+KEPT_BYTES = 32 << 20
+#: Code lengths (bytes of text times languages) that are held at once.
+SLICE = 1 << 20
 #: Languages that one classifier tells apart; more in the training rows are an error, not a cut.
 MAX_LANGS = 1000
 
@@ -104,15 +106,24 @@ class Model:
         self.pairs = pairs
 
     def table(self) -> np.ndarray:
-        """Built once in each Python worker: (pairs + 1) squared by language, NaN where the sparse way is needed."""
+        """Code lengths by language of the windows met so far, from row 1 on; each Python worker has its own. self.row: by two pairs, 0 if not there."""
         if self.dense is None:
             n = len(self.pairs) + 1
-            self.dense = np.full((n * n, len(self.langs)), np.nan, np.float32)
-            for i, p in enumerate(self.pairs):
-                lo = (i + 1) * n + 1
-                self.dense[lo : lo + n - 1] = self.bits(p << np.uint32(16) | self.pairs)
+            self.row = np.zeros(n * n, np.int32)
+            self.dense = np.zeros((max(1, min(n * n, KEPT_BYTES // (4 * len(self.langs)))), len(self.langs)), np.float32)
+            self.used = 1
         return self.dense
 
+    def _met(self, cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Code lengths of windows of pairs a and b that the table hasn't; as many as there is room for are kept under their cells."""
+        key, at, back = np.unique(a.astype(np.uint32) << np.uint32(16) | b, return_index=True, return_inverse=True)
+        bits = self.bits(key)
+        known = np.flatnonzero((self.pair[a[at]] > 0) & (self.pair[b[at]] > 0))[: len(self.dense) - self.used]
+        self.dense[self.used : self.used + len(known)] = bits[known]
+        self.row[cell[at[known]]] = np.arange(self.used, self.used + len(known))
+        self.used += len(known)
+        return bits[back]
+
     def code_lengths(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of each document under each language."""
         lens = np.diff(offs)
@@ -134,12 +145,15 @@ class Model:
             else:
                 left[at] &= np.uint16(0xFF)
         table, n = self.table(), len(self.pairs) + 1
-        for lo in range(0, len(data), SLICE):
-            a, b = left[lo : lo + SLICE], right[lo : lo + SLICE]
-            cost = table.take(self.pair[a] * np.int64(n) + self.pair[b], axis=0)
-            slow = np.flatnonzero(np.isnan(cost[:, 0]))
+        step = max(1, SLICE // len(self.langs))
+        for lo in range(0, len(data), step):
+            a, b = left[lo : lo + step], right[lo : lo + step]
+            cell = self.pair[a] * np.int64(n) + self.pair[b]
+            row = self.row[cell]
+            cost = table.take(row, axis=0)
+            slow = np.flatnonzero(row == 0)
             if len(slow):
-                cost[slow] = self.bits(a[slow].astype(np.uint32) << np.uint32(16) | b[slow])
+                cost[slow] = self._met(cell[slow], a[slow], b[slow])
             first = np.searchsorted(offs, lo, "right") - 1  # the document of the slice's first byte
             last = np.searchsorted(offs, lo + len(a), "left")
             some = first + np.flatnonzero(lens[first:last] > 0)
