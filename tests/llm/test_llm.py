@@ -447,6 +447,39 @@ def test_matching_statistics():
         assert repeats.matching(t).tolist() == [max(common(i, j) for j in range(len(b)) if j != i) for i in range(len(b))]
 
 
+def test_suffixes_in_few_sorts(monkeypatch):
+    """Strings of 700 bytes that stand three times: each sort triples what the order is by, or does better."""
+    text = " ".join([prose(400)[:700], prose(60), prose(300)]).encode()
+    t = np.frombuffer(text + b"\xff" + text[:700] + b"\xff" + text[5:700] + b"\xff", np.uint8)
+    t = np.concatenate([t, np.frombuffer(prose(3000).encode(), np.uint8)])
+    sorts, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sorts.append(len(x)) or sort(x, *a, **k))
+    got = repeats.suffix_array(t).tolist()
+    b = t.tobytes()
+    assert got == sorted(range(len(b)), key=lambda i: b[i:])
+    assert sum(n > 0 for n in sorts) <= 5
+
+
+def test_anchors_of_many_texts_at_once(spark, monkeypatch):
+    """The index has the anchors of each text by itself, from one round of hashes for all texts of a chunk."""
+    texts = [None, "", "word", BASE, prose(90), "", BASE, "x" * 500, prose(200), "a " * 60, " "]
+    windows = repeats.Windows((100, 20))
+    calls, hashed = [], repeats.common.prefix_hash
+    frame = lambda: type("Docs", (), {"select": lambda s, *c: s, "mapInArrow": lambda s, f, schema: list(f(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])])))})()
+    monkeypatch.setattr(repeats.common, "prefix_hash", lambda x: calls.append(len(x)) or hashed(x))
+    (got,) = repeats.index_texts(frame(), windows, "text")
+    assert len(calls) <= 3  # words, anchors of bytes, anchors of words
+    for text, row in zip(texts, got.to_pylist()):
+        x = repeats._Text(text or "")
+        h, pos, _, _ = repeats.text_anchors(x.data, x.words, windows)
+        sha = hashlib.sha256(x.raw).hexdigest()
+        assert row["sha"] == sha and row["n_words"] == len(x.words) and row["n_bytes"] == len(x.raw)
+        assert row["h"] == h.view(np.int64).tolist()
+        assert row["at"] == repeats.common.mix(np.uint64(int(sha[:16], 16)) + pos.astype(np.uint64)).view(np.int64).tolist()
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
+        assert (row["word_from"], row["word_to"]) == ((found[0].start(), found[-1].end()) if found else (0, 0))
+
+
 def test_decontamination_against_all_windows(spark):
     items = [(1, prose(20)), (2, prose(40)), (3, "one two three"), (4, None), (5, ""), (6, prose(30))]
     text = dict(items)

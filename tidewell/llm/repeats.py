@@ -69,8 +69,8 @@ _LOW = 24
 _PLACE = U64((1 << _LOW) - 1)
 
 
-def anchors(x: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, first window, last window) of each anchor of one string of at least length symbols."""
+def _places(x: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the strings of k symbols, and for each window of length symbols the place of its anchor."""
     n, span = len(x), length - k + 1
     h = common.prefix_hash(x)
     _, q = common.powers(n)
@@ -89,11 +89,35 @@ def anchors(x: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray,
             best = first(best[: len(best) - width], best[width:])
             width *= 2
         best = first(best[: n - length + 1], best[span - width : span - width + n - length + 1])
+    return h, best
+
+
+def anchors(x: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, first window, last window) of each anchor of one string of at least length symbols."""
+    h, best = _places(x, length, k)
     cut = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
     pos = best[cut]
     return h[pos], pos, cut, np.append(cut[1:], len(best)) - 1
 
 
+def all_anchors(x: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, number of the string) of each anchor of the strings of x that offs tells apart, in their order."""
+    lens = np.diff(offs)
+    start = offs[:-1][lens >= length]
+    if not len(start):
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, best = _places(x, length, k)
+    step = np.zeros(len(x) + 1, np.int8)
+    step[start] += 1
+    step[start + lens[lens >= length] - length + 1] -= 1
+    new = np.append(True, best[1:] != best[:-1])
+    new[start] = True
+    cut = np.flatnonzero(new & (np.cumsum(step, dtype=np.int8)[: len(best)] > 0))  # no window lies in two strings
+    of = np.searchsorted(offs, cut, "right") - 1
+    pos = best[cut]
+    return h[pos], pos - offs[of], of
+
+
 INDEX = "doc_id long, n_bytes long, n_words long, word_from int, word_to int, sha string, tid binary, h array<long>, at array<long>"
 
 
@@ -115,18 +139,21 @@ def index_texts(docs: DataFrame, windows: Windows, text: str) -> DataFrame:
             for a, b, data, offs in common.chunks(batch.column(1)):
                 ws, we, first = common.words(data, offs)
                 wh = common.word_hashes(data, ws, we, lower=False)
-                sha, hs, at, cut, words = [], [], [], [0], []
-                for s, e, p, q in zip(offs[:-1].tolist(), offs[1:].tolist(), first[:-1].tolist(), first[1:].tolist()):
-                    sha.append(hashlib.sha256(data[s:e]).hexdigest())
-                    words.append((q - p, ws[p] - s, we[q - 1] - s) if q > p else (0, 0, 0))
-                    h, pos, _, _ = text_anchors(data[s:e], wh[p:q], windows)
-                    hs.append(h)
-                    at.append(common.mix(U64(int(sha[-1][:16], 16)) + pos.astype(U64)))
-                    cut.append(cut[-1] + len(h))
-                nest = lambda v: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(v).view(np.int64)))
-                n, lo, hi = zip(*words)
+                sha = [hashlib.sha256(data[s:e]).hexdigest() for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
+                n = np.diff(first)
+                lo, hi = np.zeros((2, b - a), np.int64)
+                some = n > 0
+                lo[some] = ws[first[:-1][some]] - offs[:-1][some]
+                hi[some] = we[first[1:][some] - 1] - offs[:-1][some]
+                got = [all_anchors(x, o, windows.length[kind], windows.k[kind]) for kind, x, o in ((BYTES, data, offs), (WORDS, wh, first)) if windows.length[kind] > 0]
+                h, pos, of = map(np.concatenate, zip(*(((h & ~U64(1)) | U64(kind), pos, of) for kind, (h, pos, of) in enumerate(got))))
+                order = np.argsort(of, kind="stable")
+                h, pos, of = h[order], pos[order], of[order]
+                at = common.mix(np.array([int(x[:16], 16) for x in sha], U64)[of] + pos.astype(U64))
+                cut = pa.array(np.searchsorted(of, np.arange(b - a + 1)), pa.int32())
+                nest = lambda v: pa.ListArray.from_arrays(cut, pa.array(v.view(np.int64)))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(offs)), pa.array(n, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(sha), pa.array([bytes.fromhex(x[:32]) for x in sha], pa.binary()), nest(hs), nest(at)],
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(offs)), pa.array(n), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(sha), pa.array([bytes.fromhex(x[:32]) for x in sha], pa.binary()), nest(h), nest(at)],
                     names=["doc_id", "n_bytes", "n_words", "word_from", "word_to", "sha", "tid", "h", "at"],
                 )
 
@@ -137,9 +164,11 @@ def index_texts(docs: DataFrame, windows: Windows, text: str) -> DataFrame:
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Positions of the suffixes in order, by prefix doubling from as many symbols as 63 bits hold; only ties are sorted again."""
+    """Positions of the suffixes in order: by as many symbols as 63 bits hold, then by as many ranks; only ties are sorted again."""
     n = len(t)
-    bits = max(9, int(t.max()).bit_length() + 1) if n else 9
+    if t.dtype == np.uint8:  # symbols numbered among those there are, so more of them fit
+        t = np.cumsum(np.bincount(t, minlength=256) > 0)[t] - 1
+    bits = int(t.max() + 1).bit_length() if n else 1
     each = 63 // bits
     x = np.zeros(n + each, U64)
     x[:n] = t.astype(U64) + U64(1)
@@ -147,27 +176,23 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     for j in range(each):
         key = key << U64(bits) | x[j : j + n]
     sa = np.argsort(key)
-    k = key[sa]
-    new = np.append(True, k[1:] != k[:-1])
-    rank = np.empty(n, np.int64)
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the rank of a group is its first place
-    rank[sa] = head
-    step = each
-    while True:
-        tied = ~(new & np.append(new[1:], True))
-        at = np.flatnonzero(tied)
-        if not len(at) or step >= n:
-            return sa
+    at, key = np.arange(n), key[sa]
+    rank = np.zeros(n + 1, np.int64)  # from 1, the first place of a group; 0 behind the end
+    width = n.bit_length()
+    times, step = min(4, 63 // width) if n else 1, each
+    while len(at):
         pos = sa[at]
-        nxt = np.where(pos + step < n, rank[np.minimum(pos + step, n - 1)] + 1, 0)
-        key = rank[pos] * (n + 1) + nxt
+        new = np.append(True, key[1:] != key[:-1])
+        rank[pos] = np.maximum.accumulate(np.where(new, at, 0)) + 1
+        tied = ~(new & np.append(new[1:], True))
+        at, pos = at[tied], pos[tied]
+        key = rank[pos]
+        for j in range(1, times):
+            key = key << width | rank[np.minimum(pos + j * step, n)]
         order = np.argsort(key)
-        pos, key = pos[order], key[order]
-        sa[at] = pos
-        new[at] = np.append(True, key[1:] != key[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[pos] = head[at]
-        step *= 2
+        sa[at], key = pos[order], key[order]
+        step *= times
+    return sa
 
 
 def matching(t: np.ndarray, least: int = 1) -> np.ndarray:
