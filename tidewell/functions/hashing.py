@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.functions.batches import row_udf
+
 
 def key(*parts: Column | str) -> Column:
     """SHA-256 in hexadecimal of the parts, joined by NUL."""
@@ -24,7 +25,5 @@ def sample_id(*parts: Column | str) -> Column:
     return F.concat(F.lit("sv_"), F.substring(key(*parts), 1, 24))
 
 
-@F.pandas_udf(T.StringType())
-def blake2b_64(s: pd.Series) -> pd.Series:
-    """Hexadecimal, as signed numbers don't hold unsigned 64-bit seeds."""
-    return s.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=8).hexdigest())
+#: Hexadecimal, as signed numbers don't hold unsigned 64-bit seeds.
+blake2b_64 = row_udf(T.StringType(), lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=8).hexdigest())

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.functions.batches import row_udf
+
 #: Letters by the moderation rules: ASCII and U+00C0 to U+1EF9.
 LETTERS = "a-zA-ZÀ-ỹ"
 #: Look-alike digits and signs, and the letters they stand for.
@@ -23,26 +24,23 @@ _CORE = regex.compile(r"[\p{L}\p{N}_](?:.*[\p{L}\p{N}_])?", regex.DOTALL)
 EDGE = r"""[.,!?;:"'()\[\]{}<>*~`_\-]"""
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+nfc = row_udf(T.StringType(), lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+#: The block of combining characters but the joiner among them, which isn't one; no character before the block is.
+_MARKS, _HIGH = re.compile("[\u0300-\u034e\u0350-\u036f]+"), re.compile("[^\x00-\u036f]+")
 
 
 def strip_marks(x: str) -> str:
     """Without diacritics; the crossed d becomes d."""
+    if x.isascii():
+        return x
     x = unicodedata.normalize("NFD", x.replace("đ", "d").replace("Đ", "D"))
-    return "".join(c for c in x if not unicodedata.combining(c))
-
-
-@F.pandas_udf(T.StringType())
-def fold(s: pd.Series) -> pd.Series:
-    """strip_marks of a column."""
-    return s.map(lambda x: None if x is None else strip_marks(x))
+    return _HIGH.sub(lambda m: "".join(c for c in m[0] if not unicodedata.combining(c)), _MARKS.sub("", x))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold().strip() if x is not None else "")
+#: strip_marks of a column.
+fold = row_udf(T.StringType(), lambda x: None if x is None else strip_marks(x))
+_nfkc_casefold = row_udf(T.StringType(), lambda x: unicodedata.normalize("NFKC", x).casefold().strip() if x is not None else "")
 
 
 def canonical(text: Column | str) -> Column:
@@ -91,10 +89,8 @@ def drop_plain(x: str) -> str:
     return "".join(c for c, k in zip(x, keep) if k)
 
 
-@F.pandas_udf(T.StringType())
-def plain_after_marked(s: pd.Series) -> pd.Series:
-    """drop_plain of a column."""
-    return s.map(lambda x: None if x is None else drop_plain(x))
+#: drop_plain of a column.
+plain_after_marked = row_udf(T.StringType(), lambda x: None if x is None else drop_plain(x))
 
 
 def restore(text: Column, lexicon: Column) -> Column:
