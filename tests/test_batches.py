@@ -2,6 +2,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewell.functions import batches
+from tidewell.functions import text as T
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_slices_are_bounded_by_rows_and_bytes():
@@ -17,3 +22,11 @@ def test_a_worker_gives_each_slice_before_it_takes_the_next(spark):
     seen = batches.column_udf("int", lambda kind: lambda t: pa.array([len(t)] * len(t), kind))
     got = spark.range(3000).coalesce(1).select(F.repeat(F.lit("x"), 900).alias("t")).select(seen("t").alias("n")).collect()
     assert len(got) == 3000 and max(r.n for r in got) <= batches.ROWS
+
+
+def test_restore_looks_at_each_token_once(spark):
+    df = spark.createDataFrame([("Ko, (ko)  ok",)], "t string").select(T.restore(F.col("t"), T.lexicon_map({"ko": "không"})).alias("o"))
+    assert plan(df).count("regexp_extract") <= 4
+    odd = ["__ko__", "ko", "...", "(KO-ko)", "ko.ko", "_", "kO!?", "-ko Ko-"]
+    got = [r.o for r in spark.createDataFrame([(x,) for x in odd], "t string").select(T.restore(F.col("t"), T.lexicon_map({"ko": "không", "_": "u"})).alias("o")).collect()]
+    assert got == ["__ko__", "không", "...", "(KO-ko)", "ko.ko", "u", "không!?", "-không Không-"]

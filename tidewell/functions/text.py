@@ -65,8 +65,8 @@ def lookalike(text: Column) -> Column:
 
     def one(t: Column) -> Column:
         alpha = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-        like = F.length(F.regexp_replace(t, "[^4310598@]", ""))
-        return F.when(t.rlike("^[0-9]") | (like == 0) | (alpha <= like), t).otherwise(F.translate(t, LOOKALIKE_FROM, LOOKALIKE_TO))
+        like = F.length(t) - F.length(F.translate(t, LOOKALIKE_FROM, ""))
+        return F.when((like == 0) | t.rlike("^[0-9]") | (alpha <= like), t).otherwise(F.translate(t, LOOKALIKE_FROM, LOOKALIKE_TO))
 
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\s+|\S+)"), F.lit(1)), one), "")
 
@@ -94,20 +94,23 @@ plain_after_marked = row_udf(T.StringType(), lambda x: None if x is None else dr
 
 
 def restore(text: Column, lexicon: Column) -> Column:
-    """Tokens whose core is in the map lexicon are replaced; a capital at the start is passed on. White space becomes single spaces."""
+    """Tokens whose core is in the map lexicon are replaced; a capital at the start is passed on. White space becomes single spaces.
 
-    def one(w: Column) -> Column:
+    Three passes, as an expression that a lambda uses twice is worked out twice: each token's core (one pattern), its entry, and the new token where there is one.
+    """
+    core = lambda w: F.struct(w.alias("w"), F.regexp_extract(w, r"^[^\p{L}\p{N}_]*+(.*[\p{L}\p{N}_])?", 1).alias("core"))
+    entry = lambda x: F.struct(x["w"].alias("w"), x["core"].alias("core"), F.element_at(lexicon, F.lower(x["core"])).alias("new"))
+
+    def one(x: Column) -> Column:
+        w, core, new = x["w"], x["core"], x["new"]
         lead = F.regexp_extract(w, r"^([^\p{L}\p{N}_]*)", 1)
-        rest = F.substring(w, F.length(lead) + 1, F.length(w))
-        trail = F.regexp_extract(rest, r"([^\p{L}\p{N}_]*)$", 1)
-        core = F.substring(rest, F.lit(1), F.length(rest) - F.length(trail))
-        new = F.element_at(lexicon, F.lower(core))
+        trail = F.substring(w, F.length(lead) + F.length(core) + 1, F.length(w))
         cap = F.substring(core, 1, 1)
         new = F.when((cap == F.upper(cap)) & (cap != F.lower(cap)), F.concat(F.upper(F.substring(new, 1, 1)), F.expr("''"), F.substring(new, F.lit(2), F.length(new)))).otherwise(new)
-        return F.when(new.isNull() | (core == ""), w).otherwise(F.concat(lead, new, trail))
+        return F.when(x["new"].isNull() | (core == ""), w).otherwise(F.concat(lead, new, trail))
 
     parts = F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
-    return F.array_join(F.transform(parts, one), " ")
+    return F.array_join(F.transform(F.transform(F.transform(parts, core), entry), one), " ")
 
 
 def lexicon_map(entries: dict[str, str]) -> Column:
