@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import hashing, text
+from tidewell.functions.tables import table
 from tidewell.operators import corpus, explain, lexicon, metrics, neardup, obfuscate, quality, variants
 from tidewell.streaming import messages
 
@@ -539,12 +540,17 @@ def _augmented(spark, d):
     return _augment(_messages(spark, d))
 
 
-def _augment(m):
+def _targeted(m):
+    """m with the lexicon's spans and whether a row is among the two fifths of its stratum that must have one replaced: up to the last of them in the order, so texts don't move."""
     m = m.withColumn("teencode_valid_span_count", obfuscate.valid_spans("text", "label", CHAT)).withColumn("teencode_eligible", F.col("teencode_valid_span_count") > 0)
-    m = m.checkpoint()
-    q = corpus.exact_quota(m.where("teencode_eligible"), ["label", "target_split"], hashing.key(F.lit("quota"), "sample_id"), 0.4).where("targeted").select("sample_id", F.lit(True).alias("teencode_targeted"))
-    m = m.join(q, "sample_id", "left").withColumn("teencode_targeted", F.coalesce("teencode_targeted", F.lit(False)))
-    v = obfuscate.augment(m, "sample_id", "text", "label", "target_split", "teencode_targeted", 42, CHAT).withColumnRenamed("text", "original_text")
+    m, strata = table(m, "messages"), ["label", "target_split"]
+    order = hashing.key(F.lit("quota"), "sample_id")
+    last = corpus.exact_quota(m.where("teencode_eligible").select(*strata, order.alias("o")), strata, F.col("o"), 0.4).where("targeted").groupBy(*strata).agg(F.max("o").alias("last"))
+    return m.join(F.broadcast(last), strata, "left").select(*m.columns, (F.col("teencode_eligible") & F.coalesce(order <= F.col("last"), F.lit(False))).alias("teencode_targeted"))  # last: a row for each stratum
+
+
+def _augment(m):
+    v = obfuscate.augment(_targeted(m), "sample_id", "text", "label", "target_split", "teencode_targeted", 42, CHAT).withColumnRenamed("text", "original_text")
     spans = F.size(F.filter(F.coalesce("perturbation_types", F.array().cast("array<string>")), lambda x: x == obfuscate.LEXICAL))
     return v.withColumns({"teencode_applied_span_count": spans, "teencode_applied": spans > 0, "label_mapped": F.col("label"), "annotation_type": F.lit("human")})
 
