@@ -154,6 +154,27 @@ def test_duplicate_groups_against_all_pairs(spark, tmp_path):
     assert len(got) == len(rows) and sum(n > 1 for _, _, n in got) > 20
 
 
+def test_duplicate_groups_in_blocks(spark, monkeypatch):
+    """Groups of more texts than one task takes: each two blocks meet, and every pair is judged once."""
+    monkeypatch.setattr(neardup, "TEXTS", 3)
+    rows = copies()
+    got = sorted((tuple(r) for r in neardup.duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id").collect()), key=str)
+    assert got == plain_groups(rows)
+
+
+def test_a_text_is_sent_once_for_all_its_pairs(spark):
+    """Ten near copies have up to 45 pairs; their texts are in no join of pairs."""
+    t = prose(1).split()
+    rows = [(i, " ".join([*t[:i], prose(50 + i, 1), *t[i + 1 :]])) for i in range(10)]
+    forms = neardup.signed(spark.createDataFrame(rows, "k long, form string"))
+    edges = neardup.form_edges(forms)
+    joins = [x for x in edges._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "LeftSemi" not in x]
+    assert not any("form#" in x for x in joins) and "CoGroup" in edges._jdf.queryExecution().optimizedPlan().toString()
+    grams = [set(neardup.trigrams(f).tolist()) for _, f in rows]
+    got = {tuple(r) for r in edges.collect()}
+    assert got and all(len(grams[a] & grams[b]) >= 0.9 * len(grams[a] | grams[b]) for a, b in got)
+
+
 def test_duplicate_groups_of_signs(spark):
     rows = [(1, "!!!"), (2, "! !!!!!"), (3, "?!"), (4, "??!!"), (5, "!?"), (6, ""), (7, "a!!!"), (8, "!!!")]
     got = {r.id: (r.component, r.links) for r in neardup.duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id").collect()}
