@@ -175,6 +175,24 @@ def test_a_text_is_sent_once_for_all_its_pairs(spark):
     assert got and all(len(grams[a] & grams[b]) >= 0.9 * len(grams[a] | grams[b]) for a, b in got)
 
 
+def test_near_split_leaves_no_texts_behind(spark, tmp_path):
+    from pathlib import Path
+
+    from tidewell.functions.tables import tables_made
+    from tidewell.plans import catalogue
+
+    rows = [(i, prose(i)) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    with tables_made() as made:
+        got = catalogue.near_safe_split(spark, str(tmp_path))
+    left = [t for t in made if Path(t.stored_at.removeprefix("file:")).exists()]
+    assert left and len(left) < len(made)
+    assert not {"text", "form", "variant", "__v"} & {c for t in left for c in t.columns}
+    assert not any("perturbation_edits" in t.schema.simpleString() for t in made)
+    assert got.count() == 40
+
+
 def test_duplicate_groups_of_signs(spark):
     rows = [(1, "!!!"), (2, "! !!!!!"), (3, "?!"), (4, "??!!"), (5, "!?"), (6, ""), (7, "a!!!"), (8, "!!!")]
     got = {r.id: (r.component, r.links) for r in neardup.duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id").collect()}
