@@ -181,6 +181,20 @@ def test_packed_trigrams_come_back(form):
     assert len(form) < 5000 or len(neardup.packed(grams)) < 100
 
 
+def test_pairs_of_a_large_group_are_counted_not_listed(spark):
+    """Forty texts near one another: 780 pairs, at most 39 of which come back beside a number for each text."""
+    t = prose(1, 200)
+    rows = neardup.signed(spark.createDataFrame([(i, f"{t} {'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}") for i in range(40)], "k long, form string"))
+    all_pairs = [tuple(r) for r in neardup.form_edges(rows).collect()]
+    got = neardup.form_edges(rows, counted=True).collect()
+    links = {}
+    for x in (x for p in all_pairs for x in p):
+        links[x] = links.get(x, 0) + 1
+    assert len(all_pairs) > 200 and {r.a: r.links for r in got if r.b is None} == links
+    joined = [(r.a, r.b) for r in got if r.b is not None]
+    assert len(joined) < len(links) and set(joined) <= set(all_pairs)
+
+
 def test_near_split_leaves_no_texts_behind(spark, tmp_path):
     from pathlib import Path
 
